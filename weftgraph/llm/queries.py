@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.licenses import scan_licenses
 from weftgraph.llm.mixing import mix_sources
+from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.quality import judge_quality
 from weftgraph.llm.sharding import shard_documents
 
+#: Vocabulary for packing; any byte-level BPE file of the tokenizers library will do.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ORACLE: dict[str, str] = {}
 
 
@@ -22,6 +28,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return judge_quality(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir).select("doc_id", "text"), TOKENIZER)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "source", F.round("rate", 9).alias("rate"), "n_copies", "copy_no", "shuffle_key")
