@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.licenses import scan_licenses
+from weftgraph.llm.linededup import line_verdicts
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.quality import judge_quality
@@ -28,6 +29,29 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_verdicts(_documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return lines.groupBy(F.col("_id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), count("exact").alias("n_exact"), count("near").alias("n_near"),
+        F.sum(F.when(F.col("kind") == "kept", F.col("_n_chars")).otherwise(0)).alias("kept_chars"),
+    )
+
+
+ORACLE["op2_line_dedup"] = r"""
+WITH lines AS (SELECT doc_id, no - 1 AS no, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)
+               WHERE length(trim(l, ' ' || chr(9) || chr(13) || chr(12) || chr(11))) > 0),
+firsts AS (SELECT l, min((doc_id, no)) AS f FROM lines GROUP BY l),
+longer AS (SELECT l, f, length(l) AS n FROM firsts WHERE length(l) >= 20),
+halves AS (SELECT l, f, n, m, 'a' || left(l, m // 2) AS k FROM (SELECT *, n AS m FROM longer UNION ALL SELECT *, n - 1 FROM longer)
+           UNION ALL SELECT l, f, n, m, 'b' || right(l, m - m // 2) FROM (SELECT *, n AS m FROM longer UNION ALL SELECT *, n - 1 FROM longer)),
+near AS (SELECT DISTINCT y.l FROM halves x JOIN halves y ON x.k = y.k AND x.m = y.m AND x.f < y.f AND abs(x.n - y.n) <= 1 WHERE levenshtein(x.l, y.l) <= 1),
+judged AS (SELECT doc_id, length(l) AS n, CASE WHEN (doc_id, no) <> f THEN 'exact' WHEN l IN (SELECT l FROM near) THEN 'near' ELSE 'kept' END AS kind FROM lines JOIN firsts USING (l))
+SELECT doc_id, count(*) AS n_lines, count_if(kind = 'exact')::BIGINT AS n_exact, count_if(kind = 'near')::BIGINT AS n_near, sum(CASE WHEN kind = 'kept' THEN n ELSE 0 END)::BIGINT AS kept_chars
+FROM judged GROUP BY doc_id
+"""
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
