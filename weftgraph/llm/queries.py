@@ -12,6 +12,7 @@ from weftgraph.llm.licenses import scan_licenses
 from weftgraph.llm.linededup import line_verdicts
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.probminhash import near_duplicates
 from weftgraph.llm.quality import judge_quality
 from weftgraph.llm.sharding import shard_documents
 
@@ -52,6 +53,10 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
