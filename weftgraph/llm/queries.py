@@ -16,6 +16,7 @@ from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.probminhash import near_duplicates
 from weftgraph.llm.quality import judge_quality
 from weftgraph.llm.sharding import shard_documents
+from weftgraph.llm.substrings import dedup_substrings
 
 #: Vocabulary for packing; any byte-level BPE file of the tokenizers library will do.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +67,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return judge_quality(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
