@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.binarycodes import near_vectors
+from weftgraph.llm.kneserney import score_documents
 from weftgraph.llm.licenses import scan_licenses
 from weftgraph.llm.linededup import line_verdicts
 from weftgraph.llm.mixing import mix_sources
@@ -67,6 +68,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir).select("doc_id", "text"))
 
