@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -113,7 +114,7 @@ class Encoder:
     white space are encoded whole.
     """
 
-    MOST = 400_000
+    MOST = 1_000_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -156,6 +157,12 @@ class Encoder:
         return b"".join(parts)
 
 
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """A worker's encoder, which remembers words from one task to the next."""
+    return Encoder(path, end_id)
+
+
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     """(start, length, crc32) of a document's pieces; only the first may be shorter than the capacity where there are several."""
     n = len(ids) // 4
@@ -174,9 +181,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, t
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
-            rows = [(k, *p) for k, x in enumerate(batch.column(1)) for p in enumerate(cut(encoder(x.as_py()), capacity))]
+            rows = [(k, *p) for k, x in enumerate(batch.column(1)) for p in enumerate(cut(encode(x.as_py()), capacity))]
             at = pa.array([x[0] for x in rows], pa.int64())
             piece = [pa.array([x[1] for x in rows], pa.int32())]
             three = [pa.array([x[2][k] for x in rows], pa.int64()) for k in range(3)]
