@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table `name` of the dataset folder, opened by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` in the session's reliable folder; a session without one gets a local folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/weftgraph-checkpoints-{os.getuid()}")
+    return df.checkpoint()

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import corpus
+from weftgraph.plans import corpus, trade
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (corpus,)
+MODULES = (corpus, trade)
 
 
 def queries() -> dict[str, Query]:
