@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import new_path, stage, without
-from weftgraph.llm.probminhash import U64, Words, mix
+from weftgraph.llm.probminhash import U64, Words, mix, worker_words
 
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
 SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 4_000_000, 1_000_000, 1_000_000
@@ -205,7 +205,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): hashes of all words and of the end, with counts, a row each for a task or a part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, seen = Words(), Counter()
+        hashed, seen = worker_words(), Counter()
 
         def told() -> pa.RecordBatch:
             keys = hashed(list(seen))
@@ -252,7 +252,7 @@ def _contexts(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
 
 def _send_bigrams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, lookup = Words(), Lookup(model)
+        hashed, lookup = worker_words(), Lookup(model)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -420,7 +420,7 @@ RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, sco
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, lookup = Words(), Lookup(model)
+        hashed, lookup = worker_words(), Lookup(model)
         for batch in batches:
             last = batch.num_columns - 1
             sizes, known, base, score = ([] for _ in range(4))

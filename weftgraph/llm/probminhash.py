@@ -1,18 +1,22 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is the weighted set of its five-word shingles. Every shingle sends arrivals of a
+A document is the weighted set of its five-word shingles, a shingle's weight one plus the logarithm
+of its count, so that a phrase said over and over doesn't outweigh the rest. Every shingle sends arrivals of a
 Poisson process, at a rate of its weight, to random registers; a register keeps the shingle that
 arrives first, and arrivals later than the slowest register are never drawn. Equal registers then
 estimate the probability Jaccard similarity. Documents that share a band are compared exactly on
 the sets of their shingles, but only with the smallest of the band, and after that, across the
-groups this made, where a band holds members of several.
+groups this made, where a band holds members of several: there one byte of each register tells
+which pairs come into question, tile by tile, so that pairs far under the threshold are never rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import components, stage, text_key
 
 BANDS, ROWS = 24, 6
+#: Documents of a tile, and standard deviations under the threshold at which an estimate rules a pair out.
+TILE, SLACK = 512, 3.0
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -52,6 +58,12 @@ class Words:
         return np.fromiter(map(self.memory.__getitem__, words), U64, len(words))
 
 
+@cache
+def worker_words() -> Words:
+    """The memory of a worker, which lasts from one task to the next."""
+    return Words()
+
+
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of `width` words; of the whole where there are fewer words, none without words."""
     width = min(width, len(words))
@@ -95,26 +107,28 @@ def band_keys(found: np.ndarray, bands: int) -> list[int]:
 
 
 def add_bands(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """(_id, _h1, _h2, _size, _bands) of (_id, _text): the number of distinct shingles and a key for each band."""
+    """(_id, _h1, _h2, _size, _bands, _sig) of (_id, _text): the number of distinct shingles, a key for each band, and a byte for each register."""
     source = docs.select("_id", *text_key(F.col("_text")), F.encode("_text", "UTF-8").alias("_utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
+        hashed = worker_words()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bytes_ = [], [], []
             for text in batch.column(3):
                 ids, counts = np.unique(shingles(hashed(text.as_py().split()), width), return_counts=True)
                 sizes.append(len(ids))
-                keys.append(band_keys(signature(ids, counts.astype(float), bands * rows), bands) if len(ids) else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_h1", "_h2", "_size", "_bands"])
+                found = signature(ids, 1 + np.log(counts), bands * rows) if len(ids) else None
+                keys.append([] if found is None else band_keys(found, bands))
+                bytes_.append(b"" if found is None else mix(found).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], names=["_id", "_h1", "_h2", "_size", "_bands", "_sig"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _h1 long, _h2 long, _size int, _bands array<long>")
+    return source.mapInArrow(run, f"_id {kind}, _h1 long, _h2 long, _size int, _bands array<long>, _sig binary")
 
 
 def _compare(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, last, own = Words(), None, np.zeros(0, U64)
+        hashed, last, own = worker_words(), None, np.zeros(0, U64)
         for batch in batches:
             out = []
             for rep, a, b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
@@ -136,19 +150,49 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(_compare(width), f"a {kind}, b {kind}, similarity double")
 
 
+def _candidates(threshold: float, bands: int, rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of a tile in different groups, not ruled out by size or signature, that no earlier band brings together."""
+    least = threshold - SLACK * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("c", kind="stable").reset_index(drop=True)
+        side, n, group, c = (tile[x].to_numpy() for x in ("side", "n", "g", "c"))
+        sig = np.frombuffer(b"".join(tile["_sig"]), np.uint8).reshape(len(tile), bands * rows)
+        left = np.flatnonzero(side == 0)
+        right = left if (side == 0).all() else np.flatnonzero(side == 1)
+        band, lead = int(tile["band"].iloc[0]), tile["lead"].iloc[0]
+        a, b = [], []
+        for x in left:
+            fit = right[(group[right] != group[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]) - 1e-9)]
+            fit = fit[(c[fit] != lead) & (fit > x if right is left else True)] if c[x] != lead else fit[:0]
+            if not len(fit):
+                continue
+            same = sig[fit] == sig[x]
+            fit, same = fit[at := same.mean(axis=1) >= least], same[at]
+            fit = fit[~same.reshape(len(fit), bands, rows)[:, :band].all(axis=2).any(axis=1)]
+            a.append(np.full(len(fit), x))
+            b.append(fit)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        return pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, width: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, class_id) for each row: the smallest id of its group of copies and near copies.
 
     Two texts are linked if they are equal, or if they share a band and the Jaccard similarity of
-    their sets of `width`-word shingles is at least `threshold`; groups are the connected components.
-    Words stand between ASCII white space; a text of fewer words is one shingle; texts without words,
+    their sets of `width`-word shingles is at least `threshold`; groups are the connected components. A pair at
+    the threshold shares no band with a probability of 7 in 10,000; pairs outside the stars are also
+    passed over where their signatures agree in SLACK standard deviations too few registers. Words stand between ASCII white space; a text of fewer words is one shingle; texts without words,
     null among them, go together only if they are equal, null and empty alike. Rows that repeat an id
-    with different texts join the groups of both. No rows give no rows. Ids must not be null.
+    with different texts join the groups of both. No rows give no rows. Rows without an
+    id are in no group: their class_id is null.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = stage(add_bands(source, bands, rows, width), "near-bands")
-    classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands")), "near-classes")
-    members = stage(classes.select("c", "n", F.explode("_bands").alias("k")).distinct(), "near-members")
+    classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")), "near-classes")
+    members = stage(classes.select("c", "n", F.posexplode("_bands").alias("band", "k")).distinct(), "near-members")
     shared = members.groupBy("k").agg(F.min("c").alias("lead"), F.min(F.struct("c", "n"))["n"].alias("lead_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
     banded = stage(members.join(shared, "k"), "near-shared")
     sizes_fit = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
@@ -164,22 +208,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     named = lambda c, g: labels.select(F.col("id").alias(c), F.col("component").alias(g))
     grouped = banded.join(named("c", "g"), "c", "left").withColumn("g", F.coalesce("g", "c"))
     mixed = grouped.groupBy("k").agg((F.min("g") != F.max("g")).alias("_mixed")).where("_mixed").select("k")
-    open_ = stage(grouped.join(mixed, "k", "left_semi").select("k", "c", "n", "g", "lead"), "near-open")
-    lead_group = open_.where("c = lead").select("k", F.col("g").alias("lead_g"))
-    astray = open_.join(lead_group, "k").where("g <> lead_g").select("k", F.col("c").alias("x"), F.col("n").alias("x_n"), F.col("g").alias("x_g"))
-    across = astray.join(open_, "k").where("g <> x_g and c <> lead").where(sizes_fit(F.col("n"), F.col("x_n")))
-    crossed = across.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    open_ = stage(grouped.join(mixed, "k", "left_semi").select("k", "band", "c", "n", "g", "lead"), "near-open")
+    sizes = open_.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    signs = classes.select("c", "_sig").dropDuplicates(["c"])
+    placed = open_.join(sizes, "k").join(signs, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t0"), F.greatest(t, F.col("tile")).alias("t1"), (t < F.col("tile")).cast("int").alias("side")))
+    tiled = placed.select("k", "band", "c", "n", "g", "lead", "_sig", F.explode(meets).alias("p")).select("*", "p.*").drop("p")
+    kind = source.schema["_id"].dataType.simpleString()
+    crossed = tiled.groupBy("k", "t0", "t1").applyInPandas(_candidates(threshold, bands, rows), f"a {kind}, b {kind}").distinct()
     crossed = stage(crossed.join(stars, ["a", "b"], "left_anti"), "near-crossed")
     more = similarities(crossed, texts, width).where(F.col("similarity") >= threshold).select("a", "b")
     more = stage(more, "near-more")
     if more.limit(1).count():
         labels = components(links.union(more), "a", "b", "near")
     texts_of = signed.select("_id", "_h1", "_h2").join(classes.select("_h1", "_h2", "c"), ["_h1", "_h2"])
-    return texts_of.join(labels.withColumnRenamed("id", "c"), "c", "left").select(F.col("_id").alias(id_col), F.coalesce("component", "c").alias("class_id"))
+    named_rows = texts_of.join(labels.withColumnRenamed("id", "c"), "c", "left").select(F.col("_id").alias(id_col), F.coalesce("component", "c").alias("class_id"))
+    return named_rows.union(docs.where(F.col(id_col).isNull()).select(id_col, F.col(id_col).alias("class_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`docs` with one row for each group of `near_duplicates`: that whose id names the group."""
+    """`docs` with one row for each group of `near_duplicates`: that whose id names the group. Rows without an id belong to no group and stay."""
     found = near_duplicates(docs, threshold, text=text, id_col=id_col)
     heads = found.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(heads, id_col, "left_semi").dropDuplicates([id_col])
+    return docs.join(heads, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

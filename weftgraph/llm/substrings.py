@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import stage, text_key
-from weftgraph.llm.probminhash import U64, Words, mix
+from weftgraph.llm.probminhash import U64, mix, worker_words
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -77,7 +77,7 @@ def _join(words: list[bytes]) -> str:
 
 def _scan(length: int) -> Mapper:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, powers = Words(), Powers()
+        hashed, powers = worker_words(), Powers()
         for batch in batches:
             counts, digests, names = [], [], []
             for text in batch.column(3):
@@ -94,7 +94,7 @@ def _extend(length: int) -> Mapper:
     """Rows (_h1, _id, pos, w1, w2) for the windows that name a half which repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, powers = Words(), Powers()
+        hashed, powers = worker_words(), Powers()
         for batch in batches:
             for k, (names, text) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 words = hashed(text.as_py().split())
