@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import corpus, trade
+from weftgraph.plans import corpus, space, trade
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (corpus, trade)
+MODULES = (corpus, trade, space)
 
 
 def queries() -> dict[str, Query]:
