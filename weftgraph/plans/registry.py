@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import corpus, space, trade
+from weftgraph.plans import corpus, scenes, space, trade
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (corpus, trade, space)
+MODULES = (corpus, trade, space, scenes)
 
 
 def queries() -> dict[str, Query]:
