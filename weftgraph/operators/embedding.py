@@ -101,12 +101,12 @@ def landmark_model(dist: np.ndarray, dims: int, landmarks: int) -> tuple[list[in
     at = farthest_points(dist, min(max(landmarks, dims + 1), len(dist)))
     inner = dist[np.ix_(at, at)]
     own = classical(inner, dims)
-    return at, own, np.linalg.pinv(own), (inner**2).mean(axis=0)
+    return at, own, np.linalg.pinv(own, rcond=1e-6), (inner**2).mean(axis=0)
 
 
 def landmark(dist: np.ndarray, dims: int, landmarks: int = 10) -> np.ndarray:
     at, own, project, mean = landmark_model(dist, dims, landmarks)
-    if np.linalg.matrix_rank(own) < dims:
+    if np.linalg.matrix_rank(own, tol=1e-6 * max(1e-300, np.abs(own).max())) < dims:
         return classical(dist, dims)
     out = (-0.5 * (dist[:, at] ** 2 - mean)) @ project.T
     out[at] = own
@@ -270,7 +270,7 @@ def embed(cells: DataFrame, algorithm: str = "auto", dims: str | int = 2, **opti
 
 def project_points(points: DataFrame, own: np.ndarray, mean: np.ndarray) -> DataFrame:
     """`points` (with `dists`, distances to the landmarks) and their coordinates; works on streams as well."""
-    weights = np.linalg.pinv(own)
+    weights = np.linalg.pinv(own, rcond=1e-6)
     shift = F.zip_with("dists", F.array(*map(F.lit, map(float, mean))), lambda d, m: -0.5 * (d * d - m))
     dot = lambda row: F.aggregate(F.zip_with(shift, F.array(*map(F.lit, map(float, row))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return points.withColumn("coord", F.array(*map(dot, weights)))
