@@ -187,7 +187,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 29, id
     links = found.groupBy("id").agg(F.sum("links").alias("_links"))
     groups = components(found.select("id", "root"), "id", "root", "vector").select("id", F.col("component").alias("_component"))
     per_class = classes.select("k0", "k1", "k2", "id", "copies").join(links, "id", "left").join(groups, "id", "left")
-    named = per_class.select("k0", "k1", "k2", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_component", "id").alias("component_id"))
+    named = per_class.select(*(F.col(f"k{i}").alias(f"_j{i}") for i in range(3)), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_component", "id").alias("component_id"))
     marked = vectors.select(*keep, *(F.when(usable(double) & F.col(id_col).isNotNull(), k).alias(f"_k{i}") for i, k in enumerate((F.xxhash64(double), F.xxhash64(double, F.lit(1)), F.size(double)))))
-    joined = marked.join(named, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
+    joined = marked.join(named, (F.col("_k0") == F.col("_j0")) & (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     return joined.select(*keep, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", id_col).alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))

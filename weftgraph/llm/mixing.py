@@ -59,13 +59,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     a null text counts as empty, repeated rows draw alike, no rows give no rows. Input columns named
     as an added one are replaced. A rate above MAX_RATE raises, since such weights are an error.
     """
-    keep = without(docs, ["rate", "n_copies", "copy_no", "shuffle_key", "_source", "_rate", "_cdf"])
+    keep = without(docs, ["rate", "n_copies", "copy_no", "shuffle_key", "_key"])
     rates = source_rates(docs, weights, epochs, temperature, text, source)
     checked = F.when(F.col("_rate") <= MAX_RATE, F.col("_rate")).otherwise(F.raise_error(F.lit("a source's weight asks for too many copies")))
     drawn = rates.select("_source", checked.alias("rate")).withColumn("_cdf", cumulative_poisson(F.col("rate")))
-    joined = docs.join(drawn, docs[source].eqNullSafe(drawn["_source"])).select(*(docs[x] for x in keep), "rate", "_cdf")
-    u = hashed_unit(F.lit(seed), F.col(id_col))
-    counted = joined.withColumn("n_copies", F.size(F.filter("_cdf", lambda x: x <= u)))
-    copies = counted.where("n_copies > 0").select(*keep, "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
-    key = F.md5(F.concat_ws("|", F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    packed = docs.select(F.struct(*keep).alias("_row"), F.col(source).alias("_from"), F.col(id_col).cast("string").alias("_key"))
+    joined = packed.join(drawn, F.col("_from").eqNullSafe(F.col("_source")))
+    u = hashed_unit(F.lit(seed), F.col("_key"))
+    counted = joined.withColumn("n_copies", F.size(F.filter("_cdf", lambda x: x <= u))).where("n_copies > 0")
+    copies = counted.select("_row.*", "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"), F.coalesce("_key", F.lit("null")).alias("_key"))
+    key = F.md5(F.concat_ws("|", F.lit(seed + 1), "_key", F.col("copy_no")))
+    return copies.withColumn("shuffle_key", key).drop("_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -99,7 +99,7 @@ def _grow(columns: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int)
         best, found = 1e-9, None
         for name, values in columns.items():
             own = values[inside]
-            marks = np.unique(np.quantile(own, np.linspace(0, 1, 65)))
+            marks = np.unique(np.quantile(own, np.linspace(0, 1, 257)))
             marks = np.unique(np.concatenate([(marks[1:] + marks[:-1]) / 2, marks[:-1]]))
             where = np.searchsorted(marks, own, side="left")  # rows with value <= marks[k] have where <= k
             of = bad[inside]
