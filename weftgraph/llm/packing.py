@@ -106,6 +106,13 @@ def plan_sequences(histogram: np.ndarray, capacity: int) -> list[tuple[Pattern,
     return out
 
 
+def _visible_bytes() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids of a text as little-endian 32-bit bytes, the same as of encoding it in one go.
 
@@ -124,15 +131,21 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.plain = all(len(self.encode(x)) == 4 for x in ("\n", ".", ",")) and self.encode("a, b.\nc") == b"".join(map(self.encode, ("a", ",", " b", ".", "\n", "c")))
         self.line_end = self.encode("\n")
+        # a word of letters alone is one pre-token, which the merges can take without the rest of the machinery
+        model, visible = tokenizer.model, _visible_bytes()
+        self.merge = lambda text: np.array([x.id for x in model.tokenize(text.encode().decode("latin-1").translate(visible))], "<u4").tobytes()
+        self.direct = all(self.merge(x) == self.encode(x) for x in (" naïve", "Ünder", " of", " 世界", " ñá"))
         self.first, self.later = self._memory(""), self._memory(" ")
 
     def _memory(self, lead: str) -> dict[str, bytes]:
-        encode, tails = self.encode, {x: self.encode(x) for x in ".,"}
+        encode, merge, direct, tails = self.encode, self.merge, self.direct, {x: self.encode(x) for x in ".,"}
 
         class Memory(dict):
             def __missing__(self, word: str) -> bytes:
                 if word[-1:] in tails and word[-2:-1].isalpha():
                     made = self[word[:-1]] + tails[word[-1]]
+                elif direct and word.isalpha():
+                    made = merge(lead + word)
                 else:
                     made = encode(lead + word)
                 self[word] = made

@@ -109,7 +109,10 @@ def _grow(columns: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0))), -1)
                 if len(gain) and gain.max() > best:
-                    best, found = float(gain.max()), Condition(name, above, float(marks[int(gain.argmax())]))
+                    mark = marks[int(gain.argmax())]
+                    upto, past = own[own <= mark], own[own > mark]  # the border lies halfway between the values on either side
+                    border = (upto.max() + past.min()) / 2 if len(upto) and len(past) else mark
+                    best, found = float(gain.max()), Condition(name, above, float(border))
         if found is None:
             break
         rule = (*rule, found)
