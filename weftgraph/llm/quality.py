@@ -91,7 +91,7 @@ def _covered(rule: Rule, columns: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 def _grow(columns: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int) -> Rule:
-    """Add the condition of largest gain in information until only bad rows are covered."""
+    """Add the condition of largest gain in information, of all borders between values, until only bad rows are covered."""
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
     while len(rule) < max_conditions and (bad & inside).any() and (~bad & inside).any():
@@ -99,20 +99,17 @@ def _grow(columns: dict[str, np.ndarray], bad: np.ndarray, max_conditions: int)
         best, found = 1e-9, None
         for name, values in columns.items():
             own = values[inside]
-            marks = np.unique(np.quantile(own, np.linspace(0, 1, 257)))
-            marks = np.unique(np.concatenate([(marks[1:] + marks[:-1]) / 2, marks[:-1]]))
-            where = np.searchsorted(marks, own, side="left")  # rows with value <= marks[k] have where <= k
+            held, where = np.unique(own, return_inverse=True)
             of = bad[inside]
-            p_low = np.cumsum(np.bincount(where[of], minlength=len(marks) + 1))[:-1]
-            n_low = np.cumsum(np.bincount(where[~of], minlength=len(marks) + 1))[:-1]
+            p_low = np.cumsum(np.bincount(where[of], minlength=len(held)))[:-1]
+            n_low = np.cumsum(np.bincount(where[~of], minlength=len(held)))[:-1]
             for above, p, n in ((False, p_low, n_low), (True, p0 - p_low, n0 - n_low)):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1e-9) / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0))), -1)
                 if len(gain) and gain.max() > best:
-                    mark = marks[int(gain.argmax())]
-                    upto, past = own[own <= mark], own[own > mark]  # the border lies halfway between the values on either side
-                    border = (upto.max() + past.min()) / 2 if len(upto) and len(past) else mark
-                    best, found = float(gain.max()), Condition(name, above, float(border))
+                    under, over = held[k := int(gain.argmax())], held[k + 1]
+                    border = (under + over) / 2  # halfway between the values on either side
+                    best, found = float(gain.max()), Condition(name, above, float(border if border < over else under))
         if found is None:
             break
         rule = (*rule, found)
