@@ -254,12 +254,17 @@ def test_probabilities_against_brute_force(spark):
         assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True)))
 
 
-def test_blocks_of_a_model(spark, monkeypatch):
+def test_shards_and_their_tree_of_sums(spark, monkeypatch):
     rows = spark.createDataFrame([(k, " ".join(f"t{x}" for x in np.random.default_rng(k).zipf(1.5, 50) % 90), "s") for k in range(80)], DOCS)
     whole = {r.doc_id: r.score for r in kneserney.score_documents(rows).collect()}
-    monkeypatch.setattr(kneserney, "SHARD_TOKENS", 500)
-    model = kneserney.train(rows.select(F.encode("text", "UTF-8").alias("_utf8")).limit(0))
-    assert model.words == 0 and len(whole) == 80
+    monkeypatch.setattr(kneserney, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(kneserney, "FAN_IN", 3)
+    assert {r.doc_id: r.score for r in kneserney.score_documents(rows).collect()} == pytest.approx(whole)
+
+
+def test_model_of_nothing(spark):
+    rows = spark.createDataFrame([], DOCS)
+    assert kneserney.train(rows.select(F.encode("text", "UTF-8").alias("_utf8"))).words == 0
 
 
 def test_coding_is_lossless():
