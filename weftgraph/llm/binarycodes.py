@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,13 @@ from weftgraph.llm.common import components, stage, without
 
 #: Probability that no run of bits brings a pair at the threshold together.
 MISS = 1e-6
-#: Vectors that a bucket should hold, and rows of a tile.
-BUCKET, TILE = 64, 1024
+#: Vectors that a bucket should hold, rows of a tile, and pairs that are computed exactly at a time.
+BUCKET, TILE, CHUNK = 64, 1024, 32_768
 #: Standard deviations of the estimate's error that the upper bound leaves room for.
 SURE = 6.0
 
 
+@cache
 def rotation(dims: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix, the same for the same seed."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
@@ -77,8 +79,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _join_tile(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs (into a and b, or into a twice) that are linked, and whether no earlier run of bits brings the pair together."""
+def _join_tile(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (into a and b, or into a twice) that are linked and that no earlier run of bits brings together."""
     ua = _units(a["v"])
     ub = ua if b is None else _units(b["v"])
     dims = ua.shape[1]
@@ -89,15 +91,17 @@ def _join_tile(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float, bits:
     if b is None:
         close = np.triu(close, 1)
     x, y = np.nonzero(close)
-    exact = np.einsum("ij,ij->i", ua[x], ub[y])
-    x, y = x[exact >= threshold], y[exact >= threshold]
-    run, fresh = int(a["run"].iloc[0]), np.ones(len(x), bool)
-    if run and len(x):
-        keys = lambda unit, rows: (np.unique(rows, return_inverse=True)[1], bucket_keys(unit[np.unique(rows)], bits, run, seed))
-        (ia, ka), (ib, kb) = keys(ua, x), keys(ub, y)
-        for k in range(0, len(x), 65536):
-            fresh[k : k + 65536] = ~(ka[ia[k : k + 65536]] == kb[ib[k : k + 65536]]).any(axis=1)
-    return x, y, fresh
+    if (run := int(a["run"].iloc[0])) and len(x):
+        ka = bucket_keys(ua, bits, run, seed)
+        kb = ka if b is None else bucket_keys(ub, bits, run, seed)
+        for k in range(run):
+            apart = ka[x, k] != kb[y, k]
+            x, y = x[apart], y[apart]
+    linked = np.zeros(len(x), bool)
+    for k in range(0, len(x), CHUNK):
+        part = slice(k, k + CHUNK)
+        linked[part] = np.einsum("ij,ij->i", ua[x[part]], ub[y[part]]) >= threshold
+    return x[linked], y[linked]
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,17 +126,17 @@ def _tile_links(threshold: float, bits: int, seed: int) -> Callable[[pd.DataFram
         n = len(tile)
         left = tile["side"].to_numpy() == 0
         if left.all():
-            x, y, fresh = _join_tile(tile, None, threshold, bits, seed)
+            x, y = _join_tile(tile, None, threshold, bits, seed)
         else:
             first, second = np.flatnonzero(left), np.flatnonzero(~left)
             if not len(first):
                 return pd.DataFrame({"id": [], "links": [], "root": []})
-            x, y, fresh = _join_tile(tile.iloc[first], tile.iloc[second], threshold, bits, seed)
+            x, y = _join_tile(tile.iloc[first], tile.iloc[second], threshold, bits, seed)
             x, y = first[x], second[y]
         copies = tile["copies"].to_numpy()
-        links = np.bincount(x[fresh], weights=copies[y[fresh]], minlength=n) + np.bincount(y[fresh], weights=copies[x[fresh]], minlength=n)
+        links = np.bincount(x, weights=copies[y], minlength=n) + np.bincount(y, weights=copies[x], minlength=n)
         root = _roots(n, x, y)
-        told = np.flatnonzero((links > 0) | (root != np.arange(n)))
+        told = np.flatnonzero(links)
         ids = tile["id"].to_numpy()
         return pd.DataFrame({"id": ids[told], "links": links[told].astype(np.int64), "root": ids[root[told]]})
 
