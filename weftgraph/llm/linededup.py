@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import SECOND_SEED, stage, without
 
 SEGMENT = 64
-#: A table of so many ids and places at most (32 bytes a row) is sent to all executors rather than shuffled.
-SMALL_ROWS = 200_000
+#: A table with so many rows and values in its arrays at most (64 bytes each) is sent to all executors rather than shuffled.
+SMALL_VALUES = 1_000_000
 
 
 def lines_of(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -35,9 +35,10 @@ def _line_key() -> list[Column]:
     return [F.xxhash64("_line").alias("_h1"), F.xxhash64("_line", F.lit(SECOND_SEED)).alias("_h2")]
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """`df`, a staged table, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+def _bounded(df: DataFrame, array: str) -> DataFrame:
+    """`df`, a staged table with an array for each row, marked for broadcast if it is counted to be small."""
+    values = df.agg(F.sum(F.size(array).cast("long") + 1)).first()[0] or 0
+    return F.broadcast(df) if values <= SMALL_VALUES else df
 
 
 def _half_keys(n: Column) -> Column:
@@ -88,7 +89,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, text: str, id_col: str) -> Da
     # the texts of those lines, from the documents they first stand in
     home = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     sought = places.groupBy("_at").agg(F.collect_list(F.struct("_no", "_h1", "_h2", "first")).alias("_sought"))
-    found = home.join(_bounded(stage(sought, "lines-sought")), F.col("_id").eqNullSafe(F.col("_at")))
+    found = home.join(_bounded(stage(sought, "lines-sought"), "_sought"), F.col("_id").eqNullSafe(F.col("_at")))
     rows = found.select(F.split(F.coalesce("_text", F.lit("")), "\n").alias("_lines"), F.explode("_sought").alias("s"))
     texts = rows.select(F.get("_lines", F.col("s._no")).alias("_line"), "s._h1", "s._h2", "s.first")
     a, b = _line_key()
@@ -139,7 +140,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, text: str = "text", id_col
     verdicts = line_verdicts(docs, min_chars, text, id_col)
     gone = verdicts.groupBy("_id").agg(F.sort_array(F.collect_set(F.when(F.col("kind") != "kept", F.col("_line_no")))).alias("_gone"), F.bool_or(F.col("kind") == "kept").alias("_left"))
     touched = stage(gone.where(F.size("_gone") > 0), "lines-gone")
-    joined = docs.join(_bounded(touched), docs[id_col].eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(_bounded(touched, "_gone"), docs[id_col].eqNullSafe(F.col("_id")), "left")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest)
     columns = [cleaned.alias(text) if x == text else F.col(x) for x in without(docs, ["_id", "_gone", "_left"])]
