@@ -133,6 +133,14 @@ def test_cleaned_texts(spark):
     assert found == {1: rows[0][1], 2: "own line", 4: ""}
 
 
+def test_lines_without_broadcast(spark, monkeypatch):
+    rows = [(k, f"line of text number {k % 7} here\nanother line {k}{k} of its own words\nanother line {k}{k + 1} of its own words", "s") for k in range(40)]
+    found = lambda: sorted(map(tuple, linededup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()))
+    small = found()
+    monkeypatch.setattr(linededup, "SMALL_VALUES", -1)
+    assert found() == small
+
+
 # -- 3 near duplicates ----------------------------------------------------------------------------
 
 def test_signature_estimates():
