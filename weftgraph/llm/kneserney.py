@@ -33,6 +33,8 @@ from weftgraph.llm.probminhash import U64, Words, mix, worker_words
 SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 4_000_000, 1_000_000, 1_000_000
 #: Tokens that are looked up together, and distinct bigrams that a task holds before it sends them.
 CHUNK, HELD = 1_000_000, 2_000_000
+#: Shards whose sums one task adds up, and arrays that a worker keeps mapped.
+FAN_IN, MAPPED = 16, 8192
 #: Stands for the end of a text among the hashes of words.
 END = 0x656E64206F66
 SHIFT = U64(32)
@@ -119,7 +121,7 @@ class Lookup:
 
     def __init__(self, model: Model):
         self.model, self.store = model, Store(model.uri)
-        self.array = lru_cache(maxsize=None)(self.store.open)
+        self.array = lru_cache(maxsize=MAPPED)(self.store.open)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted distinct hashes; unknown ones get the model's unknown id."""
@@ -310,7 +312,33 @@ def _store_bigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 send(name, first[at], np.ones(len(at), np.int64))
         found = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)], np.int64)
         out.append(("bigram types", 0, b"", found.tobytes()))
-        return pd.DataFrame(out, columns=["name", "block", "ids", "sums"])
+        return pd.DataFrame([(name, block, shard, *rest) for name, block, *rest in out], columns=["name", "block", "part", "ids", "sums"])
+
+    return run
+
+
+SUMS = "name string, block int, part int, ids binary, sums binary"
+
+
+def _added(rows: pd.DataFrame, model: Model) -> np.ndarray:
+    """The sum of all rows of a block."""
+    if rows["name"].iloc[0] == "bigram types":
+        return np.sum([np.frombuffer(x, np.int64) for x in rows["sums"]], axis=0)
+    total = np.zeros(max(0, min(BLOCK_IDS, model.words + 1 - int(rows["block"].iloc[0]) * BLOCK_IDS)), np.int64)
+    for ids, sums in zip(rows["ids"], rows["sums"], strict=True):
+        total[np.cumsum(unpack(ids, np.int64))] += unpack(sums, np.int64)  # a row has an id once
+    return total
+
+
+def _join_parts(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One row for the rows of a block and part."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        name, block, part = (rows[x].iloc[0] for x in ("name", "block", "part"))
+        total = _added(rows, model)
+        ids = np.flatnonzero(total)
+        both = (b"", total.tobytes()) if name == "bigram types" else (pack(np.diff(ids, prepend=np.int64(0))), pack(total[ids]))
+        return pd.DataFrame([(name, block, part, *both)], columns=["name", "block", "part", "ids", "sums"])
 
     return run
 
@@ -318,12 +346,8 @@ def _store_bigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _store_block(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         name, block = str(rows["name"].iloc[0]), int(rows["block"].iloc[0])
-        if name == "bigram types":
-            found = np.sum([np.frombuffer(x, np.int64) for x in rows["sums"]], axis=0)
-        else:
-            total = np.zeros(max(0, min(BLOCK_IDS, model.words + 1 - block * BLOCK_IDS)), np.int64)
-            for ids, sums in zip(rows["ids"], rows["sums"], strict=True):
-                np.add.at(total, np.cumsum(unpack(ids, np.int64)), unpack(sums, np.int64))
+        found = total = _added(rows, model)
+        if name != "bigram types":
             Store(model.uri).write(f"{name}-{block}", total)
             found = np.array([(total == k).sum() for k in (1, 2, 3, 4)] + [(total > 0).sum()], np.int64)
         return pd.DataFrame([(name, block, *found.tolist())], columns=["name", "block", "t1", "t2", "t3", "t4", "types"])
@@ -368,7 +392,11 @@ def train(texts: DataFrame) -> Model:
     if ends > SHARD_TOKENS:
         model.spread[model.begin] = -(-ends // SHARD_TOKENS)
     blocks = texts.mapInArrow(_send_bigrams(model), "shard int, keys binary, counts binary").repartition(model.shards, "shard")
-    stored = stage(blocks.groupBy("shard").applyInPandas(_store_bigrams(model), "name string, block int, ids binary, sums binary"), "ngram-sums")
+    stored = stage(blocks.groupBy("shard").applyInPandas(_store_bigrams(model), SUMS), "ngram-sums")
+    parts_left = model.shards
+    while parts_left > FAN_IN:  # every shard tells of most words: a tree keeps what a task adds up bounded
+        joined = stored.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("name", "block", "part").applyInPandas(_join_parts(model), SUMS)
+        stored, parts_left = stage(joined, "ngram-sums"), -(-parts_left // FAN_IN)
     found = stored.groupBy("name", "block").applyInPandas(_store_block(model), "name string, block int, t1 long, t2 long, t3 long, t4 long, types long").groupBy("name").agg(*(F.sum(x).alias(x) for x in ("t1", "t2", "t3", "t4", "types"))).collect()
     by = {x.name: x for x in found}
     model.types = by["bigram types"].types
