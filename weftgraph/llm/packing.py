@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import gapless_rank, stage
+from weftgraph.llm.memory import remembered
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
@@ -170,10 +170,9 @@ class Encoder:
         return b"".join(parts)
 
 
-@cache
 def encoder(path: str, end_id: int) -> Encoder:
     """A worker's encoder, which remembers words from one task to the next."""
-    return Encoder(path, end_id)
+    return remembered(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:

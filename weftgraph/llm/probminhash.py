@@ -13,7 +13,6 @@ which pairs come into question, tile by tile, so that pairs far under the thresh
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import components, stage, text_key
+from weftgraph.llm.memory import remembered
 
 BANDS, ROWS = 24, 6
 #: Documents of a tile, and standard deviations under the threshold at which an estimate rules a pair out.
@@ -58,10 +58,9 @@ class Words:
         return np.fromiter(map(self.memory.__getitem__, words), U64, len(words))
 
 
-@cache
 def worker_words() -> Words:
     """The memory of a worker, which lasts from one task to the next."""
-    return Words()
+    return remembered("words", Words)
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from weftgraph.llm.common import without
+from weftgraph.llm.memory import forget
 
 
 def add_columns(docs: DataFrame, text: str, scan: Callable[[], Callable[[bytes], tuple]], added: str) -> DataFrame:
@@ -26,6 +27,7 @@ def add_columns(docs: DataFrame, text: str, scan: Callable[[], Callable[[bytes],
     made = to_arrow_schema(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         one = scan()
         for batch in batches:
             rows = [one(x.as_py()) for x in batch.column(batch.num_columns - 1)]
