@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Second seed of the 128-bit text identity.
 SECOND_SEED = 7919
+#: Rows of a batch of texts on its way to Python, where a session leaves that at Spark's default.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold fewer texts in memory at once than Spark's default batch of 10,000 rows; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_key(text: Column) -> list[Column]:
     """128-bit identity of a text as two longs."""
     return [F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(SECOND_SEED)).alias("_h2")]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import gapless_rank, stage
+from weftgraph.llm.common import bound_batches, gapless_rank, stage
 from weftgraph.llm.memory import remembered
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
@@ -237,6 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     text counts as empty and is the end token alone; repeated rows are packed each; only documents
     longer than a sequence are cut; no rows give no rows. Other input columns stay behind.
     """
+    bound_batches(docs.sparkSession)
     pieces = stage(cut_documents(docs, tokenizer, capacity, end_id, text, id_col), "pieces")
     histogram = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import components, stage, text_key
+from weftgraph.llm.common import bound_batches, components, stage, text_key
 from weftgraph.llm.memory import remembered
 
 BANDS, ROWS = 24, 6
@@ -188,6 +188,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     with different texts join the groups of both. No rows give no rows. Rows without an
     id are in no group: their class_id is null.
     """
+    bound_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = stage(add_bands(source, bands, rows, width), "near-bands")
     classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")), "near-classes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from weftgraph.llm.common import without
+from weftgraph.llm.common import bound_batches, without
 from weftgraph.llm.memory import forget
 
 
@@ -20,6 +20,7 @@ def add_columns(docs: DataFrame, text: str, scan: Callable[[], Callable[[bytes],
     `scan` is called once a task and returns the function for a text. Null texts come as b"".
     Added columns replace those of the same name.
     """
+    bound_batches(docs.sparkSession)
     more = StructType.fromDDL(added)
     keep = without(docs, [*more.names, "_utf8"])
     source = docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("_utf8"))
