@@ -155,6 +155,27 @@ def test_signature_estimates():
     assert abs(heavy - 300 / 690) < 0.04
 
 
+@pytest.mark.parametrize(("threshold", "bands", "shared", "own", "times", "others"), [(0.8, 24, 100, 7, 5, 60), (0.025, 100, 10, 94, 1, 200)])
+def test_pairs_that_share_a_band_are_all_compared(spark, threshold, bands, shared, own, times, others):
+    """Pairs over the threshold that meet only behind smaller documents under it: the first with an estimate far under their similarity, the second with few bands in common."""
+    rows = []
+    for g in range(30):
+        base = [f"b{g}_{k}" for k in range(shared)]
+        rows += [(100 * g + d, " ".join(base + [f"l{g}_{d}_{k}" for k in range(others)]), "s") for d in range(12)]
+        rows += [(100 * g + d, " ".join(base + times * [f"o{g}_{d}_{k}" for k in range(own)]), "s") for d in (50, 51)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs, threshold, bands, 1).collect()}
+    keys = {r._id: set(r._bands) for r in probminhash.add_bands(docs.selectExpr("doc_id _id", "text _text"), bands, 1, 5).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t, _ in rows}
+    linked = {k: {k} for k in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if a // 100 == b // 100 and keys[a] & keys[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+            both = linked[a] | linked[b]
+            linked.update((x, both) for x in both)
+    assert found == {k: min(v) for k, v in linked.items()}
+    assert len(set(found.values())) < len(found)
+
+
 def test_groups_against_brute_force(spark):
     rows, n = [], 0
     for g in range(25):

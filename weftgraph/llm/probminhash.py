@@ -6,8 +6,8 @@ Poisson process, at a rate of its weight, to random registers; a register keeps
 arrives first, and arrivals later than the slowest register are never drawn. Equal registers then
 estimate the probability Jaccard similarity. Documents that share a band are compared exactly on
 the sets of their shingles, but only with the smallest of the band, and after that, across the
-groups this made, where a band holds members of several: there one byte of each register tells
-which pairs come into question, tile by tile, so that pairs far under the threshold are never rows.
+groups this made, where a band holds members of several: there the sets themselves meet, tile by tile,
+and only pairs that join two groups become rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from weftgraph.llm.common import bound_batches, components, stage, text_key
 from weftgraph.llm.memory import remembered
 
 BANDS, ROWS = 24, 6
-#: Documents of a tile, and standard deviations under the threshold at which an estimate rules a pair out.
-TILE, SLACK = 512, 3.0
+#: Documents of a tile, and their shingles.
+TILE, TILE_SHINGLES = 512, 1_000_000
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
@@ -106,23 +106,22 @@ def band_keys(found: np.ndarray, bands: int) -> list[int]:
 
 
 def add_bands(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """(_id, _h1, _h2, _size, _bands, _sig) of (_id, _text): the number of distinct shingles, a key for each band, and a byte for each register."""
+    """(_id, _h1, _h2, _size, _bands) of (_id, _text): the number of distinct shingles, and a key for each band."""
     source = docs.select("_id", *text_key(F.col("_text")), F.encode("_text", "UTF-8").alias("_utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = worker_words()
         for batch in batches:
-            sizes, keys, bytes_ = [], [], []
+            sizes, keys = [], []
             for text in batch.column(3):
                 ids, counts = np.unique(shingles(hashed(text.as_py().split()), width), return_counts=True)
                 sizes.append(len(ids))
                 found = signature(ids, 1 + np.log(counts), bands * rows) if len(ids) else None
                 keys.append([] if found is None else band_keys(found, bands))
-                bytes_.append(b"" if found is None else mix(found).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], names=["_id", "_h1", "_h2", "_size", "_bands", "_sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_h1", "_h2", "_size", "_bands"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"_id {kind}, _h1 long, _h2 long, _size int, _bands array<long>, _sig binary")
+    return source.mapInArrow(run, f"_id {kind}, _h1 long, _h2 long, _size int, _bands array<long>")
 
 
 def _compare(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -149,29 +148,49 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "_a", "_b").mapInArrow(_compare(width), f"a {kind}, b {kind}, similarity double")
 
 
-def _candidates(threshold: float, bands: int, rows: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of a tile in different groups, not ruled out by size or signature, that no earlier band brings together."""
-    least = threshold - SLACK * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(c, _set) of (c, _utf8): the distinct shingles in order, eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = worker_words()
+        for batch in batches:
+            sets = [np.unique(shingles(hashed(x.as_py().split()), width)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "_set"])
+
+    return texts.select("c", "_utf8").mapInArrow(run, f"c {texts.schema['c'].dataType.simpleString()}, _set binary")
+
+
+def _crossing(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of a tile that join its groups: sets compared exactly, except where the lead or an earlier band has compared them."""
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("c", kind="stable").reset_index(drop=True)
-        side, n, group, c = (tile[x].to_numpy() for x in ("side", "n", "g", "c"))
-        sig = np.frombuffer(b"".join(tile["_sig"]), np.uint8).reshape(len(tile), bands * rows)
-        left = np.flatnonzero(side == 0)
-        right = left if (side == 0).all() else np.flatnonzero(side == 1)
+        side, c = tile["side"].to_numpy(), tile["c"].to_numpy()
+        group = np.unique(tile["g"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(x, U64) for x in tile["_set"]]
+        n = np.array([len(x) for x in sets])
+        known, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+        sets, own = np.split(ranks, np.cumsum(n)[:-1]), np.zeros(len(known), bool)
         band, lead = int(tile["band"].iloc[0]), tile["lead"].iloc[0]
+        earlier = np.array(tile["_bands"].tolist(), np.int64)[:, :band]
+        left = np.flatnonzero((side == 0) & (c != lead))
+        right = left if (side == 0).all() else np.flatnonzero((side == 1) & (c != lead))
         a, b = [], []
         for x in left:
-            fit = right[(group[right] != group[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]) - 1e-9)]
-            fit = fit[(c[fit] != lead) & (fit > x if right is left else True)] if c[x] != lead else fit[:0]
+            fit = right[(n[right] > 0) & (group[right] != group[x]) & (np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]) - 1e-9)]
+            fit = fit[fit > x] if right is left else fit
+            fit = fit[~(earlier[fit] == earlier[x]).any(axis=1)]
             if not len(fit):
                 continue
-            same = sig[fit] == sig[x]
-            fit, same = fit[at := same.mean(axis=1) >= least], same[at]
-            fit = fit[~same.reshape(len(fit), bands, rows)[:, :band].all(axis=2).any(axis=1)]
-            a.append(np.full(len(fit), x))
-            b.append(fit)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            own[sets[x]] = True
+            both = np.add.reduceat(own[np.concatenate([sets[y] for y in fit])].astype(np.int64), np.cumsum(n[fit]) - n[fit])
+            own[sets[x]] = False
+            for y in fit[both / (n[fit] + n[x] - both) >= threshold]:
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
+                    a.append(x)
+                    b.append(y)
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
         return pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": np.maximum(c[x], c[y])})
 
     return run
@@ -182,8 +201,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
 
     Two texts are linked if they are equal, or if they share a band and the Jaccard similarity of
     their sets of `width`-word shingles is at least `threshold`; groups are the connected components. A pair at
-    the threshold shares no band with a probability of 7 in 10,000; pairs outside the stars are also
-    passed over where their signatures agree in SLACK standard deviations too few registers. Words stand between ASCII white space; a text of fewer words is one shingle; texts without words,
+    the threshold shares no band with a probability of 7 in 10,000. Words stand between ASCII white space; a text of fewer words is one shingle; texts without words,
     null among them, go together only if they are equal, null and empty alike. Rows that repeat an id
     with different texts join the groups of both. No rows give no rows. Rows without an
     id are in no group: their class_id is null.
@@ -191,7 +209,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     bound_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = stage(add_bands(source, bands, rows, width), "near-bands")
-    classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands"), F.first("_sig").alias("_sig")), "near-classes")
+    classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands")), "near-classes")
     members = stage(classes.select("c", "n", F.posexplode("_bands").alias("band", "k")).distinct(), "near-members")
     shared = members.groupBy("k").agg(F.min("c").alias("lead"), F.min(F.struct("c", "n"))["n"].alias("lead_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
     banded = stage(members.join(shared, "k"), "near-shared")
@@ -209,16 +227,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     grouped = banded.join(named("c", "g"), "c", "left").withColumn("g", F.coalesce("g", "c"))
     mixed = grouped.groupBy("k").agg((F.min("g") != F.max("g")).alias("_mixed")).where("_mixed").select("k")
     open_ = stage(grouped.join(mixed, "k", "left_semi").select("k", "band", "c", "n", "g", "lead"), "near-open")
-    sizes = open_.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    signs = classes.select("c", "_sig").dropDuplicates(["c"])
-    placed = open_.join(sizes, "k").join(signs, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+    sizes = open_.groupBy("k").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    keys = classes.select("c", "_bands").dropDuplicates(["c"])
+    sets = shingle_sets(texts.join(open_.select("c").distinct(), "c", "left_semi"), width)
+    placed = open_.join(sizes, "k").join(keys, "c").join(sets, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t0"), F.greatest(t, F.col("tile")).alias("t1"), (t < F.col("tile")).cast("int").alias("side")))
-    tiled = placed.select("k", "band", "c", "n", "g", "lead", "_sig", F.explode(meets).alias("p")).select("*", "p.*").drop("p")
+    tiled = placed.select("k", "band", "c", "g", "lead", "_bands", "_set", F.explode(meets).alias("p")).select("*", "p.*").drop("p")
     kind = source.schema["_id"].dataType.simpleString()
-    crossed = tiled.groupBy("k", "t0", "t1").applyInPandas(_candidates(threshold, bands, rows), f"a {kind}, b {kind}").distinct()
-    crossed = stage(crossed.join(stars, ["a", "b"], "left_anti"), "near-crossed")
-    more = similarities(crossed, texts, width).where(F.col("similarity") >= threshold).select("a", "b")
-    more = stage(more, "near-more")
+    more = stage(tiled.groupBy("k", "t0", "t1").applyInPandas(_crossing(threshold), f"a {kind}, b {kind}").distinct(), "near-more")
     if more.limit(1).count():
         labels = components(links.union(more), "a", "b", "near")
     texts_of = signed.select("_id", "_h1", "_h2").join(classes.select("_h1", "_h2", "c"), ["_h1", "_h2"])
