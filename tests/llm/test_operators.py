@@ -176,6 +176,14 @@ def test_pairs_that_share_a_band_are_all_compared(spark, threshold, bands, share
     assert len(set(found.values())) < len(found)
 
 
+def test_repeats_in_the_differing_part_hide_no_pair(spark):
+    """A pair of sets at 0.81 is found however often the shingles of one side stand there."""
+    texts = {(g, d): " ".join([f"b{g}_{k}" for k in range(100)] + 5 * [f"o{g}_{d}_{k}" for k in range(7)]) for g in range(150) for d in (0, 1)}
+    docs = spark.createDataFrame([(2 * g + d, t, "s") for (g, d), t in texts.items()], DOCS)
+    found = {r.doc_id: r.class_id for r in probminhash.near_duplicates(docs).collect()}
+    assert found == {2 * g + d: 2 * g for g, d in texts}
+
+
 def test_groups_against_brute_force(spark):
     rows, n = [], 0
     for g in range(25):

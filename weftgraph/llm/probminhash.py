@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
-A document is the weighted set of its five-word shingles, a shingle's weight one plus the logarithm
-of its count, so that a phrase said over and over doesn't outweigh the rest. Every shingle sends arrivals of a
-Poisson process, at a rate of its weight, to random registers; a register keeps the shingle that
-arrives first, and arrivals later than the slowest register are never drawn. Equal registers then
-estimate the probability Jaccard similarity. Documents that share a band are compared exactly on
+A document is the set of its five-word shingles, each of weight one however often it stands there.
+Every shingle sends arrivals of a Poisson process, at a rate of its weight, to random registers; a
+register keeps the shingle that arrives first, and arrivals later than the slowest register are never
+drawn. With even weights two registers are equal with a probability of the Jaccard similarity of the
+sets, the measure that pairs are judged by. Documents that share a band are compared exactly on
 the sets of their shingles, but only with the smallest of the band, and after that, across the
 groups this made, where a band holds members of several: there the sets themselves meet, tile by tile,
 and only pairs that join two groups become rows.
@@ -114,9 +114,9 @@ def add_bands(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
         for batch in batches:
             sizes, keys = [], []
             for text in batch.column(3):
-                ids, counts = np.unique(shingles(hashed(text.as_py().split()), width), return_counts=True)
+                ids = np.unique(shingles(hashed(text.as_py().split()), width))
                 sizes.append(len(ids))
-                found = signature(ids, 1 + np.log(counts), bands * rows) if len(ids) else None
+                found = signature(ids, np.ones(len(ids)), bands * rows) if len(ids) else None
                 keys.append([] if found is None else band_keys(found, bands))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_h1", "_h2", "_size", "_bands"])
 
