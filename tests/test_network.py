@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from weftgraph import api
 from weftgraph.operators import alignment as A
 from weftgraph.operators import embedding as E
 from weftgraph.operators import network as N
@@ -125,3 +126,26 @@ def test_modes(mode):
     x = np.random.default_rng(6).normal(size=(5, 2))
     fits = A.align_series([x, x + 1, -x], mode)
     assert len(fits) == 3 and (mode == "none" or max(f.residual for f in fits) < 1e-9)
+
+
+def test_a_large_step_leaves_small_ones_exact(spark):
+    ring = [(step, k, (k + 1) % n, 1.0 + k % 3) for step, n in ((0, 1001), (1, 130)) for k in range(n)]
+    adjacency = N.both_ways(spark.createDataFrame(ring, "step int, i int, j int, w double"))
+    nodes = adjacency.select("step", "i").distinct()
+    small = {r.i: r.betweenness for r in N.betweenness(*(x.where("step = 1") for x in (adjacency, nodes))).collect()}
+    found = {r.i: r.betweenness for r in N.betweenness(adjacency, nodes, 100, exact_nodes=1000).where("step = 1").collect()}
+    report = {r.i: r.betweenness for r in N.centrality_report(adjacency, nodes).where("step = 1").collect()}
+    assert found == pytest.approx(small) and report == pytest.approx(small)
+
+
+def test_text_network_has_exact_betweenness(spark):
+    rng, letters = np.random.default_rng(5), "bcdfghklmnprstvz"
+    known = [f"{a}a{b}o{c}u" for a in letters for b in letters for c in letters][:1020]
+    text = " ".join(known[k] for _ in range(2) for k in rng.permutation(len(known)))
+    found = api.run_mf(spark.createDataFrame([(1, "x", text)], "doc_id long, lang string, text string"), "lang", window=1, min_count=1)
+    number = {r.token: r.idx for r in found.vocabulary.collect()}
+    cells = spark.createDataFrame([(0, number[r.src], number[r.dst], r.w) for r in found.edges.collect()], "step int, i int, j int, w double")
+    nodes = spark.createDataFrame([(0, i) for i in number.values()], "step int, i int")
+    exact = {r.i: r.betweenness for r in N.betweenness(N.both_ways(cells), nodes).collect()}
+    assert len(number) > N.EXACT_BETWEENNESS_NODES
+    assert {number[r.token]: r.betweenness for r in found.centrality.collect()} == pytest.approx(exact)

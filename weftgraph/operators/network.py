@@ -142,15 +142,16 @@ def path_centralities(paths: DataFrame) -> DataFrame:
     return summed.select("step", "i", F.coalesce("mean", F.lit(float("nan"))).alias("distance"), closeness.alias("closeness"), harmonic.alias("harmonic"))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, sampled: int | None = None, seed: int = 42) -> DataFrame:
-    """(step, i, betweenness): Brandes' shares over (n - 1)(n - 2), from all sources or from `sampled` of each step, scaled up."""
+def betweenness(edges: DataFrame, nodes: DataFrame, sampled: int | None = None, seed: int = 42, exact_nodes: int = 0) -> DataFrame:
+    """(step, i, betweenness): Brandes' shares over (n - 1)(n - 2), from all sources or, in steps of more than `exact_nodes` nodes, from `sampled` of them, scaled up."""
     sources = nodes.select("step", F.col("i").alias("s"))
     sizes = nodes.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     scale = F.lit(1.0)
     if sampled:
         drawn = Window.partitionBy("step").orderBy(F.xxhash64("s", F.lit(seed)), "s")
-        sources = sources.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= sampled).drop("_r")
-        scale = F.greatest(F.col("n") / sampled, F.lit(1.0))
+        ranked = sources.withColumn("_r", F.row_number().over(drawn)).join(F.broadcast(sizes), "step")
+        sources = ranked.where((F.col("_r") <= sampled) | (F.col("n") <= exact_nodes)).select("step", "s")
+        scale = F.when(F.col("n") <= exact_nodes, 1.0).otherwise(F.greatest(F.col("n") / sampled, F.lit(1.0)))
     parts = per_source(edges, nodes, sources, Graph.dependencies, "d", True).groupBy("step", F.col("t").alias("i")).agg(F.sum("d").alias("d"))
     norm = F.when(F.col("n") > 2, (F.col("n") - 1) * (F.col("n") - 2)).otherwise(1)
     return nodes.join(parts, ["step", "i"], "left").join(F.broadcast(sizes), "step").select("step", "i", (F.coalesce("d", F.lit(0.0)) * scale / norm).alias("betweenness"))
@@ -232,11 +233,10 @@ def pagerank_rounds(adjacency: DataFrame, nodes: DataFrame, rounds: int, damping
     return rank.select("step", "i", F.col("r").alias("pagerank"))
 
 
-def centrality_report(adjacency: DataFrame, nodes: DataFrame, directed: bool = True) -> DataFrame:
-    """All seven centralities, a row for each node. Betweenness is sampled in steps of more than EXACT_BETWEENNESS_NODES nodes."""
+def centrality_report(adjacency: DataFrame, nodes: DataFrame, directed: bool = True, exact: bool = False) -> DataFrame:
+    """All seven centralities, a row for each node. Betweenness is sampled in steps of more than EXACT_BETWEENNESS_NODES nodes unless it is to be `exact`."""
     edges = directed_edges(adjacency) if directed else both_ways(undirected_edges(adjacency))
-    large = nodes.groupBy("step").count().where(F.col("count") > EXACT_BETWEENNESS_NODES).limit(1).count()
-    between = betweenness(edges, nodes, SAMPLED_SOURCES if large else None)
+    between = betweenness(edges, nodes, None if exact else SAMPLED_SOURCES, exact_nodes=EXACT_BETWEENNESS_NODES)
     found = degrees(edges, nodes).drop("strength")
     for part in (path_centralities(shortest_paths(edges, nodes)), between, eigenvector(adjacency, nodes), pagerank(adjacency, nodes)):
         found = found.join(part, ["step", "i"])
