@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +17,12 @@ BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or in a session without one a local folder of its own."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a folder of the machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = f"file:///tmp/weftgraph-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/weftgraph-shared-{os.getuid()}"
     return found.rstrip("/")
 
 
@@ -41,9 +43,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold fewer texts in memory at once than Spark's default batch of 10,000 rows; a session's own setting stays."""
+    """Hold fewer texts in memory at once than Spark's default batch of 10,000 rows, in a session that has not set a number itself."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if name not in spark.conf.getAll:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
@@ -65,13 +67,15 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, n_r
     their counts, and only a cell is ranked in one task. `df` must give the same rows each time.
     """
     cells = max(1, min(65_536, math.ceil(n_rows / rows_per_cell)))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
-    running = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    ranked = dealt.join(starts, [*keys, "_cell"]).withColumn(out, F.col("_start") + F.row_number().over(inside) - 1)
-    return ranked.drop("_cell", "_start")
+    mine = [x for x in df.columns if x != out]
+    cell, start, count = (f"_{x}_{uuid.uuid4().hex}" for x in ("cell", "start", "n"))  # clash with no column of `df`
+    dealt = df.select(*mine, F.pmod(F.xxhash64(*order), F.lit(cells)).alias(cell))
+    running = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias(count))
+    starts = counts.withColumn(start, F.coalesce(F.sum(count).over(running), F.lit(0))).drop(count)
+    inside = Window.partitionBy(*keys, cell).orderBy(*order)
+    ranked = dealt.join(starts, [*keys, cell]).withColumn(out, F.col(start) + F.row_number().over(inside) - 1)
+    return ranked.select(*mine, out)
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 The lengths' histogram is all that the driver sees. Its configuration linear program is solved by
 multiplicative weights: lengths that are served too little gain weight, and a knapsack by dynamic
-programming finds the configuration that the weights price highest. The fractions are rounded
-down to whole sequences and what remains is packed best fit, configuration by configuration.
-Each piece then finds its sequence from its rank among the pieces of its length.
+programming finds the configurations that the weights price highest. The fractions are rounded
+down to whole sequences, what that leaves is solved and rounded again, and only the last pieces are
+packed best fit. Each piece then finds its sequence from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -24,47 +24,86 @@ from weftgraph.llm.memory import remembered
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length 1..capacity stands in the dearest configuration; prices[l] for length l, 0 where l is not in use."""
-    used = np.flatnonzero(prices > 0)
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+#: Share of the demand that a solution leaves to the next; rounds of a solution; solutions one after the other.
+LEFT_OVER, ROUNDS, SOLUTIONS = 0.02, 400, 8
+#: Share of the demand, and sequences, that a round should serve: less widens its steps, more narrows them.
+PACE, PACE_SEQUENCES = 0.003, 25
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room 0..capacity the dearest filling's worth and the last length put in (its index, -1: a unit stays empty)."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(1, capacity + 1):
-        fit = used[: np.searchsorted(used, room, side="right")]
-        best[room], last[room] = best[room - 1], 0
-        if len(fit):
-            worth = best[room - fit] + prices[fit]
+        best[room] = best[room - 1]
+        n = int(np.searchsorted(lengths, room, side="right"))
+        if n:
+            worth = best[room - lengths[:n]] + prices[:n]
             k = int(worth.argmax())
-            if worth[k] > best[room] + 1e-15:
-                best[room], last[room] = worth[k], fit[k]
-    counts, room = np.zeros(capacity + 1, np.int64), capacity
+            if worth[k] > best[room] + 1e-12:
+                best[room], last[room] = worth[k], k
+    return best, last
+
+
+def _filling(lengths: np.ndarray, last: np.ndarray, room: int) -> dict[int, int]:
+    """How often each length, by index, stands in the dearest filling of `room`."""
+    counts: dict[int, int] = {}
     while room > 0:
-        if last[room]:
-            counts[last[room]] += 1
-            room -= last[room]
-        else:
+        k = int(last[room])
+        if k < 0:
             room -= 1
+        else:
+            counts[k] = counts.get(k, 0) + 1
+            room -= int(lengths[k])
     return counts
 
 
-def solve_configurations(demand: np.ndarray, capacity: int, rounds: int = 300, rate: float = 0.5) -> list[tuple[Pattern, float]]:
-    """Fractional solution of the configuration program by multiplicative weights: patterns and how often each is used."""
-    wanted = demand > 0
-    weight = np.where(wanted, np.arange(len(demand)) / capacity, 0.0)
+def solve_configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.02, slack: float = 0.02) -> list[tuple[Pattern, float]]:
+    """Fractional solution of the configuration program by multiplicative weights: patterns and how often each is used.
+
+    A length's price is its size times a weight, which falls exponentially as it is served ahead of
+    the others and grows as it lags. In each round the knapsack gives the dearest configuration that
+    holds each length; those within `slack` of the dearest of all are used until a length in them is
+    served further ahead of the whole than the round's step allows. No length is served beyond its demand.
+    """
+    lengths = np.flatnonzero(demand)
+    wanted = demand[lengths].astype(float)
+    left, size, step, before = wanted.copy(), lengths / capacity, 0.1, 1.0
+    pace = max(PACE, PACE_SEQUENCES / max(1.0, float((wanted * size).sum())))
     uses: dict[Pattern, float] = {}
-    served = np.zeros(len(demand))
-    for _ in range(rounds):
-        counts = np.minimum(knapsack(np.where(wanted, weight, 0.0), capacity), np.maximum(demand, 0).astype(np.int64))
-        inside = np.flatnonzero(counts)
-        if not len(inside):
+    for turn in range(rounds):
+        share = float((left * size).sum() / (wanted * size).sum())
+        if share < LEFT_OVER:
             break
-        step = float((demand[inside] / counts[inside]).min()) / 4
-        pattern = tuple((int(x), int(counts[x])) for x in inside[::-1])
-        uses[pattern] = uses.get(pattern, 0.0) + step
-        gain = step * counts[inside] / demand[inside]
-        served[inside] += gain
-        weight[inside] *= np.exp(-rate * gain)
-    most = max(1.0, float(served.max(initial=0.0)))
-    return [(k, v / most) for k, v in uses.items()]
+        if turn:
+            step = min(1.0, step * 1.3) if share > before * (1 - pace) else max(0.05, step * 0.95)
+        before = share
+        room = np.maximum(left - wanted * share * (1 - step), 0)
+        open_ = np.flatnonzero((room > 0) & (left > 1e-9 * wanted))
+        if not len(open_):
+            break
+        own = lengths[open_]
+        prices = size[open_] * np.exp(rate * np.clip(left[open_] / wanted[open_] / share - 1, -3, 3))
+        best, last = knapsack(own, prices, capacity)
+        worth = prices + best[capacity - own]
+        moved = 0.0
+        for k in np.argsort(-worth, kind="stable"):
+            if worth[k] < worth.max() * (1 - slack):
+                break
+            counts = _filling(own, last, capacity - int(own[k]))
+            counts[int(k)] = counts.get(int(k), 0) + 1
+            at, times = open_[list(counts)], np.array(list(counts.values()))
+            if (times > wanted[at]).any():
+                continue  # more of a length than there are pieces
+            use = float((room[at] / times).min())
+            if use > 0:
+                pattern = tuple(sorted(((int(lengths[x]), int(n)) for x, n in zip(at, times, strict=True)), reverse=True))
+                uses[pattern] = uses.get(pattern, 0.0) + use
+                room[at] -= use * times
+                left[at] -= use * times
+                moved += use
+        if moved <= 0 and step >= 1:
+            break
+    return sorted(uses.items(), key=lambda x: -x[1])
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Pattern:
@@ -83,26 +122,43 @@ def _best_fit(left: np.ndarray, capacity: int) -> Pattern:
     return tuple(counts.items())
 
 
+def lower_bound(histogram: np.ndarray, capacity: int) -> int:
+    """Sequences that any packing needs: the program's dual value at prices of each length's size."""
+    return -(-int((histogram * np.arange(len(histogram))).sum()) // capacity)
+
+
 def plan_sequences(histogram: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Configurations and whole numbers of sequences that hold exactly the pieces of the histogram (index: length)."""
+    """Configurations and whole numbers of sequences that hold exactly the pieces of the histogram (index: length).
+
+    The program's uses are rounded down and what that leaves is solved again. Once the whole parts
+    are under a tenth of what is left, each configuration is used once more at most where its pieces
+    are left; only the few pieces beyond that are packed best fit.
+    """
     left = histogram.astype(np.int64).copy()
     out: list[tuple[Pattern, int]] = []
-    if left[capacity]:
-        out.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    for pattern, use in sorted(solve_configurations(left, capacity), key=lambda x: -x[1]):
-        full = capacity - sum(k * n for k, n in pattern) <= capacity // 256
-        times = min(int(use), *(int(left[k]) // n for k, n in pattern))
-        if times > 0 and full:
-            out.append((pattern, times))
-            for k, n in pattern:
-                left[k] -= n * times
-    while left.any():
-        pattern = _best_fit(left, capacity)
-        times = min(int(left[k]) // n for k, n in pattern)
+
+    def take(pattern: Pattern, times: int) -> None:
         out.append((pattern, times))
         for k, n in pattern:
             left[k] -= n * times
+
+    if left[capacity]:
+        take(((capacity, 1),), int(left[capacity]))
+    for turn in range(SOLUTIONS):
+        if not left.any():
+            break
+        uses = solve_configurations(left, capacity)
+        whole = [(pattern, int(use + 1e-9)) for pattern, use in uses if use >= 1 - 1e-9]
+        for pattern, times in whole:
+            take(pattern, times)
+        if sum(times for _, times in whole) <= lower_bound(left, capacity) / 9 or turn == SOLUTIONS - 1:
+            for pattern, _ in uses:
+                if all(left[k] >= n for k, n in pattern):
+                    take(pattern, 1)
+            break
+    while left.any():
+        pattern = _best_fit(left, capacity)
+        take(pattern, min(int(left[k]) // n for k, n in pattern))
     return out
 
 
