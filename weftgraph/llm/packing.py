@@ -30,30 +30,27 @@ LEFT_OVER, ROUNDS, SOLUTIONS = 0.02, 400, 8
 PACE, PACE_SEQUENCES = 0.003, 25
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room 0..capacity the dearest filling's worth and the last length put in (its index, -1: a unit stays empty)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """For each room 0..capacity the dearest filling's worth and the last length put in (0: a unit stays empty); prices[l] of length l, -inf for none."""
+    best, last, worth = np.zeros(capacity + 1), [0] * (capacity + 1), np.empty(capacity)
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        n = int(np.searchsorted(lengths, room, side="right"))
-        if n:
-            worth = best[room - lengths[:n]] + prices[:n]
-            k = int(worth.argmax())
-            if worth[k] > best[room] + 1e-12:
-                best[room], last[room] = worth[k], k
+        own = np.add(best[room - 1 :: -1], prices[1 : room + 1], out=worth[:room])
+        k = int(own.argmax())
+        if own[k] > best[room - 1] + 1e-12:
+            best[room], last[room] = own[k], k + 1
+        else:
+            best[room] = best[room - 1]
     return best, last
 
 
-def _filling(lengths: np.ndarray, last: np.ndarray, room: int) -> dict[int, int]:
-    """How often each length, by index, stands in the dearest filling of `room`."""
+def _filling(last: list[int], room: int) -> dict[int, int]:
+    """How often each length stands in the dearest filling of `room`."""
     counts: dict[int, int] = {}
     while room > 0:
-        k = int(last[room])
-        if k < 0:
-            room -= 1
-        else:
+        k = last[room]
+        if k:
             counts[k] = counts.get(k, 0) + 1
-            room -= int(lengths[k])
+        room -= k or 1
     return counts
 
 
@@ -65,9 +62,9 @@ def solve_configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS
     holds each length; those within `slack` of the dearest of all are used until a length in them is
     served further ahead of the whole than the round's step allows. No length is served beyond its demand.
     """
-    lengths = np.flatnonzero(demand)
-    wanted = demand[lengths].astype(float)
-    left, size, step, before = wanted.copy(), lengths / capacity, 0.1, 1.0
+    size = np.arange(capacity + 1) / capacity
+    wanted = demand[: capacity + 1].astype(float)
+    left, step, before = wanted.copy(), 0.1, 1.0
     pace = max(PACE, PACE_SEQUENCES / max(1.0, float((wanted * size).sum())))
     uses: dict[Pattern, float] = {}
     for turn in range(rounds):
@@ -81,25 +78,26 @@ def solve_configurations(demand: np.ndarray, capacity: int, rounds: int = ROUNDS
         open_ = np.flatnonzero((room > 0) & (left > 1e-9 * wanted))
         if not len(open_):
             break
-        own = lengths[open_]
-        prices = size[open_] * np.exp(rate * np.clip(left[open_] / wanted[open_] / share - 1, -3, 3))
-        best, last = knapsack(own, prices, capacity)
-        worth = prices + best[capacity - own]
-        moved = 0.0
-        for k in np.argsort(-worth, kind="stable"):
-            if worth[k] < worth.max() * (1 - slack):
+        prices = np.full(capacity + 1, -np.inf)
+        prices[open_] = size[open_] * np.exp(rate * np.clip(left[open_] / wanted[open_] / share - 1, -3, 3))
+        best, last = knapsack(prices, capacity)
+        worth = prices[open_] + best[capacity - open_]
+        least, moved = worth.max() * (1 - slack), 0.0
+        for k in np.argsort(-worth, kind="stable").tolist():
+            if worth[k] < least:
                 break
-            counts = _filling(own, last, capacity - int(own[k]))
-            counts[int(k)] = counts.get(int(k), 0) + 1
-            at, times = open_[list(counts)], np.array(list(counts.values()))
-            if (times > wanted[at]).any():
+            first = int(open_[k])
+            counts = _filling(last, capacity - first)
+            counts[first] = counts.get(first, 0) + 1
+            if any(n > wanted[x] for x, n in counts.items()):
                 continue  # more of a length than there are pieces
-            use = float((room[at] / times).min())
+            use = min(float(room[x]) / n for x, n in counts.items())
             if use > 0:
-                pattern = tuple(sorted(((int(lengths[x]), int(n)) for x, n in zip(at, times, strict=True)), reverse=True))
+                pattern = tuple(sorted(counts.items(), reverse=True))
                 uses[pattern] = uses.get(pattern, 0.0) + use
-                room[at] -= use * times
-                left[at] -= use * times
+                for x, n in counts.items():
+                    room[x] -= use * n
+                    left[x] -= use * n
                 moved += use
         if moved <= 0 and step >= 1:
             break
