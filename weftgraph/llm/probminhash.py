@@ -142,10 +142,9 @@ def _compare(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def similarities(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b): exact Jaccard of the shingle sets. texts: (c, _utf8)."""
-    kind = pairs.schema["a"].dataType.simpleString()
     right = pairs.join(texts.select(F.col("c").alias("b"), F.col("_utf8").alias("_b")), "b")
     both = right.join(texts.select(F.col("c").alias("a"), F.col("_utf8").alias("_a")), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "_a", "_b").mapInArrow(_compare(width), f"a {kind}, b {kind}, similarity double")
+    return both.select("a", "b", "_a", "_b").mapInArrow(_compare(width), "a long, b long, similarity double")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -157,7 +156,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
             sets = [np.unique(shingles(hashed(x.as_py().split()), width)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "_set"])
 
-    return texts.select("c", "_utf8").mapInArrow(run, f"c {texts.schema['c'].dataType.simpleString()}, _set binary")
+    return texts.select("c", "_utf8").mapInArrow(run, "c long, _set binary")
 
 
 def _crossing(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -196,28 +195,21 @@ def _crossing(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, width: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, class_id) for each row: the smallest id of its group of copies and near copies.
-
-    Two texts are linked if they are equal, or if they share a band and the Jaccard similarity of
-    their sets of `width`-word shingles is at least `threshold`; groups are the connected components. A pair at
-    the threshold shares no band with a probability of 7 in 10,000. Words stand between ASCII white space; a text of fewer words is one shingle; texts without words,
-    null among them, go together only if they are equal, null and empty alike. Rows that repeat an id
-    with different texts join the groups of both. No rows give no rows. Rows without an
-    id are in no group: their class_id is null.
-    """
+def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int, width: int, text: str, id_col: str) -> DataFrame:
+    """(_id, _h1, _h2, group, class_id) for each row with an id: its text's hash, the number of its group and the group's smallest id."""
     bound_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     signed = stage(add_bands(source, bands, rows, width), "near-bands")
-    classes = stage(signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("c"), F.first("_size").alias("n"), F.first("_bands").alias("_bands")), "near-classes")
-    members = stage(classes.select("c", "n", F.posexplode("_bands").alias("band", "k")).distinct(), "near-members")
+    texts_of = signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("first"), F.first("_size").alias("n"), F.first("_bands").alias("_bands"))
+    classes = stage(texts_of.withColumn("c", F.monotonically_increasing_id()), "near-classes")  # numbered once, as it is written
+    members = stage(classes.select("c", "n", F.posexplode("_bands").alias("band", "k")), "near-members")
     shared = members.groupBy("k").agg(F.min("c").alias("lead"), F.min(F.struct("c", "n"))["n"].alias("lead_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
     banded = stage(members.join(shared, "k"), "near-shared")
     sizes_fit = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
     stars = stage(banded.where((F.col("c") != F.col("lead")) & sizes_fit(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct(), "near-pairs")
-    needed = banded.select("c").distinct()
-    home = source.select(F.col("_id").alias("c"), F.encode("_text", "UTF-8").alias("_utf8"))
-    texts = stage(home.join(needed, "c", "left_semi").dropDuplicates(["c"]), "near-texts")
+    needed = classes.join(banded.select("c").distinct(), "c", "left_semi").select(F.col("first").alias("_id"), "_h1", "_h2", "c")
+    home = source.select("_id", *text_key(F.col("_text")), F.encode("_text", "UTF-8").alias("_utf8"))
+    texts = stage(home.join(needed, ["_id", "_h1", "_h2"]).select("c", "_utf8").dropDuplicates(["c"]), "near-texts")
     judged = stage(similarities(stars, texts, width), "near-judged")
     links = judged.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(links, "a", "b", "near")
@@ -228,22 +220,37 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     mixed = grouped.groupBy("k").agg((F.min("g") != F.max("g")).alias("_mixed")).where("_mixed").select("k")
     open_ = stage(grouped.join(mixed, "k", "left_semi").select("k", "band", "c", "n", "g", "lead"), "near-open")
     sizes = open_.groupBy("k").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    keys = classes.select("c", "_bands").dropDuplicates(["c"])
     sets = shingle_sets(texts.join(open_.select("c").distinct(), "c", "left_semi"), width)
-    placed = open_.join(sizes, "k").join(keys, "c").join(sets, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+    placed = open_.join(sizes, "k").join(classes.select("c", "_bands"), "c").join(sets, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t0"), F.greatest(t, F.col("tile")).alias("t1"), (t < F.col("tile")).cast("int").alias("side")))
     tiled = placed.select("k", "band", "c", "g", "lead", "_bands", "_set", F.explode(meets).alias("p")).select("*", "p.*").drop("p")
-    kind = source.schema["_id"].dataType.simpleString()
-    more = stage(tiled.groupBy("k", "t0", "t1").applyInPandas(_crossing(threshold), f"a {kind}, b {kind}").distinct(), "near-more")
+    more = stage(tiled.groupBy("k", "t0", "t1").applyInPandas(_crossing(threshold), "a long, b long").distinct(), "near-more")
     if more.limit(1).count():
         labels = components(links.union(more), "a", "b", "near")
-    texts_of = signed.select("_id", "_h1", "_h2").join(classes.select("_h1", "_h2", "c"), ["_h1", "_h2"])
-    named_rows = texts_of.join(labels.withColumnRenamed("id", "c"), "c", "left").select(F.col("_id").alias(id_col), F.coalesce("component", "c").alias("class_id"))
-    return named_rows.union(docs.where(F.col(id_col).isNull()).select(id_col, F.col(id_col).alias("class_id")))
+    own = classes.select("_h1", "_h2", "first", "c").join(named("c", "group"), "c", "left").withColumn("group", F.coalesce("group", "c"))
+    least = own.groupBy("group").agg(F.min("first").alias("class_id"))
+    return signed.select("_id", "_h1", "_h2").join(own.join(least, "group").select("_h1", "_h2", "group", "class_id"), ["_h1", "_h2"])
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, width: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id_col, class_id) for each row: the smallest id of its group of copies and near copies.
+
+    Two texts are linked if they are equal, or if they share a band and the Jaccard similarity of
+    their sets of `width`-word shingles is at least `threshold`; groups are the connected components. A
+    pair at the threshold shares no band with a probability of 7 in 10,000. Words stand between ASCII
+    white space; a text of fewer words is one shingle; texts without words, null among them, go together
+    only if they are equal, null and empty alike. Rows that repeat an id are judged each by its own text:
+    with different texts they may be in different groups. No rows give no rows. Rows without an
+    id are in no group: their class_id is null.
+    """
+    found = _grouped(docs, threshold, bands, rows, width, text, id_col).select(F.col("_id").alias(id_col), "class_id")
+    return found.union(docs.where(F.col(id_col).isNull()).select(id_col, F.col(id_col).alias("class_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """`docs` with one row for each group of `near_duplicates`: that whose id names the group. Rows without an id belong to no group and stay."""
-    found = near_duplicates(docs, threshold, text=text, id_col=id_col)
-    heads = found.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(heads, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """`docs` with one row for each group of `near_duplicates`: one whose id names the group. Rows without an id belong to no group and stay."""
+    found = _grouped(docs, threshold, BANDS, ROWS, 5, text, id_col)
+    heads = found.where("_id = class_id").groupBy("group").agg(F.min(F.struct("_id", "_h1", "_h2")).alias("h")).select("h.*")
+    packed = docs.where(F.col(id_col).isNotNull()).select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), *text_key(F.coalesce(F.col(text), F.lit(""))))
+    kept = packed.join(heads, ["_id", "_h1", "_h2"], "left_semi").dropDuplicates(["_id", "_h1", "_h2"]).select("_row.*")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
