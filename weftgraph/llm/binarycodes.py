@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by randomly rotated binary codes.
 
-Vectors of length one are rotated at random and kept as the signs of their coordinates, with two
-correction factors: the inner product of a vector with its code, and the sum of its coordinates'
-sizes behind it. Code against code and factors give an unbiased estimate of the inner product of
-two vectors and a bound on its error; pairs whose upper bound lies under the threshold are done,
-the others are computed again from the vectors in double precision. Runs of code bits from further
-rotations bucket the vectors, so that only vectors of one bucket are estimated; there are as many
-runs as make a pair at the threshold meet with a probability of at least 1 - MISS. Large buckets
-are worked through in tiles that are dealt to different tasks.
+Vectors of length one are rotated at random and stored as packed bits: the signs of their coordinates,
+and the coordinates themselves rounded at random to four bits. With them go the code's correction
+factors: the inner product of the vector with its signs, and the step of the rounding. Signs of one
+vector against four-bit coordinates of the other, counted on the packed bits, give an unbiased
+estimate of the inner product and its error. Runs of bits from further rotations bucket the
+vectors, so that only vectors of one bucket are estimated; there are as many runs as make a pair at the
+threshold meet with a probability of at least 1 - MISS. What moves to the buckets is codes alone:
+the vectors themselves are fetched only for members of a bucket with a pair whose bound reaches
+the threshold, and such pairs are computed again in double precision. Large buckets are worked
+through in tiles that are dealt to different tasks.
 """
 
 from __future__ import annotations
@@ -20,23 +22,31 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.llm.common import components, stage, without
 
 #: Probability that no run of bits brings a pair at the threshold together.
-MISS = 1e-6
+MISS = 1e-4
 #: Vectors that a bucket should hold, rows of a tile, and pairs that are computed exactly at a time.
 BUCKET, TILE, CHUNK = 64, 1024, 32_768
-#: Standard deviations of the estimate's error that the upper bound leaves room for.
-SURE = 6.0
+#: Rows of codes, and of vectors, that a task should work through at once.
+CODE_ROWS, VECTOR_ROWS = 20_000, 5_000
+#: Standard deviations of the estimate's error that the bound leaves room for.
+SURE = 5.0
+#: Rotated coordinates are at least so many; rounded ones lie in -LEVEL..LEVEL steps, in four bits.
+LEAST_WIDTH, LEVEL, PLANES = 128, 7, 4
+
+
+def code_width(dims: int) -> int:
+    """Coordinates of a rotated vector: words of 64 bits, shorter vectors being filled up with zeros before."""
+    return max(LEAST_WIDTH, -(-dims // 64) * 64)
 
 
 @cache
-def rotation(dims: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same for the same seed."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
-    return q * np.sign(np.diag(r))
+def rotation(dims: int, width: int, seed: int) -> np.ndarray:
+    """The first `dims` rows of a random orthogonal matrix, the same for the same seed."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, width)))
+    return (q * np.sign(np.diag(r)))[:dims]
 
 
 def runs_needed(threshold: float, bits: int) -> int:
@@ -45,24 +55,48 @@ def runs_needed(threshold: float, bits: int) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log1p(-alike)))
 
 
-def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signs of the rotated rows as +1 and -1, and each row's inner product with its code."""
-    turned = unit @ turn
-    signs = np.where(turned >= 0, 1.0, -1.0)
-    return signs, (turned * signs).sum(axis=1) / math.sqrt(unit.shape[1])
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
+
+
+def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed bits (row, signs and PLANES planes, word), inner product with the signs' code, and step of the rounding."""
+    width = code_width(unit.shape[1])
+    turned = unit @ rotation(unit.shape[1], width, seed)
+    step = np.abs(turned).max(axis=1) / LEVEL
+    raised = np.random.default_rng(seed ^ 0x5EED).random(width)  # what is added before rounding down
+    level = np.clip(np.floor(turned / step[:, None] + raised) + LEVEL, 0, 2 * LEVEL + 1).astype(np.uint8)
+    planes = [_packed(turned >= 0), *(_packed((level >> k) & 1) for k in range(PLANES))]
+    return np.stack(planes, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(width), step
+
 
+def estimate(a: np.ndarray, factor: np.ndarray, b: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Unbiased estimates of the inner products of all rows of `a`, by their signs, with all rows of `b`, by their planes."""
+    words = a.shape[2]
+    width = 64 * words
+    total = np.zeros((len(a), len(b)), np.int32)
+    for k in range(PLANES):
+        both = np.zeros((len(a), len(b)), np.int32)
+        for w in range(words):
+            both += np.bitwise_count(a[:, None, 0, w] & b[None, :, 1 + k, w])
+        total += (2 * both - np.bitwise_count(b[:, 1 + k]).sum(axis=1, dtype=np.int32)) << k
+    total -= LEVEL * (2 * np.bitwise_count(a[:, 0]).sum(axis=1, dtype=np.int32) - width)[:, None]
+    return total * step / (math.sqrt(width) * factor[:, None])
 
-def estimate(signs_a: np.ndarray, factor_a: np.ndarray, turned_b: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the inner products of coded rows with rotated rows, and one standard deviation of their error."""
-    raw = signs_a @ turned_b.T / math.sqrt(dims)
-    error = np.sqrt(np.maximum(1 - factor_a**2, 0) / max(1, dims - 1)) / factor_a
-    return raw / factor_a[:, None], error[:, None]
+
+def deviation(factor: np.ndarray, step: np.ndarray, width: int, cosine: float) -> np.ndarray:
+    """Standard deviation of the estimates of pairs with an inner product of `cosine`, no less than it is.
+
+    Of the other vector only the part at right angles to the coded one is seen through the signs' error.
+    """
+    signs = np.sqrt(np.maximum(1 - factor**2, 0) * (1 - cosine**2) / max(1, width - 1))
+    return np.hypot(signs[:, None], step[None, :] / 2) / factor[:, None]
 
 
 def bucket_keys(unit: np.ndarray, bits: int, runs: int, seed: int) -> np.ndarray:
     """A key of `bits` signs for each row and run."""
     dims = unit.shape[1]
-    turns = np.hstack([rotation(dims, seed + 1 + k) for k in range(-(-bits * runs // dims))])[:, : bits * runs]
+    turns = np.hstack([rotation(dims, dims, seed + 1 + k) for k in range(-(-bits * runs // dims))])[:, : bits * runs]
     signs = (unit @ turns >= 0).reshape(len(unit), runs, bits)
     return (signs * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(axis=2)
 
@@ -79,29 +113,61 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _join_tile(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into a and b, or into a twice) that are linked and that no earlier run of bits brings together."""
-    ua = _units(a["v"])
-    ub = ua if b is None else _units(b["v"])
-    dims = ua.shape[1]
-    turn = rotation(dims, seed)
-    signs, factor = encode(ua, turn)
-    guess, error = estimate(signs, factor, ub @ turn, dims)
-    close = guess + SURE * error >= threshold
-    if b is None:
-        close = np.triu(close, 1)
-    x, y = np.nonzero(close)
-    if (run := int(a["run"].iloc[0])) and len(x):
-        ka = bucket_keys(ua, bits, run, seed)
-        kb = ka if b is None else bucket_keys(ub, bits, run, seed)
-        for k in range(run):
-            apart = ka[x, k] != kb[y, k]
-            x, y = x[apart], y[apart]
-    linked = np.zeros(len(x), bool)
-    for k in range(0, len(x), CHUNK):
-        part = slice(k, k + CHUNK)
-        linked[part] = np.einsum("ij,ij->i", ua[x[part]], ub[y[part]]) >= threshold
-    return x[linked], y[linked]
+CODE = "keys array<long>, code binary, factor double, step double"
+
+
+def coder(bits: int, runs: int, seed: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, codes = [None] * len(batch), [b""] * len(batch)
+            factors, steps = np.zeros(len(batch)), np.zeros(len(batch))
+            lengths = batch.map(len).to_numpy()
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                unit = _units(batch.iloc[at])
+                packed, factors[at], steps[at] = encode(unit, seed)
+                for k, own, key in zip(at, packed, bucket_keys(unit, bits, runs, seed), strict=True):
+                    codes[k], keys[k] = own.tobytes(), key
+            yield pd.DataFrame({"keys": keys, "code": codes, "factor": factors, "step": steps})
+
+    return run
+
+
+TILE_KEY = ["dims", "run", "key", "t0", "t1"]
+
+
+def _tiles(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for _, tile in rows.sort_values("c", kind="stable").groupby(TILE_KEY, sort=False):
+        if len(tile) > 1:
+            yield tile
+
+
+def _open_pairs(tile: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the tile of pairs whose estimate and error leave the threshold within reach."""
+    side = tile["side"].to_numpy()
+    left = np.flatnonzero(side == 0)
+    right = left if len(left) == len(side) else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    bits = np.frombuffer(b"".join(tile["code"]), np.uint64).reshape(len(tile), 1 + PLANES, -1)
+    factor, step = tile["factor"].to_numpy(), tile["step"].to_numpy()
+    guess = estimate(bits[left], factor[left], bits[right], step[right])
+    near = guess + SURE * deviation(factor[left], step[right], 64 * bits.shape[2], threshold) >= threshold
+    x, y = np.nonzero(np.triu(near, 1) if right is left else near)
+    return left[x], right[y]
+
+
+def _find_open(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The members of each tile that have a pair to be computed."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tile in _tiles(rows):
+            x, y = _open_pairs(tile, threshold)
+            out.append(tile.iloc[np.union1d(x, y)][["c", "side", *TILE_KEY]])
+        return pd.concat(out) if out else rows.iloc[:0][["c", "side", *TILE_KEY]]
+
+    return run
 
 
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -120,78 +186,79 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
-def _tile_links(threshold: float, bits: int, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("id", kind="stable").reset_index(drop=True)
-        n = len(tile)
-        left = tile["side"].to_numpy() == 0
-        if left.all():
-            x, y = _join_tile(tile, None, threshold, bits, seed)
-        else:
-            first, second = np.flatnonzero(left), np.flatnonzero(~left)
-            if not len(first):
-                return pd.DataFrame({"id": [], "links": [], "root": []})
-            x, y = _join_tile(tile.iloc[first], tile.iloc[second], threshold, bits, seed)
-            x, y = first[x], second[y]
-        copies = tile["copies"].to_numpy()
-        links = np.bincount(x, weights=copies[y], minlength=n) + np.bincount(y, weights=copies[x], minlength=n)
-        root = _roots(n, x, y)
-        told = np.flatnonzero(links)
-        ids = tile["id"].to_numpy()
-        return pd.DataFrame({"id": ids[told], "links": links[told].astype(np.int64), "root": ids[root[told]]})
+def _compute(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links of the open pairs from the vectors, without pairs that an earlier run has in one bucket."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for tile in _tiles(rows):
+            x, y = _open_pairs(tile, threshold)
+            keys = np.stack(tile["keys"].to_numpy())
+            for k in range(int(tile["run"].iloc[0])):
+                apart = keys[x, k] != keys[y, k]
+                x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            unit = _units(tile["v"])
+            linked = np.zeros(len(x), bool)
+            for k in range(0, len(x), CHUNK):
+                part = slice(k, k + CHUNK)
+                linked[part] = np.einsum("ij,ij->i", unit[x[part]], unit[y[part]]) >= threshold
+            x, y, n, copies = x[linked], y[linked], len(tile), tile["copies"].to_numpy()
+            links = np.bincount(x, weights=copies[y], minlength=n) + np.bincount(y, weights=copies[x], minlength=n)
+            told, c = np.flatnonzero(links), tile["c"].to_numpy()
+            out.append(pd.DataFrame({"c": c[told], "links": links[told].astype(np.int64), "root": c[_roots(n, x, y)[told]]}))
+        return pd.concat(out) if out else pd.DataFrame({"c": [], "links": [], "root": []})
 
     return run
 
 
+def _cells(rows: DataFrame, n: int) -> DataFrame:
+    """Many tiles to a task's share of rows."""
+    return rows.withColumn("cell", F.pmod(F.xxhash64(*TILE_KEY), F.lit(max(1, n))))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, seed: int = 29, id_col: str = "vec_id", vector: str = "embedding", bucket: int = BUCKET) -> DataFrame:
     """`vectors` without the vector column, with n_links, component_id and kept for each row.
 
     n_links: other rows with a cosine of at least `threshold` to this one; component_id: the smallest
     id reachable by links; kept: whether that is its own. A pair under the threshold is never linked;
-    one at it is missed with a probability of at most MISS, one above with a smaller one. Equal vectors
+    one at it is missed with a probability of about MISS, one above with a smaller one. Equal vectors
     are compared once and counted as often as they stand. Vectors that are null, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths with one another.
-    Rows that repeat an id are counted each and go together. A null id gets no component. No rows give
-    no rows; input columns named as an added one are replaced.
+    Rows that repeat an id are counted each and told apart by their vectors. A row with a null id gets no
+    component and links with nothing. No rows give no rows; input columns named as an added one are replaced.
     """
     keep = [x for x in without(vectors, ["n_links", "component_id", "kept"]) if x != vector]
     single = vectors.schema[vector].dataType.simpleString() == "array<float>"  # kept as they are, to move half the bytes
     double = F.col(vector) if single else F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("_id"), double.alias("v"))
-    good = rows.where(F.size("v") > 0).where(usable(F.col("v"))).where(F.col("_id").isNotNull())
-    key = F.xxhash64("v"), F.xxhash64("v", F.lit(1)), F.size("v")
-    keyed = good.select("_id", "v", *(k.alias(f"k{i}") for i, k in enumerate(key)))
-    classes = stage(keyed.groupBy("k0", "k1", "k2").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vector-classes")
+    good = usable(double) & F.col(id_col).isNotNull()
+    marked = vectors.select(F.struct(*keep).alias("_row"), F.col(id_col).alias("_id"), F.when(good, double).alias("v"), *(F.when(good, k).alias(f"k{i}") for i, k in enumerate((F.xxhash64(double), F.xxhash64(double, F.lit(1)), F.size(double)))))
+    grouped = marked.where(F.col("k0").isNotNull()).groupBy("k0", "k1", "k2").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    classes = stage(grouped.withColumn("c", F.monotonically_increasing_id()), "vector-classes")
 
     count, largest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max("k2"), F.lit(1))).first()
     bits = max(4, min(largest * 4, 60, math.ceil(math.log2(max(2, count) / bucket))))
     runs = runs_needed(threshold, bits)
+    code = F.pandas_udf(coder(bits, runs, seed), CODE)
+    coded = stage(classes.withColumn("x", code("v")).select("c", "id", "copies", "v", "k0", "k1", F.col("k2").alias("dims"), "x.*"), "vector-codes")
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out: list = [None] * len(batch)
-            lengths = batch.map(len).to_numpy()
-            for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                for k, row in zip(at, bucket_keys(_units(batch.iloc[at]), bits, runs, seed), strict=True):
-                    out[k] = row
-            yield pd.Series(out)
-
-    coded = stage(classes.select("id", "copies", "v", F.col("k2").alias("dims"), keys_of("v").alias("keys")), "vector-codes")
-    dealt = coded.select("*", F.posexplode("keys").alias("run", "key"))
-    sizes = dealt.groupBy("dims", "run", "key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    tiles = F.ceil(F.col("_m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    placed = dealt.join(sizes.withColumn("tiles", tiles).drop("_m"), ["dims", "run", "key"]).withColumn("tile", own)
+    dealt = coded.select("c", "dims", "code", "factor", "step", F.posexplode("keys").alias("run", "key"))
+    sizes = stage(dealt.groupBy("dims", "run", "key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").withColumn("tiles", F.ceil(F.col("_m") / TILE).cast("int")), "vector-buckets")
+    moved = sizes.agg(F.sum(F.col("_m") * F.col("tiles"))).first()[0] or 0
+    placed = dealt.join(sizes.drop("_m"), ["dims", "run", "key"]).withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t0"), F.greatest(t, F.col("tile")).alias("t1"), (t < F.col("tile")).cast("int").alias("side")))
-    spread = placed.select("id", "copies", "v", "dims", "run", "key", F.explode(pairs).alias("p")).select("*", "p.t0", "p.t1", "p.side").drop("p")
-    found = stage(spread.groupBy("dims", "run", "key", "t0", "t1").applyInPandas(_tile_links(threshold, bits, seed), f"id {vectors.schema[id_col].dataType.simpleString()}, links long, root {vectors.schema[id_col].dataType.simpleString()}"), "vector-links")
-
-    links = found.groupBy("id").agg(F.sum("links").alias("_links"))
-    groups = components(found.select("id", "root"), "id", "root", "vector").select("id", F.col("component").alias("_component"))
-    per_class = classes.select("k0", "k1", "k2", "id", "copies").join(links, "id", "left").join(groups, "id", "left")
-    named = per_class.select(*(F.col(f"k{i}").alias(f"_j{i}") for i in range(3)), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_component", "id").alias("component_id"))
-    marked = vectors.select(*keep, *(F.when(usable(double) & F.col(id_col).isNotNull(), k).alias(f"_k{i}") for i, k in enumerate((F.xxhash64(double), F.xxhash64(double, F.lit(1)), F.size(double)))))
-    joined = marked.join(named, (F.col("_k0") == F.col("_j0")) & (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
-    return joined.select(*keep, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", id_col).alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    spread = placed.select("c", "code", "factor", "step", "dims", "run", "key", F.explode(pairs).alias("p")).select("*", "p.t0", "p.t1", "p.side").drop("p")
+    found = _cells(spread, -(-moved // CODE_ROWS)).groupBy("cell").applyInPandas(_find_open(threshold), "c long, side int, dims int, run int, key long, t0 int, t1 int")
+    open_ = stage(found, "vector-open")
+    full = open_.join(coded.select("c", "copies", "v", "keys", "code", "factor", "step"), "c")
+    links = stage(_cells(full, -(-open_.count() // VECTOR_ROWS)).groupBy("cell").applyInPandas(_compute(threshold), "c long, links long, root long"), "vector-links")
+
+    reached = components(links.select("c", "root"), "c", "root", "vector").withColumnRenamed("id", "c")
+    least = reached.join(coded.select("c", "id"), "c").groupBy("component").agg(F.min("id").alias("component_id"))
+    counted = links.groupBy("c").agg(F.sum("links").alias("_links"))
+    named = coded.select("c", "id", "copies", "k0", "k1", F.col("dims").alias("k2")).join(counted, "c", "left").join(reached.join(least, "component"), "c", "left")
+    told = named.select("k0", "k1", "k2", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    joined = marked.drop("v").join(told, ["k0", "k1", "k2"], "left")
+    own = F.coalesce("component_id", "_id")
+    return joined.select("_row.*", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("_id") == own).alias("kept"))
