@@ -206,6 +206,17 @@ def test_groups_against_brute_force(spark):
     assert found == group
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Each row goes with its own text."""
+    a, b = " ".join(words(60, 1)), " ".join(words(60, 2))
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " more", "s"), (3, b + " more", "s"), (4, b + " more", "t"), (5, "else", "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(docs).collect())
+    assert found == {(1, 1): 2, (2, 1): 1, (3, 1): 1, (4, 1): 1, (5, 5): 1, (None, None): 1}
+    kept = Counter((r.doc_id, r.text) for r in probminhash.keep_one(docs).collect())
+    assert kept == {(1, a): 1, (1, b): 1, (5, "else"): 1, (None, a): 1}
+
+
 # -- 4 licenses -----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize(
@@ -252,14 +263,56 @@ def test_estimate_is_unbiased():
     rng = np.random.default_rng(2)
     unit = rng.normal(size=(2, 64))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = float(unit[0] @ unit[1])
     guesses = []
     for seed in range(300):
-        turn = binarycodes.rotation(64, seed)
-        guess, error = binarycodes.estimate(*binarycodes.encode(unit[:1], turn), unit[1:] @ turn, 64)
-        guesses.append((guess[0, 0], error[0, 0]))
+        bits, factor, step = binarycodes.encode(unit, seed)
+        guess = binarycodes.estimate(bits[:1], factor[:1], bits[1:], step[1:])
+        guesses.append((guess[0, 0], binarycodes.deviation(factor[:1], step[1:], 128, cosine)[0, 0]))
     guess, error = np.array(guesses).T
-    assert abs(guess.mean() - unit[0] @ unit[1]) < 4 * guess.std() / math.sqrt(300)
-    assert (np.abs(guess - unit[0] @ unit[1]) < binarycodes.SURE * error).all()
+    assert abs(guess.mean() - cosine) < 4 * guess.std() / math.sqrt(300)
+    assert guess.std() < error.mean() and (np.abs(guess - cosine) < binarycodes.SURE * error).all()
+
+
+def test_no_pair_at_the_threshold_is_passed_over():
+    """The bound keeps every one of 20,000 pairs just over the threshold, and few of as many far under it."""
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.normal(size=(200, 100, 64))
+    z -= (z @ a[:, :, None]) * a[:, None, :]
+    z /= np.linalg.norm(z, axis=2, keepdims=True)
+    for cosine, most, least in ((0.9501, 1.0, 1.0), (0.5, 0.05, 0.0)):
+        b = cosine * a[:, None] + math.sqrt(1 - cosine**2) * z
+        (ca, fa, _), open_ = binarycodes.encode(a, 7), 0
+        for k in range(200):
+            cb, _, sb = binarycodes.encode(b[k], 7)
+            guess = binarycodes.estimate(ca[k : k + 1], fa[k : k + 1], cb, sb)
+            open_ += int((guess + binarycodes.SURE * binarycodes.deviation(fa[k : k + 1], sb, 128, 0.95) >= 0.95).sum())
+        assert least <= open_ / 20_000 <= most
+
+
+def test_vectors_with_odd_columns(spark):
+    rows = [(k, [1.0, float(k % 3)], "x") for k in range(30)] + [(None, [1.0, 0.0], "x"), (7, None, None)]
+    clash = ["_k0", "_j0", "k0", "c", "v", "id", "_row", "_id", "n_links", "kept", "copies", "code"]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, note string").withColumns({x: F.lit("mine") for x in clash})
+    found = binarycodes.near_vectors(df).collect()
+    assert len(found) == 32 and all(r._k0 == r._j0 == r.c == r.code == "mine" for r in found)
+    by = {(r.vec_id, r.note): r for r in found}
+    assert [by[k, "x"].n_links for k in range(3)] == [9, 9, 9] and by[28, "x"].component_id == 1 and by[1, "x"].kept
+    assert (by[7, None].n_links, by[7, None].component_id, by[None, "x"].component_id, by[None, "x"].n_links) == (0, 7, None, 0)
+    assert binarycodes.near_vectors(df.limit(0)).count() == 0
+
+
+def test_tiles_of_a_hot_bucket(spark, monkeypatch):
+    """One dense group over several tiles; every vector's links are counted."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=64) + rng.normal(size=(90, 64)) * 0.1
+    monkeypatch.setattr(binarycodes, "TILE", 16)
+    found = {r.vec_id: r for r in binarycodes.near_vectors(spark.createDataFrame([(k, [float(x) for x in y]) for k, y in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for k, n in enumerate((unit @ unit.T >= 0.95).sum(axis=1) - 1):
+        assert found[k].n_links == n and found[k].component_id == 0
 
 
 # -- 6 language model -----------------------------------------------------------------------------
@@ -385,6 +438,40 @@ def test_plans_hold_every_piece(lengths):
     assert sum(t for _, t in plan) <= math.ceil(sum(lengths) / 64) * 1.34 + 2
 
 
+def best_fit_alone(histogram, capacity):
+    left, n = histogram.copy(), 0
+    while left.any():
+        pattern = packing._best_fit(left, capacity)
+        times = min(int(left[k]) // m for k, m in pattern)
+        n += times
+        for k, m in pattern:
+            left[k] -= m * times
+    return n
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_program_beats_best_fit_on_triplets(times):
+    """Triples of pieces that fill a sequence exactly: best fit needs a sixth more, the program hardly any."""
+    rng, histogram = np.random.default_rng(1), np.zeros(1001, np.int64)
+    for _ in range(200):
+        a = int(rng.integers(380, 491))
+        b = int(rng.integers(max(251, (1000 - a) // 2 - 40), (1000 - a) // 2))
+        for x in (a, b, 1000 - a - b):
+            histogram[x] += times
+    n = sum(t for _, t in packing.plan_sequences(histogram, 1000))
+    assert packing.lower_bound(histogram, 1000) == 200 * times
+    assert n <= 203 * times and best_fit_alone(histogram, 1000) >= 230 * times
+
+
+def test_program_beats_best_fit_on_a_large_histogram():
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(1, 257, 3000), np.minimum(rng.lognormal(4, 0.6, 4000).astype(int) + 1, 256)])
+    histogram = np.bincount(lengths, minlength=257) * 1000
+    n = sum(t for _, t in packing.plan_sequences(histogram, 256))
+    assert packing.lower_bound(histogram, 256) <= n <= packing.lower_bound(histogram, 256) * 1.0005
+    assert n <= best_fit_alone(histogram, 256)
+
+
 def test_pieces(spark):
     from tokenizers import Tokenizer
 
