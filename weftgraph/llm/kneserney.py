@@ -1,18 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
-
-Words are 64-bit hashes; a training word's id is its place in the sorted array of all hashes. A
-bigram's key is both ids in 64 bits. Map tasks send sorted, delta-coded blocks of keys with counts,
-one block for each shard, so that counting costs Spark a few rows a task. A shard is a task's worth
-of tokens: contexts are dealt to shards by hash, and the bigrams of a context that alone exceeds a
-shard are spread over several. Tasks write their part of the model to the shared folder as sorted
-arrays, which the workers that score map into memory; the driver holds the shards' sizes only.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by workers.
+
+A training word's id is its place in the sorted array of all words' 64-bit hashes; an n-gram's key is
+a 64-bit hash of its ids. Map tasks send blocks of distinct n-grams with counts, one block for each
+shard, so that counting costs Spark a few rows a task. A shard is a task's worth of tokens: n-grams
+are dealt to shards by the hash of their context, and those of a context whose words are all
+so frequent that it might exceed a shard are spread over several. Tasks merge a shard, write its
+keys and counts and the sums of its contexts to the shared folder as sorted arrays, and send on what
+the next lower order counts: how many different words stand before an n-gram. Workers that score
+map the arrays into memory; the driver holds sizes and frequent words only.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -27,25 +27,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import new_path, stage, without
-from weftgraph.llm.probminhash import U64, Words, mix, worker_words
+from weftgraph.llm.probminhash import GOLDEN, U64, Words, mix, worker_words
 
+#: Words of an n-gram unless another order is asked for.
+ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
-SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 4_000_000, 1_000_000, 1_000_000
-#: Tokens that are looked up together, and distinct bigrams that a task holds before it sends them.
-CHUNK, HELD = 1_000_000, 2_000_000
-#: Shards whose sums one task adds up, and arrays that a worker keeps mapped.
-FAN_IN, MAPPED = 16, 8192
+SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 3_000_000, 1_000_000, 1_000_000
+#: Tokens that are looked up together, and distinct n-grams that a task holds before it sends them.
+CHUNK, HELD = 1_000_000, 1_500_000
+#: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
+FAN_IN, MAPPED, FETCHED = 16, 8192, 32
 #: Stands for the end of a text among the hashes of words.
 END = 0x656E64206F66
-SHIFT = U64(32)
 
 
 class Store:
-    """Arrays as files in the shared folder, mapped into memory.
-
-    A folder of the file system is used in place. Of any other store each worker's host keeps
-    copies of the arrays that it opens, fetched through Arrow, in its own temporary folder.
-    """
+    """Arrays as files in the shared folder, mapped into memory where that is a file system; of any other store read whole."""
 
     def __init__(self, uri: str):
         self.uri = uri
@@ -65,37 +62,44 @@ class Store:
         np.ascontiguousarray(data).tofile(part)
         os.replace(part, f"{self.local}/{name}")  # whole or not at all, whichever attempt of a task comes last
 
-    def open(self, name: str, dtype: type) -> np.ndarray:
-        path = f"{self.local}/{name}"
+    def open(self, name: str) -> np.ndarray:
+        """The bytes of an array."""
         if self.local is None:
             from pyarrow import fs
 
-            folder = os.path.join(tempfile.gettempdir(), f"ngrams-{abs(hash(self.uri)):x}")
-            path = f"{folder}/{name}"
-            if not os.path.exists(path):
-                os.makedirs(folder, exist_ok=True)
-                files, root = fs.FileSystem.from_uri(self.uri)
-                part = f"{path}.{uuid.uuid4().hex}"
-                with files.open_input_stream(f"{root}/{name}") as source, open(part, "wb") as out:
-                    shutil.copyfileobj(source, out)
-                os.replace(part, path)
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+            files, root = fs.FileSystem.from_uri(self.uri)
+            with files.open_input_stream(f"{root}/{name}") as source:
+                return np.frombuffer(source.read(), np.uint8)
+        path = f"{self.local}/{name}"
+        return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes each as hold the largest."""
+    most = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
+
+
+def widened(data: np.ndarray, n: int) -> np.ndarray:
+    """`n` numbers of `narrow` from their bytes."""
+    return data.view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]) if n else np.zeros(0, np.uint8)
 
 
 @dataclass
 class Model:
-    """What the driver knows of a model: sizes of shards, frequent contexts, discounts."""
+    """What the driver knows of a model: sizes of shards, frequent words, discounts by order."""
 
     uri: str
+    order: int = ORDER
     vocabulary_bits: int = 0
     offsets: list[int] = field(default_factory=list)
     words: int = 0
     tokens: int = 0
     shards: int = 1
-    spread: dict[int, int] = field(default_factory=dict)
+    often: dict[int, int] = field(default_factory=dict)  # shards that a frequent word would fill
     types: int = 0
     freed: float = 0.0  # of the word counts, what the discounts took
-    discounts: list[list[float]] = field(default_factory=lambda: [[0.0, 0.5, 1.0, 1.5]] * 2)
+    discounts: dict[int, list[float]] = field(default_factory=dict)
 
     @property
     def begin(self) -> int:
@@ -116,79 +120,140 @@ def discounts(found: list[int]) -> list[float]:
     return [0.0, *(min(max(d, 0.05), k) for k, d in enumerate(raw, 1))]
 
 
+def fold(keys: np.ndarray | np.uint64, ids: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of all words but the last, 0 without any, and the last words' ids."""
+    return mix(keys * GOLDEN + ids.astype(U64) + U64(1))
+
+
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    keys = np.zeros(len(grams), U64)
+    for k in range(grams.shape[1]):
+        keys = fold(keys, grams[:, k])
+    return keys
+
+
+def parts_of(contexts: np.ndarray, model: Model) -> np.ndarray:
+    """Shards that the n-grams of a context are spread over: as many as its rarest word would fill."""
+    parts = np.ones(len(contexts), np.int64)
+    if model.often and len(contexts):
+        known = np.array(sorted(model.often))
+        fill = np.array([model.often[x] for x in known])
+        for k in range(contexts.shape[1]):
+            at = np.minimum(np.searchsorted(known, contexts[:, k]), len(known) - 1)
+            own = np.where(known[at] == contexts[:, k], fill[at], 1)
+            parts = own if k == 0 else np.minimum(parts, own)
+    return parts
+
+
+def shard_of(context_keys: np.ndarray, keys: np.ndarray, parts: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(context_keys + U64(1)) + mix(keys) % parts.astype(U64)) % U64(shards)).astype(np.int64)
+
+
+def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value with the places where it stands."""
+    order = np.argsort(values, kind="stable")
+    cuts = np.flatnonzero(np.diff(values[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        yield int(values[at[0]]), at
+
+
+def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted `known`, and whether the keys are there."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
 class Lookup:
     """A worker's view of the model."""
 
     def __init__(self, model: Model):
         self.model, self.store = model, Store(model.uri)
-        self.array = lru_cache(maxsize=MAPPED)(self.store.open)
+        self.bytes = lru_cache(maxsize=FETCHED if self.store.local is None else MAPPED)(self.store.open)
+
+    def array(self, name: str, dtype: type) -> np.ndarray:
+        return self.bytes(name).view(dtype)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of sorted distinct hashes; unknown ones get the model's unknown id."""
+        """Ids of hashes of words; unknown ones get the model's unknown id."""
         out = np.full(len(hashes), self.model.unknown, np.int64)
-        if not self.model.words:
-            return out
-        bits = self.model.vocabulary_bits
-        ends = np.searchsorted(hashes >> U64(64 - bits) if bits else np.zeros(len(hashes), U64), np.arange((1 << bits) + 1, dtype=U64))
-        for k in range(1 << bits):
-            own = hashes[ends[k] : ends[k + 1]]
-            if len(own) and len(known := self.array(f"words-{k}", np.uint64)):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                out[ends[k] : ends[k + 1]] = np.where(known[at] == own, at + self.model.offsets[k], self.model.unknown)
+        if self.model.words:
+            bits = self.model.vocabulary_bits
+            for k, rows in _by((hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)):
+                at, there = find(self.array(f"words-{k}", np.uint64), hashes[rows])
+                out[rows] = np.where(there, at + self.model.offsets[k], self.model.unknown)
         return out
 
-    def of_ids(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct known ids from the blocks of `name`."""
+    def seen(self, ids: np.ndarray) -> np.ndarray:
+        """How often the words stand in the training texts."""
         out = np.zeros(len(ids), np.int64)
-        for block in np.unique(ids // BLOCK_IDS):
-            at = slice(*np.searchsorted(ids, [block * BLOCK_IDS, (block + 1) * BLOCK_IDS]))
-            out[at] = self.array(f"{name}-{block}", np.int64)[ids[at] - block * BLOCK_IDS]
+        known = np.flatnonzero(ids < self.model.words)
+        for k, rows in _by(np.searchsorted(self.model.offsets, ids[known], side="right") - 1):
+            out[known[rows]] = self.array(f"seen-{k}", np.int64)[ids[known[rows]] - self.model.offsets[k]]
         return out
 
-    def bigrams(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct keys."""
-        out = np.zeros(len(keys), np.int64)
-        shard = shard_of(keys, self.model)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for k in range(self.model.shards):
-            rows = order[ends[k] : ends[k + 1]]
-            if len(rows) and len(known := self.array(f"bigrams-{k}", np.uint64)):
-                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                out[rows] = np.where(known[at] == keys[rows], self.array(f"counts-{k}", np.uint32)[at], 0)
+    def follows(self, ids: np.ndarray) -> np.ndarray:
+        """How many different words stand before each."""
+        out = np.zeros(len(ids), np.int64)
+        known = np.flatnonzero(ids < self.model.words)
+        for block, rows in _by(ids[known] // BLOCK_IDS):
+            out[known[rows]] = self.array(f"follows-{block}", np.int64)[ids[known[rows]] - block * BLOCK_IDS]
         return out
 
+    def counts(self, n: int, context_keys: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams."""
+        out = np.zeros(len(keys), np.int64)
+        for k, rows in _by(shard_of(context_keys, keys, parts, self.model.shards)):
+            known = self.array(f"{n}-keys-{k}", np.uint64)
+            at, there = find(known, keys[rows])
+            out[rows[there]] = widened(self.bytes(f"{n}-counts-{k}"), len(known))[at[there]]
+        return out
 
-def shard_of(keys: np.ndarray, model: Model) -> np.ndarray:
-    first = keys >> SHIFT
-    where = mix(first + U64(1))
-    for context, parts in model.spread.items():
-        at = np.flatnonzero(first == U64(context))
-        where[at] += mix(keys[at]) % U64(parts)
-    return (where % U64(model.shards)).astype(np.int64)
+    def sums(self, n: int, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Of distinct contexts of n-grams: sum of counts, and how many n-grams have the count 1, 2, more; in rows."""
+        out = np.zeros((4, len(keys)))
+        for part in range(int(parts.max(initial=0))):
+            left = np.flatnonzero(parts > part)
+            where = (mix(keys[left] + U64(1)) + U64(part)) % U64(self.model.shards)
+            for k, rows in _by(where.astype(np.int64)):
+                known = self.array(f"{n}-contexts-{k}", np.uint64)
+                at, there = find(known, keys[left[rows]])
+                if there.any():
+                    out[:, left[rows[there]]] += widened(self.bytes(f"{n}-sums-{k}"), 4 * len(known)).reshape(4, -1)[:, at[there]]
+        return out
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted or small numbers, compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
+    """Whole numbers, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def unpack(data: bytes, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
-def pack_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return pack(np.diff(keys, prepend=keys.dtype.type(0))), pack(counts.astype(np.uint32))
-
-
-def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, n-grams and their summed counts."""
+    keys = keys_of(grams)
     if not len(keys):
-        return keys, counts
+        return keys, grams, counts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts[order], starts)
+    return keys[starts], grams[order[starts]], np.add.reduceat(counts[order], starts)
+
+
+BLOCKS = "kind int, shard int, grams binary, counts binary, t1 long, t2 long, t3 long, t4 long, types long"
+
+
+def to_shards(model: Model, grams: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """A block for each shard of distinct n-grams with counts."""
+    contexts = grams[:, :-1]
+    before = keys_of(contexts)
+    for k, rows in _by(shard_of(before, fold(before, grams[:, -1]), parts_of(contexts, model), model.shards)):
+        yield k, pack(grams[rows].ravel(order="F")), pack(counts[rows])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -225,54 +290,87 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long")
 
 
-def _sequences(batch: pa.RecordBatch, column: int, hashed: Words, lookup: Lookup) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of documents: first, one past the last, their token ids (each with its end) and each document's number of tokens."""
-    start, parts, size = 0, [], 0
+@dataclass
+class Chunk:
+    """Documents first..stop of a batch: their distinct words' hashes, each token's place among these, tokens of each document."""
+
+    first: int
+    stop: int
+    hashes: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of a chunk, n-gram k ending at tokens where index is k.
+
+    context: the place of the words before the last among the chunk's (n-1)-grams, or one past them
+    at the beginning of a text; suffix: that of all words but the first.
+    """
+
+    ids: np.ndarray
+    index: np.ndarray
+    context: np.ndarray
+    suffix: np.ndarray
+
+
+def _chunks(batch: pa.RecordBatch, column: int, hashed: Words) -> Iterator[Chunk]:
+    first, parts, size = 0, [], 0
     end = np.array([END], U64)
 
-    def looked_up(stop: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    def made(stop: int) -> Chunk:
         distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
-        return start, stop, lookup.ids(distinct)[back], np.array([len(x) for x in parts])
+        return Chunk(first, stop, distinct, back, np.array([len(x) for x in parts]))
 
     for k, text in enumerate(batch.column(column)):
         parts.append(np.concatenate([hashed(words_of(text.as_py())), end]))
         size += len(parts[-1])
         if size >= CHUNK:
-            yield looked_up(k + 1)
-            start, parts, size = k + 1, [], 0
+            yield made(k + 1)
+            first, parts, size = k + 1, [], 0
     if parts:
-        yield looked_up(batch.num_rows)
-
-
-def _contexts(ids: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
-    """The id before each token, `begin` before a document's first."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = begin
-    return before
-
-
-def _send_bigrams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        yield made(batch.num_rows)
+
+
+def grams_of(chunk: Chunk, ids: np.ndarray, model: Model) -> list[Grams]:
+    """The chunk's words, pairs of words and so on up to the model's order; before a text its beginning stands as often as needed."""
+    nothing = np.zeros(0, np.int64)
+    out = [Grams(ids[:, None], chunk.at, nothing, nothing)]
+    starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
+    for n in range(2, model.order + 1):
+        lower = out[-1]
+        before = np.empty_like(lower.index)
+        before[1:] = lower.index[:-1]
+        before[starts] = len(lower.ids)
+        distinct, index = np.unique(before * len(ids) + chunk.at, return_inverse=True)
+        context, word = distinct // len(ids), distinct % len(ids)
+        suffix = np.empty(len(distinct), np.int64)
+        suffix[index] = lower.index
+        wider = np.vstack([lower.ids, np.full((1, n - 1), model.begin)])
+        out.append(Grams(np.hstack([wider[context], ids[word][:, None]]), index, context, suffix))
+    return out
+
+
+def _send_grams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, lookup = worker_words(), Lookup(model)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return merged(*(np.concatenate(x) for x in zip(*held, strict=True)))[1:]
+
         def told() -> Iterator[pa.RecordBatch]:
-            keys, counts = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            shard = shard_of(keys, model)
-            order = np.argsort(shard, kind="stable")
-            ends = np.searchsorted(shard[order], np.arange(model.shards + 1))
-            rows = [(k, *pack_counts(keys[at], counts[at])) for k in range(model.shards) if len(at := order[ends[k] : ends[k + 1]])]
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], names=["shard", "keys", "counts"])
+            for shard, grams, counts in to_shards(model, *joined()):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([grams], pa.binary()), pa.array([counts], pa.binary())], names=["shard", "grams", "counts"])
 
         for batch in batches:
-            for _, _, ids, sizes in _sequences(batch, 0, hashed, lookup):
-                keys = (_contexts(ids, sizes, model.begin).astype(U64) << SHIFT) | ids.astype(U64)
-                held.append(np.unique(keys, return_counts=True))
-                if sum(len(x[0]) for x in held) > HELD:
-                    held[:] = [merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    if len(held[0][0]) > HELD:
+            for chunk in _chunks(batch, 0, hashed):
+                top = grams_of(chunk, lookup.ids(chunk.hashes), model)[-1]
+                held.append((top.ids, np.bincount(top.index, minlength=len(top.ids))))
+                if sum(len(x[1]) for x in held) > HELD:
+                    held[:] = [joined()]
+                    if len(held[0][1]) > HELD:
                         yield from told()
                         held.clear()
         if held:
@@ -281,52 +379,42 @@ def _send_bigrams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _store_bigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Merge a shard, write it, and send on what it knows of contexts and of words that follow."""
+def _store_shard(model: Model, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Merge a shard of n-grams, write it, and send on what the next lower order counts: kind 1, by shard, or 2, by block of words."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in rows["keys"]])
-        counts = np.concatenate([unpack(x, np.uint32).astype(np.int64) for x in rows["counts"]])
-        keys, counts = merged(keys, counts)
-        store = Store(model.uri)
-        store.write(f"bigrams-{shard}", keys)
-        store.write(f"counts-{shard}", np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
-        out = []
-
-        def send(name: str, ids: np.ndarray, values: np.ndarray) -> None:
-            order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order]
-            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            ids, values = ids[starts], np.add.reduceat(values, starts)
-            for block in np.unique(ids // BLOCK_IDS):
-                at = slice(*np.searchsorted(ids, [block * BLOCK_IDS, (block + 1) * BLOCK_IDS]))
-                out.append((name, int(block), pack(np.diff(ids[at] - block * BLOCK_IDS, prepend=np.int64(0))), pack(values[at])))
-
-        first, second = (keys >> SHIFT).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-        send("follows", second, np.ones(len(keys), np.int64))
-        send("total", first, counts)
-        for k, name in ((1, "ones"), (2, "twos"), (3, "more")):
-            at = np.flatnonzero(counts == k if k < 3 else counts >= 3)
-            if len(at):
-                send(name, first[at], np.ones(len(at), np.int64))
-        found = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)], np.int64)
-        out.append(("bigram types", 0, b"", found.tobytes()))
-        return pd.DataFrame([(name, block, shard, *rest) for name, block, *rest in out], columns=["name", "block", "part", "ids", "sums"])
+        shard, store = int(rows["shard"].iloc[0]), Store(model.uri)
+        grams = np.concatenate([unpack(x).reshape(n, -1).T for x in rows["grams"]])
+        keys, grams, counts = merged(grams, np.concatenate([unpack(x) for x in rows["counts"]]))
+        store.write(f"{n}-keys-{shard}", keys)
+        store.write(f"{n}-counts-{shard}", narrow(counts))
+        before = keys_of(grams[:, :-1])
+        order = np.argsort(before, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], before[order][1:] != before[order][:-1]]))
+        store.write(f"{n}-contexts-{shard}", before[order[starts]])
+        own = counts[order]
+        store.write(f"{n}-sums-{shard}", narrow(np.stack([np.add.reduceat(x, starts) for x in (own, *((own == k).astype(np.int64) for k in (1, 2)), (own > 2).astype(np.int64))])))
+        out = [(0, shard, b"", b"", *(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(counts))]
+        if n > 2:
+            # behind the beginning of a text there is nothing else to count than how often
+            _, lower, sums = merged(grams[:, 1:], np.where(grams[:, 1] == model.begin, counts, 1))
+            out += [(1, *block, 0, 0, 0, 0, 0) for block in to_shards(model, lower, sums)]
+        else:
+            words, sums = np.unique(grams[:, 1], return_counts=True)
+            out += [(2, block, pack(words[at] - block * BLOCK_IDS), pack(sums[at]), 0, 0, 0, 0, 0) for block, at in _by(words // BLOCK_IDS)]
+        return pd.DataFrame(out, columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return run
 
 
-SUMS = "name string, block int, part int, ids binary, sums binary"
+SUMS = "block int, part int, ids binary, sums binary"
 
 
 def _added(rows: pd.DataFrame, model: Model) -> np.ndarray:
     """The sum of all rows of a block."""
-    if rows["name"].iloc[0] == "bigram types":
-        return np.sum([np.frombuffer(x, np.int64) for x in rows["sums"]], axis=0)
-    total = np.zeros(max(0, min(BLOCK_IDS, model.words + 1 - int(rows["block"].iloc[0]) * BLOCK_IDS)), np.int64)
+    total = np.zeros(max(0, min(BLOCK_IDS, model.words - int(rows["block"].iloc[0]) * BLOCK_IDS)), np.int64)
     for ids, sums in zip(rows["ids"], rows["sums"], strict=True):
-        total[np.cumsum(unpack(ids, np.int64))] += unpack(sums, np.int64)  # a row has an id once
+        total[unpack(ids)] += unpack(sums)  # a row has an id once
     return total
 
 
@@ -334,36 +422,27 @@ def _join_parts(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """One row for the rows of a block and part."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        name, block, part = (rows[x].iloc[0] for x in ("name", "block", "part"))
         total = _added(rows, model)
         ids = np.flatnonzero(total)
-        both = (b"", total.tobytes()) if name == "bigram types" else (pack(np.diff(ids, prepend=np.int64(0))), pack(total[ids]))
-        return pd.DataFrame([(name, block, part, *both)], columns=["name", "block", "part", "ids", "sums"])
+        return pd.DataFrame([(rows["block"].iloc[0], rows["part"].iloc[0], pack(ids), pack(total[ids]))], columns=["block", "part", "ids", "sums"])
 
     return run
 
 
 def _store_block(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        name, block = str(rows["name"].iloc[0]), int(rows["block"].iloc[0])
-        found = total = _added(rows, model)
-        if name != "bigram types":
-            Store(model.uri).write(f"{name}-{block}", total)
-            found = np.array([(total == k).sum() for k in (1, 2, 3, 4)] + [(total > 0).sum()], np.int64)
-        return pd.DataFrame([(name, block, *found.tolist())], columns=["name", "block", "t1", "t2", "t3", "t4", "types"])
+        block, total = int(rows["block"].iloc[0]), _added(rows, model)
+        Store(model.uri).write(f"follows-{block}", total)
+        return pd.DataFrame([(block, *((total == k).sum() for k in (1, 2, 3, 4)), (total > 0).sum(), total.sum())], columns=["block", "t1", "t2", "t3", "t4", "types", "all"])
 
     return run
 
 
-def train(texts: DataFrame) -> Model:
-    """Count and store the model of the column _utf8 of `texts`."""
-    spark = texts.sparkSession
-    model = Model(new_path(spark, "ngrams"))
-    vocabulary = stage(count_words(texts).groupBy("word").agg(F.sum("n").alias("n")), "ngram-words")
+def _store_vocabulary(vocabulary: DataFrame, model: Model) -> None:
     size = vocabulary.count()
     bits = model.vocabulary_bits = max(0, int(np.ceil(np.log2(max(1, size) / SHARD_WORDS))))
     shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
-    uri = model.uri
+    uri, most = model.uri, SHARD_TOKENS
 
     def keep_words(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(rows["word"].to_numpy(np.int64).view(np.uint64))
@@ -371,7 +450,7 @@ def train(texts: DataFrame) -> Model:
         store = Store(uri)
         store.write(f"words-{k}", rows["word"].to_numpy(np.int64).view(np.uint64)[order])
         store.write(f"seen-{k}", n)
-        often = np.flatnonzero(n > SHARD_TOKENS)
+        often = np.flatnonzero(n > most)
         return pd.DataFrame({"shard": [k], "words": [len(n)], "tokens": [int(n.sum())], "often": [often.tolist()], "times": [n[often].tolist()]})
 
     sent = vocabulary.withColumn("shard", shard).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long, often array<long>, times array<long>")
@@ -379,68 +458,74 @@ def train(texts: DataFrame) -> Model:
     for k in range(1 << bits):
         model.offsets.append(model.words)
         if k in parts:
-            model.spread |= {model.words + w: -(-n // SHARD_TOKENS) for w, n in zip(parts[k].often, parts[k].times, strict=True)}
+            model.often |= {model.words + w: -(-n // most) for w, n in zip(parts[k].often, parts[k].times, strict=True)}
             model.words += parts[k].words
             model.tokens += parts[k].tokens
         else:
             Store(uri).write(f"words-{k}", np.zeros(0, np.uint64))
             Store(uri).write(f"seen-{k}", np.zeros(0, np.int64))
+
+
+def train(texts: DataFrame, order: int = ORDER) -> Model:
+    """Count and store the model of the column _utf8 of `texts`, of n-grams up to `order` words, two at least."""
+    if order < 2:
+        raise ValueError("an order of 2 at least")
+    model = Model(new_path(texts.sparkSession, "ngrams"), order)
+    vocabulary = stage(count_words(texts).groupBy("word").agg(F.sum("n").alias("n")), "ngram-words")
+    _store_vocabulary(vocabulary, model)
     if not model.words:
         return model
     model.shards = -(-model.tokens // SHARD_TOKENS)
     ends = vocabulary.where(F.col("word") == END).first().n
     if ends > SHARD_TOKENS:
-        model.spread[model.begin] = -(-ends // SHARD_TOKENS)
-    blocks = texts.mapInArrow(_send_bigrams(model), "shard int, keys binary, counts binary").repartition(model.shards, "shard")
-    stored = stage(blocks.groupBy("shard").applyInPandas(_store_bigrams(model), SUMS), "ngram-sums")
-    parts_left = model.shards
-    while parts_left > FAN_IN:  # every shard tells of most words: a tree keeps what a task adds up bounded
-        joined = stored.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("name", "block", "part").applyInPandas(_join_parts(model), SUMS)
-        stored, parts_left = stage(joined, "ngram-sums"), -(-parts_left // FAN_IN)
-    found = stored.groupBy("name", "block").applyInPandas(_store_block(model), "name string, block int, t1 long, t2 long, t3 long, t4 long, types long").groupBy("name").agg(*(F.sum(x).alias(x) for x in ("t1", "t2", "t3", "t4", "types"))).collect()
-    by = {x.name: x for x in found}
-    model.types = by["bigram types"].types
-    model.discounts = [discounts([by[k][f"t{j}"] for j in (1, 2, 3, 4)]) for k in ("follows", "bigram types")]
-    words, cut = by["follows"], model.discounts[0]
-    model.freed = cut[1] * words.t1 + cut[2] * words.t2 + cut[3] * (words.types - words.t1 - words.t2)
-    for name in ("follows", "total", "ones", "twos", "more"):
-        have = {x.block for x in stored.where(F.col("name") == name).select("block").distinct().collect()}
-        for block in set(range(model.words // BLOCK_IDS + 1)) - have:
-            Store(uri).write(f"{name}-{block}", np.zeros(min(BLOCK_IDS, model.words + 1 - block * BLOCK_IDS), np.int64))
+        model.often[model.begin] = -(-ends // SHARD_TOKENS)
+    blocks = texts.mapInArrow(_send_grams(model), "shard int, grams binary, counts binary")
+    for n in range(order, 1, -1):
+        sent = stage(blocks.repartition(model.shards, "shard").groupBy("shard").applyInPandas(_store_shard(model, n), BLOCKS), "ngram-blocks")
+        told = sent.where("kind = 0").agg(*(F.sum(x) for x in ("t1", "t2", "t3", "t4")), F.collect_set("shard")).first()
+        model.discounts[n] = discounts(list(told[:4]))
+        for k in set(range(model.shards)) - set(told[4]):
+            for name, dtype in (("keys", np.uint64), ("counts", np.uint8), ("contexts", np.uint64), ("sums", np.uint8)):
+                Store(model.uri).write(f"{n}-{name}-{k}", np.zeros(0, dtype))
+        blocks = sent.where("kind = 1").select("shard", "grams", "counts")
+    stored = sent.where("kind = 2").select(F.col("shard").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("grams").alias("ids"), F.col("counts").alias("sums"))
+    left = model.shards
+    parts = F.pmod(F.xxhash64("row"), F.lit(-(-left // FAN_IN))).cast("int")
+    stored = stored.withColumn("part", parts).select("block", "part", "ids", "sums")
+    while left > FAN_IN:  # every shard tells of most words: a tree keeps what a task adds up bounded
+        left = -(-left // FAN_IN)
+        joined = stage(stored.groupBy("block", "part").applyInPandas(_join_parts(model), SUMS), "ngram-sums")
+        stored = joined.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+    found = stored.groupBy("block").applyInPandas(_store_block(model), "block int, t1 long, t2 long, t3 long, t4 long, types long, all long").collect()
+    t1, t2, t3, t4, types, model.types = (sum(x[k] for x in found) for k in range(1, 7))
+    cut = model.discounts[1] = discounts([t1, t2, t3, t4])
+    model.freed = cut[1] * t1 + cut[2] * t2 + cut[3] * (types - t1 - t2)
+    for block in set(range((model.words - 1) // BLOCK_IDS + 1)) - {x.block for x in found}:
+        Store(model.uri).write(f"follows-{block}", np.zeros(min(BLOCK_IDS, model.words - block * BLOCK_IDS), np.int64))
     return model
 
 
-def word_probabilities(model: Model, lookup: Lookup, words: np.ndarray) -> np.ndarray:
-    """Probabilities of sorted distinct ids without a context: by the number of words they follow, mixed with one part for each word and one for all unknown."""
-    even = 1.0 / (model.words + 1)
+def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarray:
+    """Of each distinct n-gram of the highest order, the probability of its last word behind the others."""
+    ids = grams[0].ids[:, 0]
+    even = 1.0 / (model.words + 1)  # one part for each word and one for all unknown
     if not model.types:
-        return np.full(len(words), even)
-    known = words < model.words
-    follows = np.zeros(len(words), np.int64)
-    follows[known] = lookup.of_ids("follows", words[known])
-    cut = np.array(model.discounts[0])
-    return (follows - cut[np.minimum(follows, 3)]) / model.types + model.freed / model.types * even
-
-
-def log_probabilities(model: Model, lookup: Lookup, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability after the id before it."""
-    words, back = np.unique(ids, return_inverse=True)
-    lower = word_probabilities(model, lookup, words)[back]
-    contexts, where = np.unique(before, return_inverse=True)
-    known = contexts <= model.begin if model.words else np.zeros(len(contexts), bool)
-    sums = {}
-    for name in ("total", "ones", "twos", "more"):
-        sums[name] = np.zeros(len(contexts))
-        sums[name][known] = lookup.of_ids(name, contexts[known]) if known.any() else 0
-    cut = np.array(model.discounts[1])
-    total = np.maximum(sums["total"], 1)
-    passed = np.where(sums["total"] > 0, (cut[1] * sums["ones"] + cut[2] * sums["twos"] + cut[3] * sums["more"]) / total, 1.0)
-    both = (before <= model.begin) & (ids < model.words)
-    keys, at = np.unique((before[both].astype(U64) << SHIFT) | ids[both].astype(U64), return_inverse=True)
-    counts = np.zeros(len(ids), np.int64)
-    if model.types:
-        counts[both] = lookup.bigrams(keys)[at]
-    return np.log10((counts - cut[np.minimum(counts, 3)]) / total[where] + passed[where] * lower)
+        return np.full(len(grams[-1].ids), even)
+    follows, cut = lookup.follows(ids), np.array(model.discounts[1])
+    found = (follows - cut[np.minimum(follows, 3)]) / model.types + model.freed / model.types * even
+    keys, begin = fold(U64(0), ids), fold(np.zeros(1, U64), np.array([model.begin]))
+    for n in range(2, model.order + 1):
+        own, lower, cut = grams[n - 1], grams[n - 2], np.array(model.discounts[n])
+        before = np.concatenate([keys, begin])  # of all contexts, the beginning last
+        parts = parts_of(np.vstack([lower.ids, np.full((1, n - 1), model.begin)]), model)
+        sums = lookup.sums(n, before, parts)
+        total = np.maximum(sums[0], 1)
+        passed = np.where(sums[0] > 0, (cut[1] * sums[1] + cut[2] * sums[2] + cut[3] * sums[3]) / total, 1.0)
+        keys = fold(before[own.context], own.ids[:, -1])
+        counts = lookup.counts(n, before[own.context], keys, parts[own.context])
+        found = (counts - cut[np.minimum(counts, 3)]) / total[own.context] + passed[own.context] * found[own.suffix]
+        begin = fold(begin, np.array([model.begin]))
+    return found
 
 
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -451,31 +536,27 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         hashed, lookup = worker_words(), Lookup(model)
         for batch in batches:
             last = batch.num_columns - 1
-            sizes, known, base, score = ([] for _ in range(4))
-            for _, _, ids, n in _sequences(batch, last, hashed, lookup):
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                distinct, back = np.unique(ids, return_inverse=True)
-                seen = np.zeros(len(distinct), np.int64)
-                for k, offset in enumerate(model.offsets):
-                    own = lookup.array(f"seen-{k}", np.int64)
-                    at = slice(*np.searchsorted(distinct, [offset, offset + len(own)]))
-                    seen[at] = own[distinct[at] - offset]
-                seen = seen[back]
-                sizes.append(n)
-                known.append(np.add.reduceat((seen > 0).astype(np.int64), starts))
-                base.append(np.add.reduceat(np.log10((seen + 1) / (model.tokens + model.words + 1)), starts))
-                score.append(np.add.reduceat(log_probabilities(model, lookup, _contexts(ids, n, model.begin), ids), starts))
-            made = [np.concatenate(x) if x else np.zeros(0) for x in (sizes, known, base, score)]
-            columns = [pa.array(made[0].astype(np.int64)), pa.array(made[1].astype(np.int64)), pa.array(np.full(len(made[0]), model.tokens, np.int64)), pa.array(made[2]), pa.array(made[3])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], names=[*batch.schema.names[:last], "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            made: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for chunk in _chunks(batch, last, hashed):
+                starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
+                ids = lookup.ids(chunk.hashes)
+                seen = lookup.seen(ids)
+                grams = grams_of(chunk, ids, model)
+                add_one = np.log10((seen + 1) / (model.tokens + model.words + 1))
+                score = np.log10(probabilities(model, lookup, grams))
+                for to, values in zip(made, (chunk.sizes, np.add.reduceat((seen > 0).astype(np.int64)[chunk.at], starts), np.add.reduceat(add_one[chunk.at], starts), np.add.reduceat(score[grams[-1].index], starts)), strict=True):
+                    to.append(values)
+            n, known, base, own = (np.concatenate(x) if x else np.zeros(0) for x in made)
+            columns = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), model.tokens, np.int64)), pa.array(base), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], names=[*batch.schema.names[:last], *(x.split()[0] for x in RESULT.split(", "))])
 
     return run
 
 
-def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
     """`docs` with held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
-    The model learns from all rows that `held_out` leaves, over whole texts. Tokens are words between
+    The model of `order` words learns from all rows that `held_out` leaves, over whole texts. Tokens are words between
     ASCII white space in lower case (A-Z alone) and one end for each text. base_score: add-one unigram
     log10 probability; score: that of the model; perplexity: 10 ** (-score / n_tokens). A null text
     counts as empty, a row without an id is learned from; repeated rows count each time; without a row
@@ -484,7 +565,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """
     keep = without(docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "_utf8"])
     marked = docs.select(*keep, held_out(F.col(id_col)).alias("held_out"), _utf8(text))
-    model = train(marked.where(~F.col("held_out")).select("_utf8"))
+    model = train(marked.where(~F.col("held_out")).select("_utf8"), order)
     schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in marked.schema.fields[:-1])
     scored = marked.mapInArrow(_score(model), f"{schema}, {RESULT}")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
