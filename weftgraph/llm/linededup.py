@@ -3,7 +3,7 @@
 Two lines are within one edit (a character put in, taken out or changed) if taking one character
 out of one or both leaves the same text at the same place. The neighbourhood of a line has as
 many variants as it has characters, so it is emitted only where it can meet another: a line is
-cut into SEGMENT characters, the edit lies in one segment of the shorter line, and all before and
+cut into segments, the edit lies in one segment of the shorter line, and all before and
 behind that segment is equal. First halves, then segments are joined by the hash of what is
 outside them, and variants are made only inside segments whose outside another line shares. Both
 filters lose nothing. Groups of equal variants are reduced to their earliest line, never to pairs,
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import SECOND_SEED, stage, without
 
-SEGMENT = 64
+#: Characters of a segment at most, and at least: short lines are cut into three, so that what is outside tells them apart.
+SEGMENT, LEAST_SEGMENT = 64, 8
 #: A table with so many rows and values in its arrays at most (64 bytes each) is sent to all executors rather than shuffled.
 SMALL_VALUES = 1_000_000
 
@@ -57,12 +58,14 @@ def _segments() -> Column:
     n = F.length("_line")
 
     def one(role: int) -> Column:
-        last = F.floor((F.greatest(n - role, F.lit(1)) - 1) / SEGMENT).cast("int")
+        shorter = F.greatest(n - role, F.lit(1))
+        segment = F.least(F.lit(SEGMENT), F.greatest(F.lit(LEAST_SEGMENT), F.ceil(shorter / 3))).cast("int")
+        last = F.floor((shorter - 1) / segment).cast("int")
 
         def at(j: Column) -> Column:
-            begin = j * SEGMENT
-            outside = F.xxhash64(j, n - role, F.substring(F.col("_line"), F.lit(1), begin), F.substring(F.col("_line"), begin + SEGMENT + 1 + role, n))
-            return F.struct(F.lit(role).alias("role"), outside.alias("outside"), F.substring(F.col("_line"), begin + 1, F.lit(SEGMENT + role)).alias("inside"))
+            begin = j * segment
+            outside = F.xxhash64(j, n - role, F.substring(F.col("_line"), F.lit(1), begin), F.substring(F.col("_line"), begin + segment + 1 + role, n))
+            return F.struct(F.lit(role).alias("role"), outside.alias("outside"), F.substring(F.col("_line"), begin + 1, segment + role).alias("inside"))
 
         return F.transform(F.sequence(F.lit(0), last), at)
 
