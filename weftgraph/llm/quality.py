@@ -150,11 +150,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, tex
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.min(label) == 0).alias("_bad"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    table = add_statistics(rows, "_text").drop("_text").toPandas().sort_values("_id", kind="stable")
+    # an id has one row to teach: the least of its texts, so that what the driver gathers is bounded by the sample
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_bad").alias("_bad"))
+    table = add_statistics(rows, "_text").select("*", F.xxhash64("_id").alias("_hash")).drop("_text").toPandas().sort_values(["_hash", "_id"], kind="stable")
     columns = {k: (table[a] / (table[b].clip(lower=1) if b else 1)).to_numpy(float) for k, (a, b) in FEATURES.items()}
-    mixed = (table["_id"].to_numpy().astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return learn(columns, table["_bad"].to_numpy(bool), (mixed >> np.uint64(40)) % np.uint64(3) == 0)
+    return learn(columns, table["_bad"].to_numpy(bool), table["_hash"].to_numpy(np.int64).view(np.uint64) % np.uint64(3) == 0)
 
 
 def verdict(rules: list[Rule]) -> Column:
