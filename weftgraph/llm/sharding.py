@@ -2,7 +2,7 @@
 
 Groups of equal texts are the atoms. They stand in the order of a 128-bit hash of their text,
 and the smallest capacity for which greedy filling needs no more than the given number of
-shards is found by binary search. The driver sees the groups only as sizes of hash ranges:
+shards is found by binary search. Within that capacity the cuts fall as near to even shares as can be. The driver sees the groups only as sizes of hash ranges:
 ranges in which a cut may fall are split again until each holds one group, so what it gathers
 is bounded whatever the number of documents.
 """
@@ -57,6 +57,22 @@ def minimax_capacity(sizes: np.ndarray, shards: int) -> int:
     return low
 
 
+def even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Index after each shard's last atom: as near to even shares as shards of at most `capacity` allow, where that many suffice."""
+    upto = np.concatenate([[0], ends])
+    least = [len(ends)]  # atoms that the first shards have to take so that the others can hold the rest
+    for _ in range(shards - 1):
+        least.append(int(np.searchsorted(upto, upto[least[-1]] - capacity, side="left")))
+    cuts = [0]
+    for k, low in enumerate(least[-1:0:-1], 1):
+        target = int(ends[-1]) * k / shards
+        near = int(np.searchsorted(upto, target, side="left"))
+        near -= near > 0 and target - upto[near - 1] <= upto[min(near, len(ends))] - target
+        most = int(np.searchsorted(upto, upto[cuts[-1]] + capacity, side="right")) - 1
+        cuts.append(min(max(near, low, cuts[-1]), most))
+    return [*cuts[1:], len(ends)]
+
+
 def _ranges(groups: DataFrame, bits: int, within: tuple[int, list[int]] | None = None) -> Atoms:
     if within:
         groups = groups.where(F.shiftright("_h1", 64 - within[0]).isin(within[1]))
@@ -67,7 +83,7 @@ def _ranges(groups: DataFrame, bits: int, within: tuple[int, list[int]] | None =
 
 
 def _open(atoms: Atoms, shards: int) -> np.ndarray:
-    """Ranges of several groups in which a cut of the best partition may fall."""
+    """Ranges of several groups in which a cut of the best partition, or an even share's end, may fall."""
     ends = np.concatenate([[0], np.cumsum(atoms.size)])
     least = max(int(atoms.largest.max()), -(-int(ends[-1]) // shards))
     most = minimax_capacity(atoms.size, shards)
@@ -77,6 +93,9 @@ def _open(atoms: Atoms, shards: int) -> np.ndarray:
         early = int(ends[np.searchsorted(ends, early + least, side="right") - 1])
         late = int(ends[min(np.searchsorted(ends, late + most, side="left"), len(ends) - 1)])
         inside |= (ends[1:] > early) & (ends[:-1] < late)
+    for k in range(1, shards):
+        even = int(ends[-1]) * k / shards
+        inside |= (ends[1:] > even) & (ends[:-1] < even)
     return np.flatnonzero(inside & (atoms.groups > 1) & (atoms.bits < LAST_BITS))
 
 
@@ -92,7 +111,7 @@ def plan(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         joined = Atoms(*(np.concatenate(x) for x in zip(vars(kept).values(), vars(finer).values(), strict=True)))
         atoms = joined.pick(np.argsort(joined.low, kind="stable"))
     capacity = minimax_capacity(atoms.size, shards)
-    cuts = _cuts(np.cumsum(atoms.size), capacity, shards)
+    cuts = even_cuts(np.cumsum(atoms.size), capacity, shards)
     return [int(atoms.low[x]) for x in cuts[:-1] if x < len(atoms.low)], capacity
 
 
