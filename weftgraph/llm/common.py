@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SECOND_SEED = 7919
 #: Rows of a batch of texts on its way to Python, where a session leaves that at Spark's default.
 BATCH_ROWS = 1_000
+#: Keys that may be broadcast since each has more than one row in so many.
+HOT_KEYS = 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,6 +80,19 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, n_r
     return ranked.select(*mine, out)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, name: str, how: str = "inner") -> DataFrame:
+    """Join `rows` with `counted`, which has each key once and says how many of the rows have it, whatever share one key holds.
+
+    Fewer than HOT_KEYS keys can have more than a HOT_KEYS-th of the rows; these are broadcast, only
+    the others are dealt by key. how: inner or left_semi. Both sides must give the same rows each time.
+    """
+    known = stage(counted, name)
+    total = known.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(known.where(F.col(count) * HOT_KEYS > total).drop(count))
+    rest = known.where(F.col(count) * HOT_KEYS <= total).drop(count)
+    return rows.join(hot, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(rest, keys, how))
+
+
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Connected components of the links (a, b): rows (id, component), component the smallest id reachable.
 

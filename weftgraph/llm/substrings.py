@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import stage, text_key
+from weftgraph.llm.common import join_counted, stage, text_key
 from weftgraph.llm.probminhash import U64, mix, worker_words
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -142,54 +143,60 @@ def repeated_windows(docs: DataFrame, length: int, text: str, id_col: str) -> tu
     classes = stage(scanned.groupBy("_h1", "_h2").agg(F.min("_id").alias("first"), F.first("_names").alias("_names")), "windows-classes")
 
     named = classes.where(F.col("first").isNotNull()).select("_h1", "first", F.explode("_names").alias("w"))
-    twice = named.groupBy("w").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("w")
-    found = named.join(twice, "w", "left_semi").groupBy("_h1", "first").agg(F.collect_list("w").alias("_names"))
+    twice = named.groupBy("w").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("w", "n")
+    found = join_counted(named, twice, ["w"], "n", "windows-halves", "left_semi").groupBy("_h1", "first").agg(F.collect_list("w").alias("_names"))
     home = source.select(F.col("_id").alias("first"), "_h1", "_utf8")
     texts = home.join(found, ["first", "_h1"]).dropDuplicates(["first", "_h1"]).select("_h1", F.col("first").alias("_id"), "_names", "_utf8")
     texts = stage(texts, "windows-texts")
     rows = stage(texts.mapInArrow(_extend(length), f"_h1 long, _id {kind}, pos int, w1 long, w2 int"), "windows-rows")
-    alike = rows.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
-    return scanned, classes, texts, rows.join(alike, ["w1", "w2"])
+    return scanned, classes, texts, stage(repeated(rows, "windows-alike"), "windows-repeated")
+
+
+def repeated(rows: DataFrame, name: str) -> DataFrame:
+    """Those of the windows (_h1, _id, pos, w1, w2) that stand in two texts, with the smallest id that has one alike."""
+    alike = rows.groupBy("w1", "w2").agg(F.min("_id").alias("least"), F.max("_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    return join_counted(rows, alike, ["w1", "w2"], "n", name).select("_h1", "_id", "pos", "w1", "w2", "least")
+
+
+def longest_levels(windows: DataFrame, length: int) -> DataFrame:
+    """(_h1, _id, longest): for texts with a repeated window, the greatest of length, 2 length, 4 length, ... that still repeats.
+
+    Each round joins the windows that survived with those one window further on, both of a repeated
+    window of twice the length, and looks which of these repeat, until no candidate survives.
+    """
+    level, span, found = windows.select("_h1", "_id", "pos", "w1", "w2"), length, []
+    while True:
+        found.append(level.select("_h1", "_id").distinct().withColumn("longest", F.lit(span).cast("long")))
+        further = level.select("_h1", "_id", (F.col("pos") - span).alias("pos"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
+        joined = stage(level.join(further, ["_h1", "_id", "pos"]).select("_h1", "_id", "pos", F.xxhash64("w1", "v1", "v2").alias("w1"), F.hash("w2", "v2", "v1").alias("w2")), "windows-doubled")
+        level, span = stage(repeated(joined, "windows-alike"), "windows-level").drop("least"), 2 * span
+        if not level.limit(1).count():
+            return reduce(DataFrame.union, found).groupBy("_h1", "_id").agg(F.max("longest").alias("longest"))
 
 
 def dedup_substrings(docs: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of `docs`: id, n_words, n_removed and kept_sha256.
+    """One row for each row of `docs`: id, n_words, n_removed, kept_sha256 and longest_repeat.
 
     A word is removed if a window of `length` words covers it whose words also start somewhere in a
     document with a smaller id; windows are judged on the input. kept_sha256 is of the words left,
-    joined by a space. A null text has no words; texts shorter than a window lose nothing; rows that
-    repeat an id are not smaller than one another; rows without an id are compared with none and lose
-    nothing; very long texts are taken whole; no rows give no rows.
+    joined by a space. longest_repeat: the greatest of length, 2 length, 4 length, ... words that a
+    window of the text repeats of a different text, 0 for none. A null text has no words; texts
+    shorter than a window lose nothing; rows that repeat an id are not smaller than one another; rows
+    without an id are compared with none and lose nothing; very long texts are taken whole; no rows give no rows.
     """
     scanned, classes, texts, windows = repeated_windows(docs, length, text, id_col)
     starts = windows.where("least < _id").groupBy("_h1", "_id").agg(F.collect_list("pos").alias("_starts"))
     kind = scanned.schema["_id"].dataType.simpleString()
     struck = starts.join(texts.select("_h1", "_id", "_utf8"), ["_h1", "_id"]).select("_h1", "_id", "_starts", "_utf8")
     cut = stage(struck.mapInArrow(_strike(length), f"_h1 long, _id {kind}, n_removed long, _kept string"), "windows-cut")
-    own = scanned.drop("_names").join(classes.select("_h1", "_h2", "first"), ["_h1", "_h2"]).join(cut, ["_h1", "_id"], "left")
+    longest = longest_levels(windows, length).withColumnRenamed("_id", "first")
+    marked = classes.select("_h1", "_h2", "first").join(longest, ["_h1", "first"], "left")
+    own = scanned.drop("_names").join(marked, ["_h1", "_h2"]).join(cut, ["_h1", "_id"], "left")
     copy = (F.col("_id") > F.col("first")) & (F.col("n_words") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     return own.select(
         F.col("_id").alias(id_col), "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("_kept", "_digest")).alias("kept_sha256"),
+        F.coalesce("longest", F.lit(0).cast("long")).alias("longest_repeat"),
     )
-
-
-def longest_repeats(docs: DataFrame, length: int = 50, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, longest): for documents with a repeated window, the greatest of length, 2 length, 4 length, ... that still repeats.
-
-    Each round joins the windows that survived with those one window further on and counts what
-    they make together, until none survives. Copies count through their first document only.
-    """
-    _, _, _, windows = repeated_windows(docs, length, text, id_col)
-    level = stage(windows.select("_h1", "_id", "pos", "w1", "w2"), "windows-level")
-    found, span = level.select("_id").distinct().withColumn("longest", F.lit(length)), length
-    while level.limit(1).count():
-        further = level.select("_h1", "_id", (F.col("pos") - span).alias("pos"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
-        joined = level.join(further, ["_h1", "_id", "pos"]).select("_h1", "_id", "pos", F.xxhash64("w1", "v1", "v2").alias("w1"), F.hash("w2", "v2", "v1").alias("w2"))
-        alike = Window.partitionBy("w1", "w2")
-        counted = joined.withColumns({"a": F.min("_id").over(alike), "b": F.max("_id").over(alike)}).where("a < b")
-        level, span = stage(counted.select("_h1", "_id", "pos", "w1", "w2"), "windows-level"), 2 * span
-        found = found.union(level.select("_id").distinct().withColumn("longest", F.lit(span)))
-    return found.groupBy(F.col("_id").alias(id_col)).agg(F.max("longest").alias("longest"))
