@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches, components, stage, text_key
+from weftgraph.llm.common import bound_batches, components, join_counted, stage, text_key
 from weftgraph.llm.memory import remembered
 
 BANDS, ROWS = 24, 6
@@ -203,8 +203,8 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int, width: in
     texts_of = signed.groupBy("_h1", "_h2").agg(F.min("_id").alias("first"), F.first("_size").alias("n"), F.first("_bands").alias("_bands"))
     classes = stage(texts_of.withColumn("c", F.monotonically_increasing_id()), "near-classes")  # numbered once, as it is written
     members = stage(classes.select("c", "n", F.posexplode("_bands").alias("band", "k")), "near-members")
-    shared = members.groupBy("k").agg(F.min("c").alias("lead"), F.min(F.struct("c", "n"))["n"].alias("lead_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1").drop("_m")
-    banded = stage(members.join(shared, "k"), "near-shared")
+    shared = members.groupBy("k").agg(F.min("c").alias("lead"), F.min(F.struct("c", "n"))["n"].alias("lead_n"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    banded = stage(join_counted(members, shared, ["k"], "_m", "near-leads"), "near-shared")
     sizes_fit = lambda x, y: F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
     stars = stage(banded.where((F.col("c") != F.col("lead")) & sizes_fit(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct(), "near-pairs")
     needed = classes.join(banded.select("c").distinct(), "c", "left_semi").select(F.col("first").alias("_id"), "_h1", "_h2", "c")
