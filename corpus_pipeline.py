@@ -24,15 +24,18 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned list keep; a null text goes, a document without a label is judged as all others."""
     judged = judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier, the same or within one edit, go; n_chars is counted anew. Of an empty table nothing is left."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of copies and near copies stays; rows that repeat an id and a text are one."""
     return keep_one(docs).select(*COLUMNS)
 
 
@@ -42,11 +45,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1,024 tokens; each copy is packed for itself."""
     return pack_documents(docs, TOKENIZER)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near", near), ("mix", mix), ("pack", pack)]
-#: Shingle similarity and sub-word tokens are beyond SQL; tests hold each stage against brute force.
+#: Shingle similarity and sub-word tokens are beyond SQL; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 

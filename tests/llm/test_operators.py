@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import binarycodes, kneserney, licenses, linededup, mixing, packing, probminhash, quality, queries, sharding, substrings
+from weftgraph.llm import binarycodes, common, kneserney, licenses, linededup, mixing, packing, probminhash, quality, queries, sharding, substrings
 
 DOCS = "doc_id long, text string, source string"
 LONG = " ".join(f"w{k % 911}" for k in range(30_000))
@@ -86,6 +87,36 @@ def test_shards(spark):
     assert max(sizes) <= sum(sizes) / 8 + largest
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=30), st.integers(1, 6))
+def test_even_cuts_keep_the_capacity(sizes, shards):
+    ends = np.cumsum(sizes)
+    capacity = sharding.minimax_capacity(np.array(sizes), shards)
+    cuts = sharding.even_cuts(ends, capacity, shards)
+    upto = np.concatenate([[0], ends])
+    assert len(cuts) == shards and cuts[-1] == len(sizes) and sorted(cuts) == cuts
+    assert max(upto[b] - upto[a] for a, b in zip([0, *cuts], cuts, strict=False)) <= capacity
+
+
+@pytest.mark.parametrize("bits", [(14, 10), (2, 1)])
+def test_whole_partition_against_brute_force(spark, monkeypatch, bits):
+    """Shards are those of the groups in the order of their hashes, whatever ranges the driver saw first."""
+    monkeypatch.setattr(sharding, "FIRST_BITS", bits[0])
+    monkeypatch.setattr(sharding, "MORE_BITS", bits[1])
+    rows = [(k, None if k % 50 == 0 else " ".join(words(5 + k % 40, k // 3)), "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r.shard for r in sharding.shard_documents(docs, 7).collect()}
+    hashed = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS h").collect()}
+    size = Counter()
+    for k, t, _ in rows:
+        size[hashed[k]] += len(t or "") + 1
+    order = sorted(size)
+    sizes = np.array([size[h] for h in order])
+    cuts = sharding.even_cuts(np.cumsum(sizes), sharding.minimax_capacity(sizes, 7), 7)
+    place = {h: int(np.searchsorted(cuts, k, side="right")) for k, h in enumerate(order)}
+    assert found == {k: place[hashed[k]] for k in hashed}
+
+
 def test_giant_group_gets_its_own_shard(spark):
     rows = [(k, "same text here" * 20, "s") for k in range(60)] + [(100 + k, " ".join(words(20, k)), "s") for k in range(90)]
     found = sharding.shard_documents(spark.createDataFrame(rows, DOCS), 4).collect()
@@ -219,6 +250,12 @@ def test_rows_that_repeat_an_id(spark):
 
 # -- 4 licenses -----------------------------------------------------------------------------------
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+MIT_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [
@@ -226,13 +263,36 @@ def test_rows_that_repeat_an_id(spark):
         ("licensed under the apache license version 3.0", ""),
         ("Distributed under the terms of the MIT License", "mit"),
         ("Copyright (c) 2020 Some Body, Inc. All rights reserved.", "copyright-notice,reserved"),
-        ("licensed under the GNU General Public License as published by the Free Software Foundation, either version 3", "gpl,gpl-3.0"),
+        ("You can redistribute it, it is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3", "gpl,gpl-3.0-notice"),
+        ("free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", "gpl,lgpl-2.1-notice"),
+        (MIT + "\n\n" + MIT_WARRANTY, "mit-text"),
+        (MIT, ""),
+        (MIT + MIT_WARRANTY.replace("TORT", "LAW"), ""),
+        ("// SPDX-License-Identifier: MIT\n", "spdx:mit"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "spdx:gpl-2.0,spdx:gpl-2.0-or-later"),
+        ("this text is released into the public domain", "public-domain"),
+        ("shared under CC BY-SA 4.0 International License", "cc-by,cc-by-sa-4.0"),
     ],
 )
 def test_templates(text, labels):
     assert licenses.scanner(licenses.PHRASES, licenses.TEMPLATES)()(text.encode())[5] == labels
 
 
+def test_licence_base_against_brute_force(spark):
+    pieces = ["CC", "by", "cc-by", "General", "PUBLIC", "license", "all", "Rights reserved", "é", "x_y", "\n", "1", "", "ſ", "K"]
+    rows = [(k, None if k == 7 else " ".join(np.random.default_rng(k).choice(pieces, 60)), "s") for k in range(60)]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    for k, text, _ in rows:
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        ws = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        at = {p: [i for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()] for p in licenses.PHRASES}
+        every = [i for x in at.values() for i in x]
+        r = found[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(ws), len(every), min(every, default=None), max(every, default=None))
+        base = sorted(licenses.PHRASES[p] for p in at if at[p])
+        assert r.base_labels == ",".join(base) and set(base) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
 def test_phrase_places():
     n_words, n, first, last, base, _, score = licenses.scanner(licenses.PHRASES, {})()("É CC-BY cc by x all rights reserved".encode())
     assert (n_words, n, first, last, base, score) == (9, 3, 1, 6, "cc-by,reserved", 0.5)
@@ -317,31 +377,42 @@ def test_tiles_of_a_hot_bucket(spark, monkeypatch):
 
 # -- 6 language model -----------------------------------------------------------------------------
 
-def test_probabilities_against_brute_force(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_probabilities_against_brute_force(spark, order):
     rows = [(k, " ".join(f"T{x}" for x in np.random.default_rng(k).zipf(1.6, 40) % 60), "s") for k in range(120)]
-    found = {r.doc_id: r for r in kneserney.score_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    found = {r.doc_id: r for r in kneserney.score_documents(spark.createDataFrame(rows, DOCS), order=order).collect()}
     tokens = {k: t.lower().split() + [None] for k, t, _ in rows}
     train = [k for k in tokens if zlib.crc32(str(k).encode()) % 7 != 2]
     seen = Counter(x for k in train for x in tokens[k])
-    pairs = Counter(p for k in train for p in zip(["<s>", *tokens[k][:-1]], tokens[k], strict=True))
-    after = Counter(w for _, w in pairs)
-    d1, d2 = (kneserney.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in (after, pairs))
-    total, freed = Counter(), Counter()
-    for (u, _), n in pairs.items():
-        total[u] += n
-        freed[u] += d2[min(n, 3)]
-
-    def p(u, w):
-        low = (after[w] - d1[min(after[w], 3)]) / len(pairs) + sum(d1[min(n, 3)] for n in after.values()) / len(pairs) / (len(seen) + 1)
-        return (pairs[u, w] - d2[min(pairs[u, w], 3)]) / total[u] + freed[u] / total[u] * low if total[u] else low
-
-    assert sum(p("t1", w) for w in seen) + p("t1", "never") == pytest.approx(1)
+    begin = ("<s>",) * (order - 1)
+    counts = {order: Counter(p for k in train for t in [(*begin, *tokens[k])] for p in zip(*(t[i:] for i in range(order)), strict=False))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter()
+        for gram, c in counts[n + 1].items():
+            counts[n][gram[1:]] += c if n > 1 and gram[1] == "<s>" else 1
+    cut = {n: kneserney.discounts([sum(x == k for x in counts[n].values()) for k in (1, 2, 3, 4)]) for n in counts}
+    sums = {n: Counter() for n in counts}
+    freed = {n: Counter() for n in counts}
+    for n, own in counts.items():
+        for gram, c in own.items():
+            sums[n][gram[:-1]] += c
+            freed[n][gram[:-1]] += cut[n][min(c, 3)]
+
+    def p(gram):
+        n = len(gram)
+        low = p(gram[1:]) if n > 1 else 1 / (len(seen) + 1)
+        total, c = sums[n][gram[:-1]], counts[n][gram]
+        return (c - cut[n][min(c, 3)]) / total + freed[n][gram[:-1]] / total * low if total else low
+
+    for before in (begin, (*begin, "t1", "t2")[-order + 1 :], (*begin, "t1", "never")[-order + 1 :]):
+        assert sum(p((*before, w)) for w in seen) + p((*before, "unknown")) == pytest.approx(1)
     n = sum(seen.values())
     for k, t in tokens.items():
         r = found[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (k not in train, len(t), sum(w in seen for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((seen[w] + 1) / (n + len(seen) + 1)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True)))
+        padded = (*begin, *t)
+        assert r.score == pytest.approx(sum(math.log10(p(padded[i : i + order])) for i in range(len(t))))
 
 
 def test_shards_and_their_tree_of_sums(spark, monkeypatch):
@@ -358,9 +429,11 @@ def test_model_of_nothing(spark):
 
 
 def test_coding_is_lossless():
-    keys = np.unique(np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64))
-    a, b = kneserney.pack_counts(keys, np.arange(len(keys)))
-    assert (np.cumsum(kneserney.unpack(a, np.uint64), dtype=np.uint64) == keys).all() and (kneserney.unpack(b, np.uint32) == np.arange(len(keys))).all()
+    values = np.random.default_rng(3).integers(0, 2**62, 5000)
+    assert (kneserney.unpack(kneserney.pack(values)) == values).all()
+    for most in (0, 200, 60_000, 2**31, 2**40):
+        narrow = kneserney.narrow(np.array([0, most]))
+        assert (kneserney.widened(narrow.view(np.uint8), 2) == [0, most]).all()
 
 
 # -- 7 mixing -------------------------------------------------------------------------------------
@@ -394,10 +467,13 @@ def test_windows_against_brute_force(spark):
         assert (found[k].n_words, found[k].n_removed, found[k].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
-def test_longest(spark):
+def test_longest(spark, monkeypatch):
     passage = words(210, 5)
-    docs = spark.createDataFrame([(k, " ".join(words(10, k) + passage + words(10, 50 + k)), "s") for k in range(2)], DOCS)
-    assert {r.doc_id: r.longest for r in substrings.longest_repeats(docs).collect()} == {0: 200, 1: 200}
+    docs = spark.createDataFrame([(k, " ".join(words(10, k) + passage[: 210 if k < 2 else 60] + words(10, 50 + k)), "s") for k in range(3)] + [(3, " ".join(words(80, 77)), "s")], DOCS)
+    found = lambda: {r.doc_id: r.longest_repeat for r in substrings.dedup_substrings(docs).collect()}
+    assert found() == {0: 200, 1: 200, 2: 50, 3: 0}
+    monkeypatch.setattr(common, "HOT_KEYS", 1)  # no key is broadcast
+    assert found() == {0: 200, 1: 200, 2: 50, 3: 0}
 
 
 # -- 9 quality ------------------------------------------------------------------------------------
@@ -415,6 +491,42 @@ def test_rules_are_found():
     assert quality.learn(columns, np.zeros(n, bool), np.arange(n) % 3 == 0) == []
 
 
+def test_quality_base_against_brute_force(spark):
+    pieces = ["the", "cat", "sat", "#", "$x", "é", "a|b", "\n", "\n", "<p>", "", "\t", "and&so"]
+    rows = [(k, None if k == 5 else " ".join(np.random.default_rng(k).choice(pieces[: 2 + k % 12], 5 + 3 * k)), "s") for k in range(60)] + [(60, LONG, "s"), (61, "", "s")]
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(40)] + [(None, 0), (3, None)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(rows, DOCS), labels).collect()}
+    for k, text, _ in rows:
+        text = text or ""
+        ws = re.findall("[^\x20\x09-\x0D]+", text)
+        windows = Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        inside = {j for i in range(len(ws) - 4) if windows[tuple(ws[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+        r = found[k]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), len(inside))
+        assert r.base_failed == (len(ws) < 10 or 100 * len(inside) > 20 * len(ws)) and not (r.kept and r.base_failed)
+
+
+def test_verdict_follows_the_rules(spark):
+    """kept is what the learned rules say of the statistics, row by row."""
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(words(30, k)) + (" ### $$$ |||" * int(rng.integers(4, 9)) if k % 3 == 0 else ""), "s") for k in range(300)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, quality int")
+    rules = quality.fit_rules(docs, labels)
+    assert rules
+    found = quality.judge_quality(docs, labels).toPandas()
+    values = {k: (found[a] / (found[b].clip(lower=1) if b else 1)).to_numpy(float) for k, (a, b) in quality.FEATURES.items()}
+    rejected = np.any([quality._covered(rule, values, len(found)) for rule in rules], axis=0)
+    assert (found["kept"] == ~(rejected | found["base_failed"])).all()
+    assert (found["kept"] == (found["doc_id"] % 3 > 0)).mean() > 0.97  # ids from 200 on were not learned from
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([(f"d{k}", " ".join(words(20, k)), "s") for k in range(20)], "doc_id string, text string, source string")
+    assert quality.judge_quality(docs, spark.createDataFrame([(f"d{k}", k % 2) for k in range(20)], "doc_id string, quality int")).count() == 20
+
+
 def test_repeated_words():
     text = words(30, 1)
     assert quality.repeated_words([x.encode() for x in text]) == 0
