@@ -1,13 +1,14 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by workers.
 
-A training word's id is its place in the sorted array of all words' 64-bit hashes; an n-gram's key is
-a 64-bit hash of its ids. Map tasks send blocks of distinct n-grams with counts, one block for each
-shard, so that counting costs Spark a few rows a task. A shard is a task's worth of tokens: n-grams
-are dealt to shards by the hash of their context, and those of a context whose words are all
-so frequent that it might exceed a shard are spread over several. Tasks merge a shard, write its
-keys and counts and the sums of its contexts to the shared folder as sorted arrays, and send on what
-the next lower order counts: how many different words stand before an n-gram. Workers that score
-map the arrays into memory; the driver holds sizes and frequent words only.
+A training word's id is its rank by frequency, roughly, so that common words have short ids; sorted
+arrays of the words' 64-bit hashes tell the ids. Map tasks send blocks of distinct n-grams with
+counts, one block for each shard, so that counting costs Spark a few rows a task. A shard is a task's
+worth of tokens: n-grams are dealt to shards by the hash of their context, and those of a context
+whose words are all so frequent that it might exceed a shard are spread over several. Tasks merge
+a shard and write to the shared folder a sorted array of its contexts' hashes, for each context the
+sorted ids of the words that follow with their counts, and what smoothing needs of the counts.
+They send on what the next lower order counts: how many different words stand before an n-gram.
+Workers that score map the arrays into memory; the driver holds sizes and frequent words only.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from weftgraph.llm.probminhash import GOLDEN, U64, Words, mix, worker_words
 #: Words of an n-gram unless another order is asked for.
 ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
-SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 3_000_000, 1_000_000, 1_000_000
-#: Tokens that are looked up together, and distinct n-grams that a task holds before it sends them.
-CHUNK, HELD = 1_000_000, 1_500_000
+SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 2_000_000, 1_000_000, 1_000_000
+#: Tokens that are looked up and sent together.
+CHUNK = 1_000_000
 #: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
 FAN_IN, MAPPED, FETCHED = 16, 8192, 32
 #: Stands for the end of a text among the hashes of words.
@@ -85,6 +86,17 @@ def widened(data: np.ndarray, n: int) -> np.ndarray:
     return data.view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(data) // n]) if n else np.zeros(0, np.uint8)
 
 
+#: Stands for a count that does not fit into a byte.
+LARGE = 255
+
+
+def write_counts(store: Store, name: str, counts: np.ndarray) -> None:
+    """A byte for each count; those of LARGE and more once more with their places."""
+    store.write(name, np.minimum(counts, LARGE).astype(np.uint8))
+    at = np.flatnonzero(counts >= LARGE)
+    store.write(f"{name}-large", np.concatenate([at, counts[at]]).astype(np.int64))
+
+
 @dataclass
 class Model:
     """What the driver knows of a model: sizes of shards, frequent words, discounts by order."""
@@ -92,7 +104,6 @@ class Model:
     uri: str
     order: int = ORDER
     vocabulary_bits: int = 0
-    offsets: list[int] = field(default_factory=list)
     words: int = 0
     tokens: int = 0
     shards: int = 1
@@ -132,6 +143,19 @@ def keys_of(grams: np.ndarray) -> np.ndarray:
     return keys
 
 
+def sorted_rows(grams: np.ndarray) -> np.ndarray:
+    """The order of the rows by their first column, then the next, with as many columns to a sort as 64 bits hold."""
+    bits = max(1, int(grams.max(initial=0)).bit_length())
+    each = max(1, 64 // bits)
+    keys = []
+    for k in range(0, grams.shape[1], each):
+        key = np.zeros(len(grams), U64)
+        for c in range(k, min(k + each, grams.shape[1])):
+            key = (key << U64(bits)) | grams[:, c].astype(U64) if c > k else grams[:, c].astype(U64)
+        keys.append(key)
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
 def parts_of(contexts: np.ndarray, model: Model) -> np.ndarray:
     """Shards that the n-grams of a context are spread over: as many as its rarest word would fill."""
     parts = np.ones(len(contexts), np.int64)
@@ -145,8 +169,9 @@ def parts_of(contexts: np.ndarray, model: Model) -> np.ndarray:
     return parts
 
 
-def shard_of(context_keys: np.ndarray, keys: np.ndarray, parts: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix(context_keys + U64(1)) + mix(keys) % parts.astype(U64)) % U64(shards)).astype(np.int64)
+def shard_of(context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of n-grams by context, and by the last word among the shards of a context that has several."""
+    return ((mix(context_keys + U64(1)) + mix(last.astype(U64) + GOLDEN) % parts.astype(U64)) % U64(shards)).astype(np.int64)
 
 
 def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,22 +200,25 @@ class Lookup:
     def array(self, name: str, dtype: type) -> np.ndarray:
         return self.bytes(name).view(dtype)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashes of words; unknown ones get the model's unknown id."""
-        out = np.full(len(hashes), self.model.unknown, np.int64)
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of hashes of words, the model's unknown id for unknown ones, and how often they stand in the training texts."""
+        ids, seen = np.full(len(hashes), self.model.unknown, np.int64), np.zeros(len(hashes), np.int64)
         if self.model.words:
             bits = self.model.vocabulary_bits
             for k, rows in _by((hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)):
-                at, there = find(self.array(f"words-{k}", np.uint64), hashes[rows])
-                out[rows] = np.where(there, at + self.model.offsets[k], self.model.unknown)
-        return out
-
-    def seen(self, ids: np.ndarray) -> np.ndarray:
-        """How often the words stand in the training texts."""
-        out = np.zeros(len(ids), np.int64)
-        known = np.flatnonzero(ids < self.model.words)
-        for k, rows in _by(np.searchsorted(self.model.offsets, ids[known], side="right") - 1):
-            out[known[rows]] = self.array(f"seen-{k}", np.int64)[ids[known[rows]] - self.model.offsets[k]]
+                known = self.array(f"words-{k}", np.uint64)
+                at, there = find(known, hashes[rows])
+                ids[rows[there]] = widened(self.bytes(f"ids-{k}"), len(known))[at[there]]
+                seen[rows[there]] = self.small(f"seen-{k}", at[there])
+        return ids, seen
+
+    def small(self, name: str, at: np.ndarray) -> np.ndarray:
+        """Counts of `write_counts` at the places given."""
+        out = self.bytes(name)[at].astype(np.int64)
+        big = np.flatnonzero(out == LARGE)
+        if len(big):
+            places, counts = self.array(f"{name}-large", np.int64).reshape(2, -1)
+            out[big] = counts[np.searchsorted(places, at[big])]
         return out
 
     def follows(self, ids: np.ndarray) -> np.ndarray:
@@ -198,16 +226,32 @@ class Lookup:
         out = np.zeros(len(ids), np.int64)
         known = np.flatnonzero(ids < self.model.words)
         for block, rows in _by(ids[known] // BLOCK_IDS):
-            out[known[rows]] = self.array(f"follows-{block}", np.int64)[ids[known[rows]] - block * BLOCK_IDS]
+            out[known[rows]] = self.small(f"follows-{block}", ids[known[rows]] - block * BLOCK_IDS)
         return out
 
-    def counts(self, n: int, context_keys: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Counts of distinct n-grams."""
-        out = np.zeros(len(keys), np.int64)
-        for k, rows in _by(shard_of(context_keys, keys, parts, self.model.shards)):
-            known = self.array(f"{n}-keys-{k}", np.uint64)
-            at, there = find(known, keys[rows])
-            out[rows[there]] = widened(self.bytes(f"{n}-counts-{k}"), len(known))[at[there]]
+    def counts(self, n: int, context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams from their contexts' keys and their last words."""
+        out = np.zeros(len(last), np.int64)
+        for k, rows in _by(shard_of(context_keys, last, parts, self.model.shards)):
+            contexts = self.array(f"{n}-contexts-{k}", np.uint64)
+            at, there = find(contexts, context_keys[rows])
+            at, rows = at[there], rows[there]
+            if not len(rows):
+                continue
+            starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
+            low, end = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
+            words, sought, high = widened(self.bytes(f"{n}-words-{k}"), int(starts[-1])), last[rows], end
+            open_ = np.arange(len(rows))
+            low, high = low.copy(), high.copy()
+            while len(open_):
+                middle = (low[open_] + high[open_]) // 2
+                less = words[middle] < sought[open_]
+                low[open_[less]] = middle[less] + 1
+                high[open_[~less]] = middle[~less]
+                open_ = open_[low[open_] < high[open_]]
+            hit = np.flatnonzero(low < end)
+            hit = hit[words[low[hit]] == sought[hit]]
+            out[rows[hit]] = self.small(f"{n}-counts-{k}", low[hit])
         return out
 
     def sums(self, n: int, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -217,10 +261,13 @@ class Lookup:
             left = np.flatnonzero(parts > part)
             where = (mix(keys[left] + U64(1)) + U64(part)) % U64(self.model.shards)
             for k, rows in _by(where.astype(np.int64)):
-                known = self.array(f"{n}-contexts-{k}", np.uint64)
-                at, there = find(known, keys[left[rows]])
+                contexts = self.array(f"{n}-contexts-{k}", np.uint64)
+                at, there = find(contexts, keys[left[rows]])
                 if there.any():
-                    out[:, left[rows[there]]] += widened(self.bytes(f"{n}-sums-{k}"), 4 * len(known)).reshape(4, -1)[:, at[there]]
+                    at, to = at[there], left[rows[there]]
+                    starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
+                    total, ones, twos = (self.small(f"{n}-{name}-{k}", at) for name in ("total", "ones", "twos"))
+                    out[:, to] += [total, ones, twos, starts[at + 1].astype(np.int64) - starts[at].astype(np.int64) - ones - twos]
         return out
 
 
@@ -234,25 +281,23 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
-def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, n-grams and their summed counts."""
-    keys = keys_of(grams)
-    if not len(keys):
-        return keys, grams, counts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], grams[order[starts]], np.add.reduceat(counts[order], starts)
+def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, and their summed counts."""
+    if not len(grams):
+        return grams, counts
+    order = sorted_rows(grams)
+    grams = grams[order]
+    starts = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
+    return grams[starts], np.add.reduceat(counts[order], starts)
 
 
 BLOCKS = "kind int, shard int, grams binary, counts binary, t1 long, t2 long, t3 long, t4 long, types long"
 
 
 def to_shards(model: Model, grams: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """A block for each shard of distinct n-grams with counts."""
+    """A block for each shard of distinct n-grams with counts, in the order they come in."""
     contexts = grams[:, :-1]
-    before = keys_of(contexts)
-    for k, rows in _by(shard_of(before, fold(before, grams[:, -1]), parts_of(contexts, model), model.shards)):
+    for k, rows in _by(shard_of(keys_of(contexts), grams[:, -1], parts_of(contexts, model), model.shards)):
         yield k, pack(grams[rows].ravel(order="F")), pack(counts[rows])
 
 
@@ -292,10 +337,8 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Chunk:
-    """Documents first..stop of a batch: their distinct words' hashes, each token's place among these, tokens of each document."""
+    """Documents: their distinct words' hashes, each token's place among these, tokens of each document."""
 
-    first: int
-    stop: int
     hashes: np.ndarray
     at: np.ndarray
     sizes: np.ndarray
@@ -315,26 +358,31 @@ class Grams:
     suffix: np.ndarray
 
 
-def _chunks(batch: pa.RecordBatch, column: int, hashed: Words) -> Iterator[Chunk]:
-    first, parts, size = 0, [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, hashed: Words) -> Iterator[Chunk]:
+    """Chunks of about CHUNK tokens, over the borders of batches."""
+    parts, size = [], 0
     end = np.array([END], U64)
 
-    def made(stop: int) -> Chunk:
+    def made() -> Chunk:
         distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
-        return Chunk(first, stop, distinct, back, np.array([len(x) for x in parts]))
-
-    for k, text in enumerate(batch.column(column)):
-        parts.append(np.concatenate([hashed(words_of(text.as_py())), end]))
-        size += len(parts[-1])
-        if size >= CHUNK:
-            yield made(k + 1)
-            first, parts, size = k + 1, [], 0
+        return Chunk(distinct, back, np.array([len(x) for x in parts]))
+
+    for batch in batches:
+        for text in batch.column(column):
+            parts.append(np.concatenate([hashed(words_of(text.as_py())), end]))
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield made()
+                parts, size = [], 0
     if parts:
-        yield made(batch.num_rows)
+        yield made()
 
 
 def grams_of(chunk: Chunk, ids: np.ndarray, model: Model) -> list[Grams]:
-    """The chunk's words, pairs of words and so on up to the model's order; before a text its beginning stands as often as needed."""
+    """The chunk's words, pairs of words and so on up to the model's order; before a text its beginning stands as often as needed.
+
+    With ids in order the n-grams are in the order of their ids too.
+    """
     nothing = np.zeros(0, np.int64)
     out = [Grams(ids[:, None], chunk.at, nothing, nothing)]
     starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
@@ -352,30 +400,23 @@ def grams_of(chunk: Chunk, ids: np.ndarray, model: Model) -> list[Grams]:
     return out
 
 
+def by_id(chunk: Chunk, lookup: Lookup) -> tuple[Chunk, np.ndarray, np.ndarray]:
+    """The chunk with its words in the order of their ids, their ids and how often they were seen."""
+    ids, seen = lookup.words(chunk.hashes)
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    return Chunk(chunk.hashes[order], place[chunk.at], chunk.sizes), ids[order], seen[order]
+
+
 def _send_grams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, lookup = worker_words(), Lookup(model)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def joined() -> tuple[np.ndarray, np.ndarray]:
-            return merged(*(np.concatenate(x) for x in zip(*held, strict=True)))[1:]
-
-        def told() -> Iterator[pa.RecordBatch]:
-            for shard, grams, counts in to_shards(model, *joined()):
+        for chunk in _chunks(batches, 0, hashed):
+            top = grams_of(*by_id(chunk, lookup)[:2], model)[-1]
+            for shard, grams, counts in to_shards(model, top.ids, np.bincount(top.index, minlength=len(top.ids))):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([grams], pa.binary()), pa.array([counts], pa.binary())], names=["shard", "grams", "counts"])
 
-        for batch in batches:
-            for chunk in _chunks(batch, 0, hashed):
-                top = grams_of(chunk, lookup.ids(chunk.hashes), model)[-1]
-                held.append((top.ids, np.bincount(top.index, minlength=len(top.ids))))
-                if sum(len(x[1]) for x in held) > HELD:
-                    held[:] = [joined()]
-                    if len(held[0][1]) > HELD:
-                        yield from told()
-                        held.clear()
-        if held:
-            yield from told()
-
     return run
 
 
@@ -384,20 +425,26 @@ def _store_shard(model: Model, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, store = int(rows["shard"].iloc[0]), Store(model.uri)
-        grams = np.concatenate([unpack(x).reshape(n, -1).T for x in rows["grams"]])
-        keys, grams, counts = merged(grams, np.concatenate([unpack(x) for x in rows["counts"]]))
-        store.write(f"{n}-keys-{shard}", keys)
-        store.write(f"{n}-counts-{shard}", narrow(counts))
-        before = keys_of(grams[:, :-1])
-        order = np.argsort(before, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], before[order][1:] != before[order][:-1]]))
-        store.write(f"{n}-contexts-{shard}", before[order[starts]])
-        own = counts[order]
-        store.write(f"{n}-sums-{shard}", narrow(np.stack([np.add.reduceat(x, starts) for x in (own, *((own == k).astype(np.int64) for k in (1, 2)), (own > 2).astype(np.int64))])))
+        parts = [unpack(x).reshape(n, -1).T for x in rows["grams"]]
+        grams, counts = merged(np.concatenate(parts), np.concatenate([unpack(x) for x in rows["counts"]]))
+        del parts
+        first = np.flatnonzero(np.concatenate([[True], (grams[1:, :-1] != grams[:-1, :-1]).any(axis=1)]))
+        keys = keys_of(grams[first, :-1])
+        order = np.argsort(keys, kind="stable")
+        sizes = np.diff(first, append=len(grams))[order]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(first[order] - starts[:-1], sizes) + np.arange(len(grams))  # contexts in the order of their keys, words within
+        own = counts[at]
+        store.write(f"{n}-contexts-{shard}", keys[order])
+        store.write(f"{n}-starts-{shard}", narrow(starts))
+        store.write(f"{n}-words-{shard}", narrow(grams[at, -1]))
+        write_counts(store, f"{n}-counts-{shard}", own)
+        for name, values in (("total", own), ("ones", own == 1), ("twos", own == 2)):
+            write_counts(store, f"{n}-{name}-{shard}", np.add.reduceat(values.astype(np.int64), starts[:-1]))
         out = [(0, shard, b"", b"", *(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(counts))]
         if n > 2:
             # behind the beginning of a text there is nothing else to count than how often
-            _, lower, sums = merged(grams[:, 1:], np.where(grams[:, 1] == model.begin, counts, 1))
+            lower, sums = merged(grams[:, 1:], np.where(grams[:, 1] == model.begin, counts, 1))
             out += [(1, *block, 0, 0, 0, 0, 0) for block in to_shards(model, lower, sums)]
         else:
             words, sums = np.unique(grams[:, 1], return_counts=True)
@@ -432,38 +479,45 @@ def _join_parts(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _store_block(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         block, total = int(rows["block"].iloc[0]), _added(rows, model)
-        Store(model.uri).write(f"follows-{block}", total)
+        write_counts(Store(model.uri), f"follows-{block}", total)
         return pd.DataFrame([(block, *((total == k).sum() for k in (1, 2, 3, 4)), (total > 0).sum(), total.sum())], columns=["block", "t1", "t2", "t3", "t4", "types", "all"])
 
     return run
 
 
 def _store_vocabulary(vocabulary: DataFrame, model: Model) -> None:
+    """Ids go to the words by the binary order of magnitude of their counts, largest first, and by hash within."""
     size = vocabulary.count()
     bits = model.vocabulary_bits = max(0, int(np.ceil(np.log2(max(1, size) / SHARD_WORDS))))
     shard = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    ranked = vocabulary.select("word", "n", shard.alias("shard"), F.floor(F.log2("n")).cast("int").alias("size"))
+    told = ranked.groupBy("shard", "size").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()
+    offsets: dict[int, dict[int, int]] = {}
+    for x in sorted(told, key=lambda x: (-x["size"], x.shard)):
+        offsets.setdefault(x.shard, {})[x["size"]] = model.words
+        model.words += x.words
+        model.tokens += x.tokens
     uri, most = model.uri, SHARD_TOKENS
 
     def keep_words(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows["word"].to_numpy(np.int64).view(np.uint64))
-        k, n = int(rows["shard"].iloc[0]), rows["n"].to_numpy(np.int64)[order]
+        rows = rows.assign(word=rows["word"].to_numpy(np.int64).view(np.uint64)).sort_values("word")
+        k, n, sizes = int(rows["shard"].iloc[0]), rows["n"].to_numpy(np.int64), rows["size"].to_numpy()
+        ids = np.zeros(len(rows), np.int64)
+        for size_, at in _by(sizes):
+            ids[at] = offsets[k][size_] + np.arange(len(at))
         store = Store(uri)
-        store.write(f"words-{k}", rows["word"].to_numpy(np.int64).view(np.uint64)[order])
-        store.write(f"seen-{k}", n)
+        store.write(f"words-{k}", rows["word"].to_numpy())
+        store.write(f"ids-{k}", narrow(ids))
+        write_counts(store, f"seen-{k}", n)
         often = np.flatnonzero(n > most)
-        return pd.DataFrame({"shard": [k], "words": [len(n)], "tokens": [int(n.sum())], "often": [often.tolist()], "times": [n[often].tolist()]})
-
-    sent = vocabulary.withColumn("shard", shard).groupBy("shard").applyInPandas(keep_words, "shard int, words long, tokens long, often array<long>, times array<long>")
-    parts = {x.shard: x for x in sent.collect()}
-    for k in range(1 << bits):
-        model.offsets.append(model.words)
-        if k in parts:
-            model.often |= {model.words + w: -(-n // most) for w, n in zip(parts[k].often, parts[k].times, strict=True)}
-            model.words += parts[k].words
-            model.tokens += parts[k].tokens
-        else:
-            Store(uri).write(f"words-{k}", np.zeros(0, np.uint64))
-            Store(uri).write(f"seen-{k}", np.zeros(0, np.int64))
+        return pd.DataFrame({"often": [ids[often].tolist()], "times": [n[often].tolist()]})
+
+    for x in ranked.groupBy("shard").applyInPandas(keep_words, "often array<long>, times array<long>").collect():
+        model.often |= {w: -(-n // most) for w, n in zip(x.often, x.times, strict=True)}
+    for k in set(range(1 << bits)) - set(offsets):
+        Store(uri).write(f"words-{k}", np.zeros(0, np.uint64))
+        Store(uri).write(f"ids-{k}", np.zeros(0, np.uint8))
+        write_counts(Store(uri), f"seen-{k}", np.zeros(0, np.int64))
 
 
 def train(texts: DataFrame, order: int = ORDER) -> Model:
@@ -485,8 +539,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         told = sent.where("kind = 0").agg(*(F.sum(x) for x in ("t1", "t2", "t3", "t4")), F.collect_set("shard")).first()
         model.discounts[n] = discounts(list(told[:4]))
         for k in set(range(model.shards)) - set(told[4]):
-            for name, dtype in (("keys", np.uint64), ("counts", np.uint8), ("contexts", np.uint64), ("sums", np.uint8)):
-                Store(model.uri).write(f"{n}-{name}-{k}", np.zeros(0, dtype))
+            Store(model.uri).write(f"{n}-contexts-{k}", np.zeros(0, np.uint64))
         blocks = sent.where("kind = 1").select("shard", "grams", "counts")
     stored = sent.where("kind = 2").select(F.col("shard").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("grams").alias("ids"), F.col("counts").alias("sums"))
     left = model.shards
@@ -501,7 +554,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     cut = model.discounts[1] = discounts([t1, t2, t3, t4])
     model.freed = cut[1] * t1 + cut[2] * t2 + cut[3] * (types - t1 - t2)
     for block in set(range((model.words - 1) // BLOCK_IDS + 1)) - {x.block for x in found}:
-        Store(model.uri).write(f"follows-{block}", np.zeros(min(BLOCK_IDS, model.words - block * BLOCK_IDS), np.int64))
+        write_counts(Store(model.uri), f"follows-{block}", np.zeros(min(BLOCK_IDS, model.words - block * BLOCK_IDS), np.int64))
     return model
 
 
@@ -522,25 +575,21 @@ def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarra
         total = np.maximum(sums[0], 1)
         passed = np.where(sums[0] > 0, (cut[1] * sums[1] + cut[2] * sums[2] + cut[3] * sums[3]) / total, 1.0)
         keys = fold(before[own.context], own.ids[:, -1])
-        counts = lookup.counts(n, before[own.context], keys, parts[own.context])
+        counts = lookup.counts(n, before[own.context], own.ids[:, -1], parts[own.context])
         found = (counts - cut[np.minimum(counts, 3)]) / total[own.context] + passed[own.context] * found[own.suffix]
         begin = fold(begin, np.array([model.begin]))
     return found
 
 
-RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, lookup = worker_words(), Lookup(model)
         for batch in batches:
             last = batch.num_columns - 1
             made: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for chunk in _chunks(batch, last, hashed):
+            for chunk in _chunks(iter([batch]), last, hashed):
                 starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
-                ids = lookup.ids(chunk.hashes)
-                seen = lookup.seen(ids)
+                chunk, ids, seen = by_id(chunk, lookup)
                 grams = grams_of(chunk, ids, model)
                 add_one = np.log10((seen + 1) / (model.tokens + model.words + 1))
                 score = np.log10(probabilities(model, lookup, grams))
@@ -553,6 +602,9 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
 def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", order: int = ORDER) -> DataFrame:
     """`docs` with held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
