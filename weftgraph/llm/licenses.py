@@ -209,7 +209,11 @@ def places(line: bytes, phrase: bytes) -> list[int]:
 
 def scanner(phrases: dict[str, str], templates: dict[str, str]) -> Callable[[], Callable[[bytes], tuple]]:
     def scan() -> Callable[[bytes], tuple]:
-        automata = [(label, compile_template(t)) for label, t in templates.items()]
+        opened: dict[bytes, list[tuple[str, Automaton]]] = {}  # each opening is looked for once, however many templates have it
+        for label, template in templates.items():
+            automaton = compile_template(template)
+            for opening in automaton.openings:
+                opened.setdefault(opening, []).append((label, automaton))
         base = [(p.encode(), label) for p, label in phrases.items()]
 
         def one(text: bytes) -> tuple:
@@ -222,13 +226,14 @@ def scanner(phrases: dict[str, str], templates: dict[str, str]) -> Callable[[],
                     first, last = min(at[0], at[0] if first is None else first), max(at[-1], -1 if last is None else last)
                     own.add(label)
                     score = max(score, 0.5)
-            for label, automaton in automata:
-                for start in (x for opening in automaton.openings for x in places(line, opening)):
-                    accepted, share = automaton.run(words, start)
-                    score = max(score, share if accepted else share / 2)
-                    if accepted:
-                        labels.add(label)
-                        break
+            for opening, automata in opened.items():
+                for start in places(line, opening):
+                    for label, automaton in automata:
+                        if label not in labels:
+                            accepted, share = automaton.run(words, start)
+                            score = max(score, share if accepted else share / 2)
+                            if accepted:
+                                labels.add(label)
             return len(words), n, first, last, ",".join(sorted(own)), ",".join(sorted(own | labels)), score
 
         return one
