@@ -428,6 +428,22 @@ def test_model_of_nothing(spark):
     assert kneserney.train(rows.select(F.encode("text", "UTF-8").alias("_utf8"))).words == 0
 
 
+def test_word_hashes_are_those_of_the_words(monkeypatch):
+    texts = ["", "Ab c\td", " x\n\x0b y ", "é É", "a" * 300, LONG[:5000], "\n", "ab C"]
+    monkeypatch.setattr(kneserney, "BLOCK_BYTES", 64)
+    blocked = kneserney.texts_hashes([t.encode() for t in texts])
+    monkeypatch.undo()
+    whole = kneserney.texts_hashes([t.encode() for t in texts])
+    assert (blocked[0] == whole[0]).all() and (blocked[1] == whole[1]).all()
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    tokens = [w for t in texts for w in [*re.findall("[^\x20\x09-\x0D]+", lower(t)), None]]
+    assert len(tokens) == len(whole[0]) and whole[1].tolist() == [len(re.findall("[^\x20\x09-\x0D]+", t)) + 1 for t in texts]
+    of = {}
+    for w, h in zip(tokens, whole[0].tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
 def test_coding_is_lossless():
     values = np.random.default_rng(3).integers(0, 2**62, 5000)
     assert (kneserney.unpack(kneserney.pack(values)) == values).all()

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,16 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import new_path, stage, without
-from weftgraph.llm.probminhash import GOLDEN, U64, Words, mix, worker_words
+from weftgraph.llm.memory import remembered
+from weftgraph.llm.probminhash import GOLDEN, U64, mix
+from weftgraph.llm.substrings import Powers
 
 #: Words of an n-gram unless another order is asked for.
 ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
 SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 2_000_000, 1_000_000, 1_000_000
-#: Tokens that are looked up and sent together.
-CHUNK = 1_000_000
+#: Tokens that are looked up and sent together, bytes of text whose words are hashed together, distinct words that a task holds.
+CHUNK, BLOCK_BYTES, HELD_WORDS = 1_000_000, 1 << 21, 1_000_000
 #: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
-FAN_IN, MAPPED, FETCHED = 16, 8192, 32
+FAN_IN, MAPPED, FETCHED = 16, 96, 32
 #: Stands for the end of a text among the hashes of words.
 END = 0x656E64206F66
 
@@ -174,9 +175,14 @@ def shard_of(context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray, shar
     return ((mix(context_keys + U64(1)) + mix(last.astype(U64) + GOLDEN) % parts.astype(U64)) % U64(shards)).astype(np.int64)
 
 
-def _by(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each distinct value with the places where it stands."""
-    order = np.argsort(values, kind="stable")
+def _by(values: np.ndarray, along: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each distinct value with the places where it stands, these in the order of `along`."""
+    small = values.astype(np.uint16) if len(values) and 0 <= values.min() and values.max() < 1 << 16 else values  # sorted faster
+    if along is None:
+        order = np.argsort(small, kind="stable")
+    else:
+        first = np.argsort(along, kind="stable")
+        order = first[np.argsort(small[first], kind="stable")]
     cuts = np.flatnonzero(np.diff(values[order])) + 1
     for at in np.split(order, cuts) if len(order) else ():
         yield int(values[at[0]]), at
@@ -232,7 +238,7 @@ class Lookup:
     def counts(self, n: int, context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray) -> np.ndarray:
         """Counts of distinct n-grams from their contexts' keys and their last words."""
         out = np.zeros(len(last), np.int64)
-        for k, rows in _by(shard_of(context_keys, last, parts, self.model.shards)):
+        for k, rows in _by(shard_of(context_keys, last, parts, self.model.shards), context_keys):
             contexts = self.array(f"{n}-contexts-{k}", np.uint64)
             at, there = find(contexts, context_keys[rows])
             at, rows = at[there], rows[there]
@@ -260,7 +266,7 @@ class Lookup:
         for part in range(int(parts.max(initial=0))):
             left = np.flatnonzero(parts > part)
             where = (mix(keys[left] + U64(1)) + U64(part)) % U64(self.model.shards)
-            for k, rows in _by(where.astype(np.int64)):
+            for k, rows in _by(where.astype(np.int64), keys[left]):
                 contexts = self.array(f"{n}-contexts-{k}", np.uint64)
                 at, there = find(contexts, keys[left[rows]])
                 if there.any():
@@ -301,8 +307,52 @@ def to_shards(model: Model, grams: np.ndarray, counts: np.ndarray) -> Iterator[t
         yield k, pack(grams[rows].ravel(order="F")), pack(counts[rows])
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: A-Z and ASCII white space alone
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A number for each byte, of which a word's hash is made.
+BYTES = mix(np.arange(1, 257, dtype=U64) * GOLDEN)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words between ASCII white space, A-Z taken in lower case."""
+    out, begin = [], 0
+    powers = remembered("powers", Powers)
+    while begin < len(text):
+        end = begin + BLOCK_BYTES
+        if end < len(text):  # to the next white space: a block ends with a word
+            ahead = text[end : end + BLOCK_BYTES]
+            gaps = np.flatnonzero(SPACE[np.frombuffer(ahead, np.uint8)])
+            while not len(gaps) and end < len(text):
+                end += len(ahead)
+                ahead = text[end : end + BLOCK_BYTES]
+                gaps = np.flatnonzero(SPACE[np.frombuffer(ahead, np.uint8)])
+            end += int(gaps[0]) if len(gaps) else 0
+        data = np.frombuffer(text[begin:end].lower(), np.uint8)
+        gap = np.concatenate([[True], SPACE[data], [True]])
+        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+        up, down = powers(len(data) + 1)
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(BYTES[data] * up[:-1])])
+        out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)))
+        begin = end
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
+def texts_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, an end after each text, and each text's number of tokens."""
+    joined = b"\n".join(texts)
+    words = word_hashes(joined)
+    if len(texts) == 1:
+        sizes = np.array([len(words)])
+    else:
+        places = np.flatnonzero(_first_bytes(joined))
+        borders = np.cumsum([len(x) + 1 for x in texts])
+        sizes = np.diff(np.searchsorted(places, borders), prepend=0)
+    return np.insert(words, np.cumsum(sizes), U64(END)), sizes + 1
+
+
+def _first_bytes(text: bytes) -> np.ndarray:
+    """Where words begin."""
+    gap = SPACE[np.frombuffer(text, np.uint8)]
+    return ~gap & np.concatenate([[True], gap[:-1]])
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -317,24 +367,48 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): hashes of all words and of the end, with counts, a row each for a task or a part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, seen = worker_words(), Counter()
+        held = np.zeros(0, U64), np.zeros(0, np.int64)
 
         def told() -> pa.RecordBatch:
-            keys = hashed(list(seen))
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-                if len(seen) > 400_000:
-                    yield told()
-                    seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([batch.num_rows], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], names=["word", "n"])
+
+        for tokens, _ in _token_runs(batches, 0):
+            words, counts = np.unique(tokens, return_counts=True)
+            distinct, back = np.unique(np.concatenate([held[0], words]), return_inverse=True)
+            held = distinct, np.bincount(back, weights=np.concatenate([held[1], counts]), minlength=len(distinct)).astype(np.int64)
+            if len(distinct) > HELD_WORDS:
+                yield told()
+                held = np.zeros(0, U64), np.zeros(0, np.int64)
         yield told()
 
     return texts.mapInArrow(run, "word long, n long")
 
 
+def _token_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of about CHUNK tokens' worth of texts at a time, over the borders of batches, and each text's number of tokens."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting: list[bytes] = []
+    size = held = 0
+
+    def run() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    for batch in batches:
+        for text in batch.column(column):
+            waiting.append(text.as_py())
+            size += len(waiting[-1])
+            if size >= BLOCK_BYTES:
+                parts.append(texts_hashes(waiting))
+                held, waiting, size = held + len(parts[-1][0]), [], 0
+                if held >= CHUNK:
+                    yield run()
+                    parts, held = [], 0
+    if waiting:
+        parts.append(texts_hashes(waiting))
+    if parts:
+        yield run()
+
+
 @dataclass
 class Chunk:
     """Documents: their distinct words' hashes, each token's place among these, tokens of each document."""
@@ -358,24 +432,10 @@ class Grams:
     suffix: np.ndarray
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, hashed: Words) -> Iterator[Chunk]:
-    """Chunks of about CHUNK tokens, over the borders of batches."""
-    parts, size = [], 0
-    end = np.array([END], U64)
-
-    def made() -> Chunk:
-        distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
-        return Chunk(distinct, back, np.array([len(x) for x in parts]))
-
-    for batch in batches:
-        for text in batch.column(column):
-            parts.append(np.concatenate([hashed(words_of(text.as_py())), end]))
-            size += len(parts[-1])
-            if size >= CHUNK:
-                yield made()
-                parts, size = [], 0
-    if parts:
-        yield made()
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[Chunk]:
+    for tokens, sizes in _token_runs(batches, column):
+        distinct, back = np.unique(tokens, return_inverse=True)
+        yield Chunk(distinct, back, sizes)
 
 
 def grams_of(chunk: Chunk, ids: np.ndarray, model: Model) -> list[Grams]:
@@ -411,8 +471,8 @@ def by_id(chunk: Chunk, lookup: Lookup) -> tuple[Chunk, np.ndarray, np.ndarray]:
 
 def _send_grams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, lookup = worker_words(), Lookup(model)
-        for chunk in _chunks(batches, 0, hashed):
+        lookup = Lookup(model)
+        for chunk in _chunks(batches, 0):
             top = grams_of(*by_id(chunk, lookup)[:2], model)[-1]
             for shard, grams, counts in to_shards(model, top.ids, np.bincount(top.index, minlength=len(top.ids))):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([grams], pa.binary()), pa.array([counts], pa.binary())], names=["shard", "grams", "counts"])
@@ -583,11 +643,11 @@ def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarra
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, lookup = worker_words(), Lookup(model)
+        lookup = Lookup(model)
         for batch in batches:
             last = batch.num_columns - 1
             made: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for chunk in _chunks(iter([batch]), last, hashed):
+            for chunk in _chunks(iter([batch]), last):
                 starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
                 chunk, ids, seen = by_id(chunk, lookup)
                 grams = grams_of(chunk, ids, model)
