@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import warnings
 from functools import cache
 from importlib import resources
 
@@ -14,12 +15,18 @@ from pyspark.sql import types as T
 MIN_TOKEN_CHARS = 2
 
 
+# Languages with a list, by tag and by name.
+LANGUAGES = {"en": "en", "english": "en", "de": "de", "german": "de", "fr": "fr", "french": "fr", "es": "es", "spanish": "es"}
+
+
 @cache
 def stop_words(language: str) -> tuple[str, ...]:
-    """The stop words of a language; none for one without a list, so that its tokens pass through."""
-    if language.lower() not in ("en", "english"):
+    """The stop words of a language by its tag, regions aside, or its English name. One without a list warns and has none, so that its tokens pass through."""
+    known = LANGUAGES.get(language.lower().replace("_", "-").split("-")[0])
+    if known is None:
+        warnings.warn(f"no stop words for {language}: nothing is filtered", stacklevel=2)
         return ()
-    return tuple(resources.files(__package__).joinpath("stopwords.txt").read_text().split())
+    return tuple(resources.files(__package__).joinpath(f"stopwords_{known}.txt").read_text(encoding="utf-8").split())
 
 
 @F.pandas_udf(T.StringType())

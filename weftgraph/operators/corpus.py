@@ -67,7 +67,12 @@ def unigrams(doc_tokens: DataFrame, shared: bool = False) -> DataFrame:
 def vocabulary(counts: DataFrame, min_count: int, shared: bool = False) -> DataFrame:
     """Tokens that occur often enough, with an index from 0 in the order of their bytes."""
     keys = [] if shared else ["slice_id"]
-    return counts.where(F.col("cnt") >= min_count).withColumn("idx", F.row_number().over(Window.partitionBy(*keys).orderBy("token")) - 1)
+    kept = counts.where(F.col("cnt") >= min_count).withColumn("_head", F.substring("token", 1, 2))  # in the order of the tokens
+    heads = kept.groupBy(*keys, "_head").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
+    starts = heads.select(*keys, "_head", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_head").orderBy("token"))
+    return kept.join(starts, [*keys, "_head"]).select(*keys, "token", "cnt", (F.col("_start") + inside - 1).cast("int").alias("idx"))
 
 
 def cooccurrence(tokens_at: DataFrame, vocab: DataFrame, window: int = 5, slide: int = 1, unit: list[str] | None = None) -> DataFrame:

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SHAPES = ("sphere", "torus", "cube", "cylinder", "pyramid", "point")
-_KINDS = {"STRING": T.StringType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(), "INT": T.IntegerType(), "BIGINT": T.LongType()}
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in text.split(","))])
-
-
-NODES = _schema("sheet_index INT,row_ord INT,label STRING,x DOUBLE,y DOUBLE,z DOUBLE,size DOUBLE,size_alpha DOUBLE,spin_x DOUBLE,spin_y DOUBLE,spin_z DOUBLE,shape STRING,color_r FLOAT,color_g FLOAT,color_b FLOAT,note INT,instrument INT,channel INT,velocity INT,cluster_value DOUBLE,beats BIGINT")
-EDGES = _schema("sheet_index INT,edge_ord INT,from STRING,to STRING,strength DOUBLE")
+# Columns, their types and defaults, shapes, and the limits that validation knows.
+NODES = T.StructType([
+    T.StructField("sheet_index", T.IntegerType()), T.StructField("row_ord", T.IntegerType()), T.StructField("label", T.StringType()),
+    T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("z", T.DoubleType()), T.StructField("size", T.DoubleType()), T.StructField("size_alpha", T.DoubleType()),
+    T.StructField("spin_x", T.DoubleType()), T.StructField("spin_y", T.DoubleType()), T.StructField("spin_z", T.DoubleType()), T.StructField("shape", T.StringType()),
+    T.StructField("color_r", T.FloatType()), T.StructField("color_g", T.FloatType()), T.StructField("color_b", T.FloatType()),
+    T.StructField("note", T.IntegerType()), T.StructField("instrument", T.IntegerType()), T.StructField("channel", T.IntegerType()), T.StructField("velocity", T.IntegerType()),
+    T.StructField("cluster_value", T.DoubleType()), T.StructField("beats", T.LongType()),
+])
+EDGES = T.StructType([T.StructField("sheet_index", T.IntegerType()), T.StructField("edge_ord", T.IntegerType()), T.StructField("from", T.StringType()), T.StructField("to", T.StringType()), T.StructField("strength", T.DoubleType())])
 DEFAULTS = {"x": 0.0, "y": 0.0, "z": 0.0, "size": 1.0, "size_alpha": 0.0, "spin_x": 0.0, "spin_y": 0.0, "spin_z": 0.0, "shape": "sphere", "color_r": 1.0, "color_g": 1.0, "color_b": 1.0, "note": 60, "instrument": 0, "channel": 0, "velocity": 64, "cluster_value": 0.0, "beats": 0}
 
 
@@ -33,8 +34,22 @@ def shape_id(shape: Column) -> Column:
 
 def canonical_labels(nodes: DataFrame) -> DataFrame:
     """(label_ord, label): all labels in the order in which they first stand."""
-    first = nodes.groupBy("label").agg(F.min(F.struct("sheet_index", "row_ord")).alias("at"))
-    return first.select((F.row_number().over(Window.orderBy("at")) - 1).alias("label_ord"), "label")
+    first = nodes.groupBy("label").agg(F.min(F.struct("sheet_index", "row_ord")).alias("at")).select("label", "at.*")
+    sheets = first.groupBy("sheet_index").agg(F.count(F.lit(1)).alias("n"))  # sheets are few, labels are not
+    before = F.sum("n").over(Window.orderBy("sheet_index").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sheets.select("sheet_index", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("sheet_index").orderBy("row_ord", "label"))
+    return first.join(starts, "sheet_index").select((F.col("start") + inside - 1).cast("int").alias("label_ord"), "label")
+
+
+def sorted_labels(nodes: DataFrame) -> DataFrame:
+    """(label_ord, label): all labels in alphabetical order, as a dataset without a window on it is numbered."""
+    labels = nodes.select("label").distinct().withColumn("head", F.substring("label", 1, 2))
+    heads = labels.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1))
+    starts = heads.select("head", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("head").orderBy("label"))
+    return labels.join(starts, "head").select((F.col("start") + inside - 1).cast("int").alias("label_ord"), "label")
 
 
 def last_rows(nodes: DataFrame) -> DataFrame:
@@ -68,6 +83,22 @@ def validate_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("sheet_index", (F.col("edge_ord") + 1).alias("edge"), F.explode(found).alias("message"))
 
 
+def validate_dataset(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sheet_index, row, message) of all sheets, a sheet's edges numbered on from its rows, and of labels that are not the canonical ones: sheet -1, row 0."""
+    sizes = nodes.groupBy("sheet_index").agg(F.count(F.lit(1)).alias("n"))
+    linked = validate_edges(edges, nodes).join(sizes, "sheet_index", "left").select("sheet_index", (F.coalesce("n", F.lit(0)) + F.col("edge")).cast("int").alias("row"), "message")
+    canonical = canonical_labels(nodes).withColumnRenamed("label_ord", "_c")
+    differing = canonical.join(labels.select("label", "label_ord"), "label", "full_outer").where(~F.col("_c").eqNullSafe(F.col("label_ord")))
+    odd = differing.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(-1).alias("sheet_index"), F.lit(0).alias("row"), F.lit("labels are not in the order in which they first stand").alias("message"))
+    return validate_rows(nodes).union(linked).union(odd)
+
+
+def validate_sheet(nodes: DataFrame, edges: DataFrame, sheet: int) -> DataFrame:
+    """(sheet_index, row, message) of one sheet."""
+    own = nodes.where(F.col("sheet_index") == sheet)
+    return validate_dataset(own, edges.where(F.col("sheet_index") == sheet), canonical_labels(own))
+
+
 def cluster_filter(nodes: DataFrame, least: float, most: float) -> DataFrame:
     return nodes.where(F.col("cluster_value").between(least, most))
 

@@ -92,7 +92,8 @@ def pivot(dist: np.ndarray, dims: int, pivots: int | None = None) -> np.ndarray:
     _, s, vt = np.linalg.svd(-0.5 * centered(rows**2), full_matrices=False)
     out = np.zeros((len(dist), dims))
     k = min(dims, len(s))
-    out[:, :k] = vt[:k].T * s[:k]
+    vectors = vt[:k].T
+    out[:, :k] = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)] + 1e-300) * s[:k]
     return out - out.mean(axis=0)
 
 

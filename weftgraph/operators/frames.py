@@ -48,7 +48,7 @@ def frames(nodes: DataFrame, steps: int, mode: str = "ease_in_out", at: int | No
     start = rows.crossJoin(F.broadcast(last)).where("sheet_index < last or last = 0").select(F.col("sheet_index").alias("transition"), "label", side("a"))
     end = rows.where("sheet_index > 0").select((F.col("sheet_index") - 1).alias("transition"), "label", side("b"))
     still = rows.crossJoin(F.broadcast(last)).where("last = 0").select(F.lit(0).alias("transition"), "label", side("b"))
-    pairs = start.join(end.union(still), ["transition", "label"], "full_outer").join(F.broadcast(canonical_labels(nodes)), "label")
+    pairs = start.join(end.union(still), ["transition", "label"], "full_outer").join(canonical_labels(nodes), "label")
     if at is not None:
         pairs = pairs.crossJoin(F.broadcast(last)).where(F.col("transition") == F.least(F.lit(at // steps), F.greatest(F.col("last") - 1, F.lit(0)))).drop("last")
         sliced = pairs.withColumn("local_slice", F.lit(at % steps))
@@ -88,9 +88,8 @@ def advance_slice(current: Column, total: Column, state: Column, looping: Column
 
 def matching(edges: DataFrame, picked: DataFrame, direction: str) -> DataFrame:
     """Edges of the picked objects (sheet_index, label) in the direction: incoming, outgoing or both."""
-    touches = {"outgoing": F.col("from") == F.col("label"), "incoming": F.col("to") == F.col("label")}
-    touches["both"] = touches["outgoing"] | touches["incoming"]
-    return edges.join(F.broadcast(picked.withColumnRenamed("sheet_index", "_s")), (F.col("sheet_index") == F.col("_s")) & touches[direction]).drop("_s")
+    ends = {"outgoing": F.array("from"), "incoming": F.array("to"), "both": F.array_distinct(F.array("from", "to"))}[direction]
+    return edges.withColumn("label", F.explode(ends)).join(picked, ["sheet_index", "label"]).select(*edges.columns, "label")
 
 
 def neighbours(edges: DataFrame, picked: DataFrame, direction: str, among: DataFrame) -> DataFrame:
@@ -144,9 +143,10 @@ def ego_style(nodes: DataFrame, visible: DataFrame, selected: str | None) -> Dat
 
 
 def pick_object(projected: DataFrame, x: float, y: float, reach: float = 20.0) -> DataFrame:
-    """The object (label, px, py) nearest to a point of the screen, if any lies within reach."""
+    """In each sheet the object (sheet_index, label, px, py) nearest to a point of the screen, if any lies within reach."""
     far = F.sqrt((F.col("px") - x) ** 2 + (F.col("py") - y) ** 2)
-    return projected.withColumn("distance", far).where(F.col("distance") < reach).orderBy("distance", "label").limit(1)
+    near = projected.withColumn("distance", far).where(F.col("distance") < reach)
+    return near.groupBy("sheet_index").agg(F.min(F.struct("distance", "label")).alias("p")).select("sheet_index", "p.label", "p.distance")
 
 
 # -- sonification --------------------------------------------------------------------------------

@@ -38,7 +38,8 @@ def adjacency_edges(adjacency: DataFrame) -> DataFrame:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("step", "i", "j", "w").union(edges.select("step", F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    ways = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return edges.select("step", F.explode(ways).alias("p"), "w").select("step", "p.i", "p.j", "w")
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,7 +101,8 @@ class Graph:
 
 def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, one: Callable[[Graph, int], np.ndarray], out: str, summed: bool) -> DataFrame:
     """Rows (step, s, t, out) of one array for each source, or (step, t, out) with the arrays of a group added up."""
-    dealt = sources.withColumn("_part", F.floor(F.row_number().over(Window.partitionBy("step").orderBy("s")) / SOURCES_A_TASK).cast("int"))
+    sizes = sources.groupBy("step").agg(F.ceil(F.count(F.lit(1)) / SOURCES_A_TASK).alias("_parts"))
+    dealt = sources.join(sizes, "step").withColumn("_part", F.pmod(F.xxhash64("s"), F.col("_parts")).cast("int"))
     parts = dealt.select("step", "_part").distinct()
     wanted = dealt.select("step", "_part", F.lit(1).alias("kind"), F.col("s").alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("w"))
     linked = edges.join(parts, "step").select("step", "_part", F.lit(0).alias("kind"), F.col("i").alias("a"), F.col("j").alias("b"), "w")
@@ -118,7 +120,8 @@ def per_source(edges: DataFrame, nodes: DataFrame, sources: DataFrame, one: Call
 
     kinds = {x.name: x.dataType.simpleString() for x in nodes.schema}
     schema = f"step {kinds['step']}, " + ("" if summed else f"s {kinds['i']}, ") + f"t {kinds['i']}, {out} double"
-    return wanted.union(linked).union(known).groupBy("step", "_part").applyInPandas(run, schema)
+    # dealt anew, as parts that are joined by step alone need not lie with one another
+    return wanted.union(linked).union(known).repartition("step", "_part").groupBy("step", "_part").applyInPandas(run, schema)
 
 
 def shortest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sampled: int | None = None,
     sizes = nodes.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     scale = F.lit(1.0)
     if sampled:
-        drawn = Window.partitionBy("step").orderBy(F.xxhash64("s", F.lit(seed)), "s")
+        drawn = Window.partitionBy("step").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("s").cast("string"))), "s")
         ranked = sources.withColumn("_r", F.row_number().over(drawn)).join(F.broadcast(sizes), "step")
         sources = ranked.where((F.col("_r") <= sampled) | (F.col("n") <= exact_nodes)).select("step", "s")
         scale = F.when(F.col("n") <= exact_nodes, 1.0).otherwise(F.greatest(F.col("n") / sampled, F.lit(1.0)))
@@ -170,7 +173,7 @@ def per_step(adjacency: DataFrame, nodes: DataFrame, kernel: Callable[[np.ndarra
         matrix[np.searchsorted(ids, cells["i"].to_numpy()), np.searchsorted(ids, cells["j"].to_numpy())] = cells["w"].to_numpy()
         return pd.DataFrame({"step": part["step"].iloc[0], "i": ids, **kernel(matrix)})
 
-    return rows.groupBy("step").applyInPandas(run, f"step {kinds['step']}, i {kinds['i']}, {columns}")
+    return rows.repartition("step").groupBy("step").applyInPandas(run, f"step {kinds['step']}, i {kinds['i']}, {columns}")
 
 
 def pagerank_kernel(matrix: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions.tables import cut_lineage
+
 FAR, FLOOR = 1e6, 1e-12
 
 
@@ -52,9 +54,9 @@ def structural_correlation(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def full_matrix(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All cells of a distance matrix from its upper triangle."""
-    mirrored = pairs.select("step", F.col("j").alias("i"), F.col("i").alias("j"), "d")
-    return pairs.select("step", "i", "j", "d").union(mirrored).union(nodes.select("step", "i", F.col("i").alias("j"), F.lit(0.0)))
+    """All cells of a distance matrix from its upper triangle, written once for all that reads them."""
+    both = pairs.select("step", F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"), "d").select("step", "p.i", "p.j", "d")
+    return cut_lineage(both.union(nodes.select("step", "i", F.col("i").alias("j"), F.lit(0.0))))
 
 
 def validate_distances(cells: DataFrame) -> DataFrame:
@@ -79,9 +81,10 @@ def similarity_to_distance(similarity: Column, method: str, same: Column) -> Col
 
 def double_center(cells: DataFrame) -> DataFrame:
     """(step, i, j, b): minus half the squared distances, less row and column means, plus the mean of all."""
-    square = cells.withColumn("q", F.col("d") * F.col("d"))
-    over = lambda *k: F.avg("q").over(Window.partitionBy("step", *k))
-    return square.select("step", "i", "j", (-0.5 * (F.col("q") - over("i") - over("j") + over())).alias("b"))
+    square = cells.select("step", "i", "j", (F.col("d") * F.col("d")).alias("q"))
+    mean = lambda out, *k: square.groupBy("step", *k).agg(F.avg("q").alias(out))
+    joined = square.join(mean("_r", "i"), ["step", "i"]).join(mean("_c", "j"), ["step", "j"]).join(mean("_a"), "step")
+    return joined.select("step", "i", "j", (-0.5 * (F.col("q") - F.col("_r") - F.col("_c") + F.col("_a"))).alias("b"))
 
 
 def embedded(pairs: DataFrame, coords: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def guttman_step(cells: DataFrame, coords: DataFrame) -> DataFrame:
     return flat.groupBy("step", "i", "dim").agg(F.sum("part").alias("s")).join(F.broadcast(sizes), "step").select("step", "i", "dim", (F.col("s") / F.col("n")).alias("x"))
 
 
-def nearest(cells: DataFrame, k: int) -> DataFrame:
-    """(step, i, j, d, rank): the k nearest of each node, ties in the order of j."""
-    near = Window.partitionBy("step", "i").orderBy("d", "j")
+def nearest(cells: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """(step, i, j, d, rank): the k nearest of each node, ties in the order of j; distances equal to so many `digits` are ties."""
+    near = Window.partitionBy("step", "i").orderBy("d" if digits is None else F.round("d", digits), "j")
     return cells.where("i <> j").withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.tables import table
+from weftgraph.functions.tables import cut_lineage, spread, table
 from weftgraph.functions.text import is_token, normalize_text, stop_words, words
 from weftgraph.operators import corpus as C
 
@@ -46,19 +46,17 @@ COUNTS = f"WITH {PLACED}, {VOCAB}, {pairs_sql(5, 1)}"
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.document_tokens(table(spark, sf_dir, "documents"), F.col("lang"))
-
-
-def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.vocabulary(C.unigrams(_tokens(spark, sf_dir)), MIN_COUNT)
+    return C.document_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), F.col("lang"))
 
 
 def counts(spark: SparkSession, sf_dir: str, window: int = 5, slide: int = 1) -> DataFrame:
-    return C.cooccurrence(C.positions(_tokens(spark, sf_dir)), _vocab(spark, sf_dir), window, slide)
+    """Tokens are made once; vocabulary and positions both read them."""
+    words = cut_lineage(_tokens(spark, sf_dir))
+    return C.cooccurrence(C.positions(words), C.vocabulary(C.unigrams(words), MIN_COUNT), window, slide)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.association(counts(spark, sf_dir))
+    return C.association(cut_lineage(counts(spark, sf_dir)))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")
@@ -77,7 +75,7 @@ STOPS = ", ".join(f"'{w}'" for w in stop_words("en"))
 
 @query(f"WITH {TOKENS} SELECT slice_id, count(*) AS n_before, count_if(token NOT IN ({STOPS})) AS n_after FROM toks GROUP BY slice_id")
 def stopword_filter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     before, after = (C.document_tokens(docs, F.col("lang"), language=x) for x in (None, "en"))
     total = lambda df, name: df.groupBy("slice_id").agg(F.sum(F.size("words")).alias(name))
     return total(before, "n_before").join(total(after, "n_after"), "slice_id")
@@ -90,7 +88,7 @@ def unigram_counts(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {VOCAB} SELECT slice_id, token, cnt, (row_number() OVER (PARTITION BY slice_id ORDER BY encode(token)) - 1)::INTEGER AS idx FROM vocab")
 def vocabulary(spark, sf_dir):
-    return _vocab(spark, sf_dir)
+    return C.vocabulary(C.unigrams(_tokens(spark, sf_dir)), MIN_COUNT)
 
 
 @query(f"WITH {TOKENS} SELECT token, cnt, (row_number() OVER (ORDER BY encode(token)) - 1)::INTEGER AS idx FROM (SELECT token, count(*) AS cnt FROM toks GROUP BY token HAVING count(*) >= {MIN_COUNT})")
@@ -105,14 +103,14 @@ def slice_filter(spark, sf_dir):
 
 @query(f"WITH {PLACED} SELECT slice_id, doc, min(pos) AS first_pos, max(pos) AS last_pos, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM placed GROUP BY slice_id, doc")
 def global_positions(spark, sf_dir):
-    placed = C.positions(_tokens(spark, sf_dir))
+    placed = C.positions(cut_lineage(_tokens(spark, sf_dir)))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ")
     return placed.groupBy("slice_id", "doc").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.md5(line).alias("digest"))
 
 
 @query(f"WITH {TOKENS}, starts AS (SELECT doc, coalesce(sum(len(ts)) OVER (ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM docs), b AS (SELECT ((start + k) // 10000)::BIGINT AS batch, token FROM toks JOIN starts USING (doc)) SELECT 'batch-' || batch AS slice_id, batch, count(*) AS n_tokens, count(DISTINCT token) AS n_types FROM b GROUP BY batch")
 def fixed_token_batches(spark, sf_dir):
-    stream = C.positions(_tokens(spark, sf_dir).withColumn("slice_id", F.lit("all")))
+    stream = C.positions(cut_lineage(_tokens(spark, sf_dir).withColumn("slice_id", F.lit("all"))))
     return C.token_batches(stream, 10_000).groupBy("slice_id", "batch").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("token").alias("n_types"))
 
 
@@ -128,7 +126,8 @@ def cooccurrence_slide(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {VOCAB}, per AS (SELECT slice_id, doc, k AS pos, token FROM toks), {pairs_sql(5, 1, 'per', 'slice_id, doc')} SELECT slice_id, a, b, cnt FROM counts")
 def cooccurrence_per_document(spark, sf_dir):
-    return C.cooccurrence(C.positions(_tokens(spark, sf_dir), per_document=True), _vocab(spark, sf_dir), unit=["slice_id", "doc"])
+    words = cut_lineage(_tokens(spark, sf_dir))
+    return C.cooccurrence(C.positions(words, per_document=True), C.vocabulary(C.unigrams(words), MIN_COUNT), unit=["slice_id", "doc"])
 
 
 @query(f"{COUNTS}, {SCORED} SELECT slice_id, a, b, round(ppmi, 6) AS ppmi FROM scored WHERE ppmi > 0")

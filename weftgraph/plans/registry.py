@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.plans import corpus, files, scenes, space, trade
+from weftgraph.plans import corpus, files, playback, scenes, space, trade
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (corpus, trade, space, scenes, files)
+MODULES = (corpus, trade, space, scenes, files, playback)
 
 
 def queries() -> dict[str, Query]:

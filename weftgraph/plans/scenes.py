@@ -28,17 +28,17 @@ LV = TRADE + """, outs AS (SELECT step, i, sum(w) AS o FROM cells GROUP BY ALL),
 lv AS MATERIALIZED (SELECT step - 1995 AS sheet_index, i AS row_ord, n_name AS label, round(o, 4) AS x, round(n, 4) AS y, (n_regionkey + i / 10.0)::DOUBLE AS z, round(o / 10, 4) - (i = 7)::INTEGER * 5 AS size, 0.0::DOUBLE AS size_alpha,
   (i * 37 + step * 91) % 720 - 360.0::DOUBLE AS spin_x, 0.0::DOUBLE AS spin_y, 0.0::DOUBLE AS spin_z, ['sphere','torus','cube','cylinder','pyramid','point'][n_regionkey + 1] AS shape,
   i / 25.0::DOUBLE AS color_r, 1.0::DOUBLE AS color_g, 1.0::DOUBLE AS color_b, 60 + i % 12 * 6 AS note, i AS instrument, i AS channel, 60 + i AS velocity, n_regionkey / 4.0::DOUBLE AS cluster_value, i % 5 AS beats
-  FROM outs JOIN ins USING (step, i) JOIN nation ON n_nationkey = i WHERE (step + i) % 6 <> 0),
-lve AS MATERIALIZED (SELECT step - 1995 AS sheet_index, i * 25 + j AS edge_ord, a.n_name AS "from", b.n_name AS "to", round(w, 6) AS strength FROM adj JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j WHERE w > 0.1),
+  FROM outs JOIN ins USING (step, i) JOIN nation ON n_nationkey = i),
+lve AS MATERIALIZED (SELECT step - 1995 AS sheet_index, i * 25 + j AS edge_ord, a.n_name AS "from", b.n_name AS "to", round(w, 6) AS strength FROM adj JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j WHERE w > 0),
 last AS (SELECT max(sheet_index) AS last FROM lv), labels AS (SELECT label, (row_number() OVER (ORDER BY min((sheet_index, row_ord))) - 1)::INTEGER AS label_ord FROM lv GROUP BY label)"""
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges: a sheet for each year, nations that trade as objects; some are missing in some years."""
+    """Nodes and edges: a sheet for each year, all nations as objects."""
     adjacency, nodes = trade(spark, sf_dir)
     nation = table(spark, sf_dir, "nation")
     outs, ins = adjacency.groupBy("step", "i").agg(F.sum("w").alias("o")), adjacency.groupBy("step", F.col("j").alias("i")).agg(F.sum("w").alias("n"))
-    joined = nodes.join(outs, ["step", "i"], "left").join(ins, ["step", "i"], "left").fillna(0.0).join(nation, F.col("i") == F.col("n_nationkey")).where("(step + i) % 6 <> 0")
+    joined = nodes.join(outs, ["step", "i"], "left").join(ins, ["step", "i"], "left").fillna(0.0).join(nation, F.col("i") == F.col("n_nationkey"))
     i, region = F.col("i"), F.col("n_regionkey")
     rows = joined.select(
         (F.col("step") - 1995).alias("sheet_index"), i.alias("row_ord"), F.col("n_name").alias("label"), F.round("o", 4).alias("x"), F.round("n", 4).alias("y"), (region + i / 10).alias("z"), (F.round(F.col("o") / 10, 4) - F.when(i == 7, 5).otherwise(0)).alias("size"),
@@ -46,7 +46,7 @@ def dataset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (60 + i % 12 * 6).alias("note"), i.alias("instrument"), i.alias("channel"), (60 + i).alias("velocity"), (region / 4).alias("cluster_value"), (i % 5).alias("beats"),
     )
     name = lambda key, out: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(out))
-    edges = adjacency.where("w > 0.1").join(name("i", "from"), "i").join(name("j", "to"), "j")
+    edges = adjacency.where("w > 0").join(name("i", "from"), "i").join(name("j", "to"), "j")
     return D.with_defaults(rows), edges.select((F.col("step") - 1995).alias("sheet_index"), (i * 25 + F.col("j")).alias("edge_ord"), "from", "to", F.round("w", 6).alias("strength"))
 
 
@@ -203,10 +203,10 @@ def ego_style(spark, sf_dir):
     return R.ego_style(nodes, R.ego_visible(nodes, edges, EGO), EGO).withColumn("size", F.round("size", 6))
 
 
-@query(f"{LV}, p AS (SELECT label, sqrt(pow(x * 100 - 400, 2) + pow(y * 100 - 400, 2)) AS d FROM lv WHERE sheet_index = 2) SELECT label, round(d, 6) AS distance FROM p WHERE d < 200 ORDER BY d, label LIMIT 1")
+@query(f"{LV}, p AS (SELECT sheet_index, label, sqrt(pow(x * 100 - 400, 2) + pow(y * 100 - 400, 2)) AS d FROM lv) SELECT sheet_index, label, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY sheet_index ORDER BY d, label) AS r FROM p WHERE d < 200) WHERE r = 1")
 def pick_object(spark, sf_dir):
-    projected = dataset(spark, sf_dir)[0].where("sheet_index = 2").select("label", (F.col("x") * 100).alias("px"), (F.col("y") * 100).alias("py"))
-    return R.pick_object(projected, 400.0, 400.0, 200.0).select("label", F.round("distance", 6).alias("distance"))
+    projected = dataset(spark, sf_dir)[0].select("sheet_index", "label", (F.col("x") * 100).alias("px"), (F.col("y") * 100).alias("py"))
+    return R.pick_object(projected, 400.0, 400.0, 200.0).select("sheet_index", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT b AS beats, s AS steps, CASE WHEN least(b, greatest(s // 2, 1)) > 0 THEN greatest(s // least(b, greatest(s // 2, 1)), 1) END AS every FROM range(0, 20) x(b), range(1, 60) y(s)")

@@ -100,41 +100,60 @@ def harmonic(spark, sf_dir):
     return _rounded(N.path_centralities(_paths(spark, sf_dir)).select("step", "i", "harmonic"), "harmonic")
 
 
-@query()
+# with weights as uneven as revenue two nodes have one shortest path, so a node is on it or is not
+BETWEEN = "on_path AS (SELECT x.step, x.s, x.t AS i, count(*) AS c FROM p5 x JOIN p5 y ON y.step = x.step AND y.s = x.t JOIN p5 z ON z.step = x.step AND z.s = x.s AND z.t = y.t WHERE x.s <> x.t AND y.t <> x.t AND x.s <> y.t AND z.d < 'inf'::DOUBLE AND x.d + y.d <= z.d + 1e-12 GROUP BY ALL)"
+
+
+@query(f"{HOPS}, {BETWEEN}, b AS (SELECT step, i, sum(c) AS c FROM on_path GROUP BY ALL) SELECT step, i, round(coalesce(c, 0) / 552.0::DOUBLE, 6) AS betweenness FROM nodes LEFT JOIN b USING (step, i)")
 def betweenness(spark, sf_dir):
     adjacency, nodes = trade(spark, sf_dir)
     return _rounded(N.betweenness(N.directed_edges(adjacency), nodes), "betweenness")
 
 
-@query()
+@query(f"""{HOPS}, {BETWEEN}, drawn AS (SELECT step, i AS s FROM (SELECT step, i, row_number() OVER (PARTITION BY step ORDER BY md5('42|' || i), i) AS r FROM nodes) WHERE r <= 10),
+b AS (SELECT step, i, sum(c) AS c FROM on_path JOIN drawn USING (step, s) GROUP BY ALL) SELECT step, i, round(coalesce(c, 0) * 2.5::DOUBLE / 552, 6) AS betweenness FROM nodes LEFT JOIN b USING (step, i)""")
 def betweenness_approx(spark, sf_dir):
     adjacency, nodes = trade(spark, sf_dir)
     return _rounded(N.betweenness(N.directed_edges(adjacency), nodes, sampled=10), "betweenness")
 
 
-@query()
-def pagerank(spark, sf_dir):
-    return _rounded(N.pagerank(*trade(spark, sf_dir)), "pagerank")
+def _rank_tables(rounds: int) -> str:
+    sql = "sums AS (SELECT step, j, sum(w) AS s FROM cells GROUP BY ALL), r0 AS (SELECT step, i, 1.0::DOUBLE / 25 AS r FROM nodes)"
+    for k in range(1, rounds + 1):
+        sql += f", r{k} AS MATERIALIZED (SELECT c.step, c.i, 0.15::DOUBLE / 25 + 0.85::DOUBLE * sum(CASE WHEN s > 1e-15 THEN w / s ELSE 1.0::DOUBLE / 25 END * r) AS r FROM cells c JOIN sums ON sums.step = c.step AND sums.j = c.j JOIN r{k - 1} p ON p.step = c.step AND p.i = c.j GROUP BY ALL)"
+    return sql
 
 
-def _rank_sql(rounds: int) -> str:
-    sql = f"{TRADE}, sums AS (SELECT step, j, sum(w) AS s FROM cells GROUP BY ALL), r0 AS (SELECT step, i, 1.0::DOUBLE / 25 AS r FROM nodes)"
+def _eigen_tables(rounds: int) -> str:
+    """Power iteration with the largest entry kept at 1."""
+    sql = "e0 AS (SELECT step, i, 1.0::DOUBLE AS e FROM nodes)"
     for k in range(1, rounds + 1):
-        sql += f", r{k} AS MATERIALIZED (SELECT c.step, c.i, 0.15::DOUBLE / 25 + 0.85::DOUBLE * sum(CASE WHEN s > 1e-15 THEN w / s ELSE 1.0::DOUBLE / 25 END * r) AS r FROM cells c JOIN sums ON sums.step = c.step AND sums.j = c.j JOIN r{k - 1} p ON p.step = c.step AND p.i = c.j GROUP BY ALL)"
-    return sql + f" SELECT step, i, round(r, 9) AS pagerank FROM r{rounds}"
+        sql += f", e{k} AS MATERIALIZED (SELECT step, i, v / max(v) OVER (PARTITION BY step) AS e FROM (SELECT c.step, c.i, sum(w * e) AS v FROM cells c JOIN e{k - 1} p ON p.step = c.step AND p.i = c.j GROUP BY ALL))"
+    return sql
+
+
+#: Rounds of an iteration in SQL, where the operator stops on its own.
+ROUNDS = 100
+
+
+@query(f"{TRADE}, {_rank_tables(ROUNDS)} SELECT step, i, round(r, 6) AS pagerank FROM r{ROUNDS}")
+def pagerank(spark, sf_dir):
+    return _rounded(N.pagerank(*trade(spark, sf_dir)), "pagerank")
 
 
-@query(_rank_sql(5))
+@query(f"{TRADE}, {_rank_tables(5)} SELECT step, i, round(r, 9) AS pagerank FROM r5")
 def pagerank_rounds(spark, sf_dir):
     return _rounded(N.pagerank_rounds(*trade(spark, sf_dir), rounds=5), "pagerank", digits=9)
 
 
-@query()
+@query(f"{TRADE}, {_eigen_tables(ROUNDS)} SELECT step, i, round(e, 6) AS eigenvector FROM e{ROUNDS}")
 def eigenvector(spark, sf_dir):
     return _rounded(N.eigenvector(*trade(spark, sf_dir)), "eigenvector")
 
 
-@query()
+@query(f"""{REACH}, {BETWEEN}, {_rank_tables(ROUNDS)}, {_eigen_tables(ROUNDS)}, b AS (SELECT step, i, sum(c) AS c FROM on_path GROUP BY ALL), k AS (SELECT step, i, count(*) AS k FROM adj WHERE i <> j AND w > 0 GROUP BY ALL)
+SELECT step, i, round(coalesce(k, 0) / 24, 6) AS degree, round(coalesce(mean, 'nan'::DOUBLE), 6) AS distance, round(CASE WHEN mean > 1e-15 THEN 1 / mean ELSE 0 END, 6) AS closeness, round(inv / 24, 6) AS harmonic, round(coalesce(c, 0) / 552.0::DOUBLE, 6) AS betweenness, round(e, 6) AS eigenvector, round(r, 6) AS pagerank
+FROM nodes LEFT JOIN k USING (step, i) JOIN m USING (step, i) LEFT JOIN b USING (step, i) JOIN e{ROUNDS} USING (step, i) JOIN r{ROUNDS} USING (step, i)""")
 def centrality_report(spark, sf_dir):
     return _rounded(N.centrality_report(*trade(spark, sf_dir)), "degree", "distance", "closeness", "harmonic", "betweenness", "eigenvector", "pagerank")
 
@@ -193,7 +212,7 @@ def guttman_step(spark, sf_dir):
 
 @query(f"{FULL}, r AS (SELECT step, i, j, d, row_number() OVER (PARTITION BY step, i ORDER BY round(d, 9), j)::INTEGER AS rank FROM dist WHERE i <> j) SELECT step, i, j, round(d, 6) AS d, rank FROM r WHERE rank <= 5")
 def knn_graph(spark, sf_dir):
-    return _rounded(S.nearest(_rounded(distances(spark, sf_dir)[0], "d", digits=9), 5), "d")
+    return _rounded(S.nearest(distances(spark, sf_dir)[0], 5, digits=9), "d")
 
 
 def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

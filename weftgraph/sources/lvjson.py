@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.operators.dataset import EDGES, NODES
+from weftgraph.operators.dataset import EDGES, NODES, canonical_labels, validate_dataset
+from weftgraph.sources.results import read_bounded
+from weftgraph.sources.xlsx import read_xlsx
+
+MAX_JSON_BYTES = 64 * 1024 * 1024
 
 ROW = T.StructType([f for f in NODES if f.name not in ("sheet_index", "row_ord")])
 EDGE = T.StructType([f for f in EDGES if f.name not in ("sheet_index", "edge_ord")])
@@ -35,8 +39,21 @@ def from_json(document: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return nodes, edges, sheets.select("sheet_index", "s.name")
 
 
-def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return from_json(spark.read.text(path, wholetext=True))
+def read_json(spark: SparkSession, path: str, max_bytes: int = MAX_JSON_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and sheets of a file of at most `max_bytes`; rows that break a rule fail. Labels are not read but made anew by `canonical_labels`."""
+    nodes, edges, sheets = from_json(read_bounded(spark, path, max_bytes))
+    broken = validate_dataset(nodes, edges, canonical_labels(nodes)).limit(5).collect()
+    if broken:
+        raise ValueError("; ".join(f"sheet {x.sheet_index}, row {x.row}: {x.message}" for x in broken))
+    return nodes, edges, sheets
+
+
+def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a .json file, or of a workbook by any other name."""
+    if path.lower().endswith(".json"):
+        return read_json(spark, path)[:2]
+    nodes, edges = read_xlsx(spark, path)
+    return nodes.drop("path"), edges.drop("path")
 
 
 def headless_json(coords: DataFrame, names: DataFrame) -> DataFrame:
