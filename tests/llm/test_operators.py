@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftgraph.llm import binarycodes, common, kneserney, licenses, linededup, mixing, packing, probminhash, quality, queries, sharding, substrings
+from weftgraph.llm import binarycodes, common, kneserney, licenses, linededup, mixing, packing, probminhash, quality, queries, sharding, substrings, wordhash
 
 DOCS = "doc_id long, text string, source string"
 LONG = " ".join(f"w{k % 911}" for k in range(30_000))
@@ -430,7 +430,7 @@ def test_model_of_nothing(spark):
 
 def test_word_hashes_are_those_of_the_words(monkeypatch):
     texts = ["", "Ab c\td", " x\n\x0b y ", "é É", "a" * 300, LONG[:5000], "\n", "ab C"]
-    monkeypatch.setattr(kneserney, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(wordhash, "BLOCK_BYTES", 64)
     blocked = kneserney.texts_hashes([t.encode() for t in texts])
     monkeypatch.undo()
     whole = kneserney.texts_hashes([t.encode() for t in texts])

@@ -27,16 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import new_path, stage, without
-from weftgraph.llm.memory import remembered
-from weftgraph.llm.probminhash import GOLDEN, U64, mix
-from weftgraph.llm.substrings import Powers
+from weftgraph.llm.wordhash import BLOCK_BYTES, GOLDEN, U64, first_bytes, mix, word_hashes
 
 #: Words of an n-gram unless another order is asked for.
 ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
 SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 2_000_000, 1_000_000, 1_000_000
-#: Tokens that are looked up and sent together, bytes of text whose words are hashed together, distinct words that a task holds.
-CHUNK, BLOCK_BYTES, HELD_WORDS = 1_000_000, 1 << 21, 1_000_000
+#: Tokens that are looked up and sent together, and distinct words that a task holds.
+CHUNK, HELD_WORDS = 1_000_000, 1_000_000
 #: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
 FAN_IN, MAPPED, FETCHED = 16, 96, 32
 #: Stands for the end of a text among the hashes of words.
@@ -307,54 +305,19 @@ def to_shards(model: Model, grams: np.ndarray, counts: np.ndarray) -> Iterator[t
         yield k, pack(grams[rows].ravel(order="F")), pack(counts[rows])
 
 
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: A number for each byte, of which a word's hash is made.
-BYTES = mix(np.arange(1, 257, dtype=U64) * GOLDEN)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words between ASCII white space, A-Z taken in lower case."""
-    out, begin = [], 0
-    powers = remembered("powers", Powers)
-    while begin < len(text):
-        end = begin + BLOCK_BYTES
-        if end < len(text):  # to the next white space: a block ends with a word
-            ahead = text[end : end + BLOCK_BYTES]
-            gaps = np.flatnonzero(SPACE[np.frombuffer(ahead, np.uint8)])
-            while not len(gaps) and end < len(text):
-                end += len(ahead)
-                ahead = text[end : end + BLOCK_BYTES]
-                gaps = np.flatnonzero(SPACE[np.frombuffer(ahead, np.uint8)])
-            end += int(gaps[0]) if len(gaps) else 0
-        data = np.frombuffer(text[begin:end].lower(), np.uint8)
-        gap = np.concatenate([[True], SPACE[data], [True]])
-        starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-        up, down = powers(len(data) + 1)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum(BYTES[data] * up[:-1])])
-        out.append(mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64)))
-        begin = end
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
 def texts_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, an end after each text, and each text's number of tokens."""
     joined = b"\n".join(texts)
-    words = word_hashes(joined)
+    words = word_hashes(joined, lower=True)
     if len(texts) == 1:
         sizes = np.array([len(words)])
     else:
-        places = np.flatnonzero(_first_bytes(joined))
+        places = np.flatnonzero(first_bytes(joined))
         borders = np.cumsum([len(x) + 1 for x in texts])
         sizes = np.diff(np.searchsorted(places, borders), prepend=0)
     return np.insert(words, np.cumsum(sizes), U64(END)), sizes + 1
 
 
-def _first_bytes(text: bytes) -> np.ndarray:
-    """Where words begin."""
-    gap = SPACE[np.frombuffer(text, np.uint8)]
-    return ~gap & np.concatenate([[True], gap[:-1]])
-
-
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == fold, F.lit(False))
 

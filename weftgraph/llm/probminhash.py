@@ -21,48 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bound_batches, components, join_counted, stage, text_key
-from weftgraph.llm.memory import remembered
+from weftgraph.llm.wordhash import GOLDEN, U64, mix, word_hashes
 
 BANDS, ROWS = 24, 6
 #: Documents of a tile, and their shingles.
 TILE, TILE_SHINGLES = 512, 1_000_000
-U64 = np.uint64
-GOLDEN = U64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
-
-
-class Words:
-    """64-bit hashes of words, remembered."""
-
-    MOST = 500_000
-
-    def __init__(self) -> None:
-        from xxhash import xxh3_64_intdigest
-
-        class Memory(dict):
-            def __missing__(self, word: bytes) -> int:
-                made = self[word] = xxh3_64_intdigest(word)
-                return made
-
-        self.memory = Memory()
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memory) > self.MOST:
-            self.memory.clear()
-        return np.fromiter(map(self.memory.__getitem__, words), U64, len(words))
-
-
-def worker_words() -> Words:
-    """The memory of a worker, which lasts from one task to the next."""
-    return remembered("words", Words)
-
-
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of all runs of `width` words; of the whole where there are fewer words, none without words."""
     width = min(width, len(words))
@@ -110,11 +73,10 @@ def add_bands(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     source = docs.select("_id", *text_key(F.col("_text")), F.encode("_text", "UTF-8").alias("_utf8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = worker_words()
         for batch in batches:
             sizes, keys = [], []
             for text in batch.column(3):
-                ids = np.unique(shingles(hashed(text.as_py().split()), width))
+                ids = np.unique(shingles(word_hashes(text.as_py()), width))
                 sizes.append(len(ids))
                 found = signature(ids, np.ones(len(ids)), bands * rows) if len(ids) else None
                 keys.append([] if found is None else band_keys(found, bands))
@@ -126,13 +88,13 @@ def add_bands(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
 def _compare(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, last, own = worker_words(), None, np.zeros(0, U64)
+        last, own = None, np.zeros(0, U64)
         for batch in batches:
             out = []
             for rep, a, b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
                 if rep != last:
-                    last, own = rep, np.unique(shingles(hashed(a.as_py().split()), width))
-                other = np.unique(shingles(hashed(b.as_py().split()), width))
+                    last, own = rep, np.unique(shingles(word_hashes(a.as_py()), width))
+                other = np.unique(shingles(word_hashes(b.as_py()), width))
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 out.append(both / max(1, len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
@@ -151,9 +113,8 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """(c, _set) of (c, _utf8): the distinct shingles in order, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = worker_words()
         for batch in batches:
-            sets = [np.unique(shingles(hashed(x.as_py().split()), width)).tobytes() for x in batch.column(1)]
+            sets = [np.unique(shingles(word_hashes(x.as_py()), width)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["c", "_set"])
 
     return texts.select("c", "_utf8").mapInArrow(run, "c long, _set binary")
@@ -216,12 +177,12 @@ def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int, width: in
 
     # bands whose members are in several groups by now: compare across the groups what the stars did not
     named = lambda c, g: labels.select(F.col("id").alias(c), F.col("component").alias(g))
-    grouped = banded.join(named("c", "g"), "c", "left").withColumn("g", F.coalesce("g", "c"))
-    mixed = grouped.groupBy("k").agg((F.min("g") != F.max("g")).alias("_mixed")).where("_mixed").select("k")
-    open_ = stage(grouped.join(mixed, "k", "left_semi").select("k", "band", "c", "n", "g", "lead"), "near-open")
-    sizes = open_.groupBy("k").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    grouped = stage(banded.join(named("c", "g"), "c", "left").select("k", "band", "c", "n", "lead", F.coalesce("g", "c").alias("g")), "near-grouped")
+    tiles = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int")
+    mixed = grouped.groupBy("k").agg((F.min("g") != F.max("g")).alias("_mixed"), F.count(F.lit(1)).alias("_m"), tiles.alias("tiles")).where("_mixed").drop("_mixed")
+    open_ = stage(join_counted(grouped, mixed, ["k"], "_m", "near-mixed"), "near-open")
     sets = shingle_sets(texts.join(open_.select("c").distinct(), "c", "left_semi"), width)
-    placed = open_.join(sizes, "k").join(classes.select("c", "_bands"), "c").join(sets, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
+    placed = open_.join(classes.select("c", "_bands"), "c").join(sets, "c").withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("t0"), F.greatest(t, F.col("tile")).alias("t1"), (t < F.col("tile")).cast("int").alias("side")))
     tiled = placed.select("k", "band", "c", "g", "lead", "_bands", "_set", F.explode(meets).alias("p")).select("*", "p.*").drop("p")
     more = stage(tiled.groupBy("k", "t0", "t1").applyInPandas(_crossing(threshold), "a long, b long").distinct(), "near-more")

@@ -20,31 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import join_counted, stage, text_key
-from weftgraph.llm.probminhash import U64, mix, worker_words
+from weftgraph.llm.wordhash import BASE, U64, Powers, mix, word_hashes
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-BASE = U64(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-
-
-class Powers:
-    """Powers of the hash base and of its inverse, as many as the longest text so far needed."""
-
-    def __init__(self) -> None:
-        self.up, self.down = np.ones(1, U64), np.ones(1, U64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = U64(len(self.up))
-            self.up = np.concatenate([self.up, self.up * _power(BASE, int(k))])
-            self.down = np.concatenate([self.down, self.down * _power(BASE_INVERSE, int(k))])
-        return self.up[:n], self.down[:n]
-
-
-def _power(base: np.uint64, k: int) -> np.uint64:
-    return U64(pow(int(base), k, 1 << 64))
-
-
 def window_hashes(words: np.ndarray, length: int, powers: Powers) -> np.ndarray:
     """A hash for the window of `length` words from each word that has one."""
     if len(words) < length:
@@ -78,14 +56,14 @@ def _join(words: list[bytes]) -> str:
 
 def _scan(length: int) -> Mapper:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, powers = worker_words(), Powers()
+        powers = Powers()
         for batch in batches:
             counts, digests, names = [], [], []
             for text in batch.column(3):
                 words = text.as_py().split()
                 counts.append(len(words))
                 digests.append(_join(words))
-                names.append(np.unique(window_names(hashed(words), length, powers)).view(np.int64) if len(words) >= length else [])
+                names.append(np.unique(window_names(word_hashes(text.as_py()), length, powers)).view(np.int64) if len(words) >= length else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(digests), pa.array(names, pa.list_(pa.int64()))], names=["_id", "_h1", "_h2", "n_words", "_digest", "_names"])
 
     return run
@@ -95,10 +73,10 @@ def _extend(length: int) -> Mapper:
     """Rows (_h1, _id, pos, w1, w2) for the windows that name a half which repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, powers = worker_words(), Powers()
+        powers = Powers()
         for batch in batches:
             for k, (names, text) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                words = hashed(text.as_py().split())
+                words = word_hashes(text.as_py())
                 repeated = np.sort(names.values.to_numpy().view(U64))
                 own = window_names(words, length, powers)
                 at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
