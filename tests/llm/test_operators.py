@@ -63,6 +63,56 @@ def test_empty_table(spark, odd, name):
     assert OPERATORS[name](spark, odd[1]).count() == 0
 
 
+@pytest.fixture(scope="module")
+def plain(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+def test_odd_rows_shards(plain):
+    found = sharding.shard_documents(plain, 4).collect()
+    of = {}
+    assert all(of.setdefault(r.text or "", r.shard) == r.shard for r in found)
+    assert {r["size"] for r in found if not r.text} == {1}
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found))) for s in range(4))
+
+
+def test_odd_rows_near(plain):
+    found = Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(plain).collect())
+    assert found == {(1, 1): 2, (2, 2): 1, (3, 2): 1, (4, 4): 1, (5, 5): 1, (6, 5): 1, (None, None): 1, (7, 1): 1}
+    kept = probminhash.keep_one(plain).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 4, 5, None]
+
+
+def test_odd_rows_lines(plain):
+    found = [(r.doc_id, r.text) for r in linededup.dedup_lines(plain).collect()]
+    assert sorted(found, key=str) == sorted([(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, " \n\t "), (5, LONG), (None, "x y z")], key=str)
+
+
+def test_odd_rows_substrings(plain):
+    found = {r.doc_id: r for r in substrings.dedup_substrings(plain).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert [(found[k].n_words, found[k].n_removed) for k in (1, 2, 3, 4, 5, 6, None, 7)] == [(3, 0), (0, 0), (0, 0), (0, 0), (30_000, 0), (30_000, 30_000), (3, 0), (3, 0)]
+    assert all(found[k].kept_sha256 == nothing for k in (2, 3, 4, 6)) and found[None].kept_sha256 == hashlib.sha256(b"x y z").hexdigest()
+
+
+def test_odd_rows_quality_and_licences(spark, plain):
+    judged = {r.doc_id: r for r in quality.judge_quality(plain, labels_of(spark)).collect()}
+    assert all(judged[k].base_failed and not judged[k].kept for k in (1, 2, 3, 4, 7, None))
+    assert (judged[2].n_words, judged[5].n_words, judged[5].n_repeat_words, judged[5].kept) == (0, 30_000, 30_000, False)
+    scanned = {r.doc_id: r for r in licenses.scan_licenses(plain).collect()}
+    assert [(scanned[k].n_words, scanned[k].labels, scanned[k].score, scanned[k].first_word) for k in (2, 3, 7)] == [(0, "", 0.0, None)] * 2 + [(3, "", 0.0, None)]
+
+
+def test_odd_rows_scores_mixing_packing(plain):
+    scores = [r for r in kneserney.score_documents(plain).collect()]
+    assert Counter((r.doc_id, r.n_tokens) for r in scores) == {(1, 4): 2, (2, 1): 1, (3, 1): 1, (4, 1): 1, (5, 30_001): 1, (6, 30_001): 1, (None, 4): 1, (7, 4): 1}
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in scores) and len({r.score for r in scores if r.doc_id == 1}) == 1
+    copies = Counter((r.doc_id, r.text) for r in mixing.mix_sources(plain).collect())
+    assert copies[1, "a b c"] % 2 == 0  # repeated rows draw alike
+    pieces = packing.pack_documents(plain, queries.TOKENIZER).collect()
+    assert all(sum(r.length for r in pieces if r.doc_id == k) == 1 for k in (2, 3)) and sum(r.doc_id == 1 for r in pieces) == 2
+
+
 # -- 1 sharding -----------------------------------------------------------------------------------
 
 @settings(max_examples=60, deadline=None)

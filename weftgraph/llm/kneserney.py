@@ -32,11 +32,11 @@ from weftgraph.llm.wordhash import BLOCK_BYTES, GOLDEN, U64, first_bytes, mix, w
 #: Words of an n-gram unless another order is asked for.
 ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
-SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 2_000_000, 1_000_000, 1_000_000
+SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 1_500_000, 1_000_000, 1_000_000
 #: Tokens that are looked up and sent together, and distinct words that a task holds.
-CHUNK, HELD_WORDS = 1_000_000, 1_000_000
+CHUNK, HELD_WORDS = 800_000, 1_000_000
 #: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
-FAN_IN, MAPPED, FETCHED = 16, 96, 32
+FAN_IN, MAPPED, FETCHED = 16, 64, 32
 #: Stands for the end of a text among the hashes of words.
 END = 0x656E64206F66
 
@@ -71,7 +71,7 @@ class Store:
             with files.open_input_stream(f"{root}/{name}") as source:
                 return np.frombuffer(source.read(), np.uint8)
         path = f"{self.local}/{name}"
-        return np.memmap(path, dtype=np.uint8, mode="r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+        return np.memmap(path, dtype=np.uint8, mode="r").view(np.ndarray) if os.path.getsize(path) else np.zeros(0, np.uint8)
 
 
 def narrow(values: np.ndarray) -> np.ndarray:
@@ -233,13 +233,16 @@ class Lookup:
             out[known[rows]] = self.small(f"follows-{block}", ids[known[rows]] - block * BLOCK_IDS)
         return out
 
-    def counts(self, n: int, context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Counts of distinct n-grams from their contexts' keys and their last words."""
+    def counts(self, n: int, context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Counts of distinct n-grams from their contexts' keys and their last words. places: where the contexts stand, as `sums` has it."""
         out = np.zeros(len(last), np.int64)
         for k, rows in _by(shard_of(context_keys, last, parts, self.model.shards), context_keys):
             contexts = self.array(f"{n}-contexts-{k}", np.uint64)
-            at, there = find(contexts, context_keys[rows])
-            at, rows = at[there], rows[there]
+            at, several = places[rows], np.flatnonzero(parts[rows] > 1)
+            if len(several):
+                found, there = find(contexts, context_keys[rows[several]])
+                at[several] = np.where(there, found, -1)
+            at, rows = at[at >= 0], rows[at >= 0]
             if not len(rows):
                 continue
             starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
@@ -258,9 +261,9 @@ class Lookup:
             out[rows[hit]] = self.small(f"{n}-counts-{k}", low[hit])
         return out
 
-    def sums(self, n: int, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        """Of distinct contexts of n-grams: sum of counts, and how many n-grams have the count 1, 2, more; in rows."""
-        out = np.zeros((4, len(keys)))
+    def sums(self, n: int, keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of distinct contexts of n-grams: sum of counts, and how many n-grams have the count 1, 2, more, in rows; and each one's place in its first shard, -1 for none."""
+        out, places = np.zeros((4, len(keys))), np.full(len(keys), -1, np.int64)
         for part in range(int(parts.max(initial=0))):
             left = np.flatnonzero(parts > part)
             where = (mix(keys[left] + U64(1)) + U64(part)) % U64(self.model.shards)
@@ -269,10 +272,12 @@ class Lookup:
                 at, there = find(contexts, keys[left[rows]])
                 if there.any():
                     at, to = at[there], left[rows[there]]
+                    if part == 0:
+                        places[to] = at
                     starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
                     total, ones, twos = (self.small(f"{n}-{name}-{k}", at) for name in ("total", "ones", "twos"))
                     out[:, to] += [total, ones, twos, starts[at + 1].astype(np.int64) - starts[at].astype(np.int64) - ones - twos]
-        return out
+        return out, places
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -594,11 +599,11 @@ def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarra
         own, lower, cut = grams[n - 1], grams[n - 2], np.array(model.discounts[n])
         before = np.concatenate([keys, begin])  # of all contexts, the beginning last
         parts = parts_of(np.vstack([lower.ids, np.full((1, n - 1), model.begin)]), model)
-        sums = lookup.sums(n, before, parts)
+        sums, places = lookup.sums(n, before, parts)
         total = np.maximum(sums[0], 1)
         passed = np.where(sums[0] > 0, (cut[1] * sums[1] + cut[2] * sums[2] + cut[3] * sums[3]) / total, 1.0)
         keys = fold(before[own.context], own.ids[:, -1])
-        counts = lookup.counts(n, before[own.context], own.ids[:, -1], parts[own.context])
+        counts = lookup.counts(n, before[own.context], own.ids[:, -1], parts[own.context], places[own.context])
         found = (counts - cut[np.minimum(counts, 3)]) / total[own.context] + passed[own.context] * found[own.suffix]
         begin = fold(begin, np.array([model.begin]))
     return found
