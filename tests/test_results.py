@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import api
 from weftgraph.functions.text import stop_words
 from weftgraph.operators import alignment as A
 from weftgraph.operators import dataset as D
@@ -170,3 +171,35 @@ def test_affinities_have_the_entropy_asked_for():
     assert np.allclose(p, p.T) and abs(p.sum() - 1) < 0.01
     w = E.fuzzy_graph(dist, 10)
     assert np.allclose(w, w.T) and ((w >= 0) & (w <= 1 + 1e-9)).all() and ((w > 0).sum(axis=1) >= 10).all()
+
+
+def test_series_of_files_with_one_vocabulary(spark, tmp_path):
+    for name, content in (("a.txt", "red green red blue green red"), ("b.txt", "red yellow red green"), ("c.txt", "x1")):
+        (tmp_path / name).write_text(content)
+    options = {"min_count": 1, "window": 2, "shared_vocabulary": True, "min_slice_tokens": 2}
+    found = api.run_files(spark, [f"file://{tmp_path}"], **options)
+    by = {}
+    for r in found.vocabulary.collect():
+        by.setdefault(r.slice_id, {})[r.token] = r.idx
+    assert by == {k: {"blue": 0, "green": 1, "red": 2, "yellow": 3} for k in "ab"}
+    assert {r.slice_id for r in found.counts.collect()} == {"a", "b"} and found.centrality.count() == 8
+    counted = api.run_files(spark, [f"file://{tmp_path}"], similarity="count", **options)
+    assert max(r.w for r in counted.edges.collect()) == 1.0
+    assert api.run_files(spark, [f"file://{tmp_path}"], one_slice=True, min_count=1).vocabulary.count() == 5
+
+
+def test_text_at_hand(spark):
+    text = "one two three four five six " * 8
+    low = api.run_text(spark, text, similarity="low_rank", min_count=1)
+    assert all(0 < r.w <= 1 for r in low.edges.collect())
+    batches = api.run_text(spark, text, min_count=1, batch_tokens=12)
+    assert {r.slice_id for r in batches.vocabulary.collect()} == {f"batch-{k}" for k in range(4)}
+
+
+def test_low_rank_falls_back(monkeypatch):
+    def fails(*_, **__):
+        raise np.linalg.LinAlgError
+
+    assert (np.diag(E.svd_similarity(np.eye(3))) == 1).all()
+    monkeypatch.setattr(np.linalg, "svd", fails)
+    assert (E.svd_similarity(np.array([[0.0, 2.0], [1.0, 0.0]])) == [[0, 1], [0.5, 0]]).all()

@@ -17,9 +17,9 @@ from weftgraph.functions.text import tokens
 BLOCK_DOCS, BLOCK_TOKENS = 4096, 8192
 
 
-def document_tokens(docs: DataFrame, slice_id: Column, order: str = "doc_id", text: str = "text", language: str | None = None) -> DataFrame:
-    """(slice_id, doc, words): the kept tokens of each document as an array."""
-    return docs.select(slice_id.alias("slice_id"), F.col(order).alias("doc"), tokens(F.col(text), language).alias("words"))
+def document_tokens(docs: DataFrame, slice_id: Column, order: str = "doc_id", text: str = "text", language: str | None = None, compose: bool = False) -> DataFrame:
+    """(slice_id, doc, words): the kept tokens of each document as an array; compose: of the text in canonical composition."""
+    return docs.select(slice_id.alias("slice_id"), F.col(order).alias("doc"), tokens(F.col(text), language, compose).alias("words"))
 
 
 def running_start(df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = BLOCK_DOCS) -> DataFrame:

@@ -277,14 +277,37 @@ def project_points(points: DataFrame, own: np.ndarray, mean: np.ndarray) -> Data
     return points.withColumn("coord", F.array(*map(dot, weights)))
 
 
+def svd_rank(n: int) -> int:
+    """Dimensions kept of n: a fifth, at least 10 and at most 100, and fewer than n."""
+    return n if n <= 1 else 1 if n == 2 else min(max(n // 5, 10), 100, n - 1)
+
+
 def svd_similarity(ppmi: np.ndarray, rank: int | None = None) -> np.ndarray:
-    """Cosines of the rows of the leading singular vectors, scaled by the roots of their values."""
-    n = len(ppmi)
-    rank = rank or (n if n <= 1 else 1 if n == 2 else min(max(n // 5, 10), 100, n - 1))
-    u, s, _ = np.linalg.svd(ppmi, full_matrices=False)
+    """Cosines of the rows of the leading singular vectors, scaled by the roots of their values; where there are none, the matrix over its largest value."""
+    rank = rank or svd_rank(len(ppmi))
+    try:
+        u, s, _ = np.linalg.svd(ppmi, full_matrices=False)
+    except np.linalg.LinAlgError:
+        most = ppmi.max(initial=0.0)
+        return np.clip(ppmi / most, 0, 1) if most >= 1e-15 else np.zeros_like(ppmi)
     e = u[:, :rank] * np.sqrt(s[:rank])
     norm = np.sqrt((e * e).sum(axis=1))
     both = np.outer(norm, norm)
     out = np.clip(np.where(both > 1e-15, (e @ e.T) / np.where(both > 1e-15, both, 1.0), 0.0), 0, 1)
     np.fill_diagonal(out, 1.0)
     return out
+
+
+def low_rank_similarity(scored: DataFrame) -> DataFrame:
+    """(slice_id, a, b, similarity) of (slice_id, a, b, ppmi), similar pairs in both directions; a slice's dense matrix to a task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = np.unique(np.concatenate([part["a"], part["b"]]).astype(str))
+        m = np.zeros((len(names), len(names)))
+        m[np.searchsorted(names, part["a"].astype(str)), np.searchsorted(names, part["b"].astype(str))] = part["ppmi"]
+        s = svd_similarity(m)
+        np.fill_diagonal(s, 0.0)
+        i, j = np.nonzero(s > 0)
+        return pd.DataFrame({"slice_id": part["slice_id"].iloc[0], "a": names[i], "b": names[j], "similarity": s[i, j]})
+
+    return scored.groupBy("slice_id").applyInPandas(run, "slice_id string, a string, b string, similarity double")

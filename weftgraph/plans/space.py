@@ -127,17 +127,8 @@ def landmark_project(spark, sf_dir):
 @query()
 def ppmi_svd(spark, sf_dir):
     """Low-rank cosine of each language's vocabulary, a language to a task."""
-    scored = corpus.scored(spark, sf_dir).select("slice_id", "a", "b", "ppmi")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.concatenate([part["a"], part["b"]]).astype(str))
-        m = np.zeros((len(names), len(names)))
-        m[np.searchsorted(names, part["a"].astype(str)), np.searchsorted(names, part["b"].astype(str))] = part["ppmi"]
-        s = E.svd_similarity(m)
-        i, j = np.nonzero(np.triu(s, 1) > 0)
-        return pd.DataFrame({"slice_id": part["slice_id"].iloc[0], "a": names[i], "b": names[j], "similarity": np.round(s[i, j], 6)})
-
-    return scored.groupBy("slice_id").applyInPandas(run, "slice_id string, a string, b string, similarity double")
+    found = E.low_rank_similarity(corpus.scored(spark, sf_dir).select("slice_id", "a", "b", "ppmi"))
+    return found.where("a < b").withColumn("similarity", F.round("similarity", 6))
 
 
 def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
