@@ -149,3 +149,16 @@ def test_text_network_has_exact_betweenness(spark):
     exact = {r.i: r.betweenness for r in N.betweenness(N.both_ways(cells), nodes).collect()}
     assert len(number) > N.EXACT_BETWEENNESS_NODES
     assert {number[r.token]: r.betweenness for r in found.centrality.collect()} == pytest.approx(exact)
+
+
+def test_large_graphs_iterate_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(step, i, j, float(rng.random())) for step in (1, 2) for i in range(12) for j in range(12) if i != j and rng.random() < 0.4]
+    adjacency = spark.createDataFrame(rows, "step int, i int, j int, w double")
+    nodes = spark.createDataFrame([(step, i) for step in (1, 2) for i in range(13)], "step int, i int")
+    small = [{(r.step, r.i): r[2] for r in f(adjacency, nodes).collect()} for f in (N.pagerank, N.eigenvector)]
+    monkeypatch.setattr(N, "DENSE_NODES", 5)
+    monkeypatch.setattr(N, "TOLERANCE", 1e-3)
+    for f, expected in zip((N.pagerank, lambda a, n: N.eigenvector_rounds(a, n, tolerance=1e-3)), small, strict=True):
+        found = {(r.step, r.i): r[2] for r in f(adjacency, nodes).collect()}
+        assert found == pytest.approx(expected, abs=5e-3)

@@ -20,6 +20,8 @@ from weftgraph.functions.tables import cut_lineage
 SOURCES_A_TASK = 64
 EXACT_BETWEENNESS_NODES, SAMPLED_SOURCES = 1000, 100
 TIE = 1e-12
+#: Rounds and tolerance of iterations, and nodes of a step up to which its matrix goes to one task.
+ROUNDS, TOLERANCE, DENSE_NODES = 100, 1e-10, 4000
 
 
 def undirected_edges(adjacency: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def per_step(adjacency: DataFrame, nodes: DataFrame, kernel: Callable[[np.ndarra
     return rows.repartition("step").groupBy("step").applyInPandas(run, f"step {kinds['step']}, i {kinds['i']}, {columns}")
 
 
-def pagerank_kernel(matrix: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:
+def pagerank_kernel(matrix: np.ndarray, damping: float = 0.85, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Rank flows from j to i along matrix[i, j], each column shared out by its sum; columns without a sum give to all alike."""
     n = len(matrix)
     if n <= 1:
@@ -193,7 +195,7 @@ def pagerank_kernel(matrix: np.ndarray, damping: float = 0.85, rounds: int = 100
     return rank
 
 
-def eigenvector_kernel(matrix: np.ndarray, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:
+def eigenvector_kernel(matrix: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Leading eigenvector by power iteration from an even start, its largest entry 1."""
     n = len(matrix)
     if n <= 1:
@@ -211,31 +213,70 @@ def eigenvector_kernel(matrix: np.ndarray, rounds: int = 100, tolerance: float =
     return x / x.max() if x.max() > 1e-15 else x
 
 
+def _largest(nodes: DataFrame) -> int:
+    return nodes.groupBy("step").count().agg(F.max("count")).first()[0] or 0
+
+
 def pagerank(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Converged ranks: of matrices where they fit a task, else the same iteration by joins."""
+    if _largest(nodes) > DENSE_NODES:
+        return pagerank_rounds(adjacency, nodes, ROUNDS, tolerance=TOLERANCE)
     return per_step(adjacency, nodes, lambda m: {"pagerank": pagerank_kernel(m)}, "pagerank double")
 
 
 def eigenvector(adjacency: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Leading eigenvectors: of matrices where they fit a task, else the same iteration by joins."""
+    if _largest(nodes) > DENSE_NODES:
+        return eigenvector_rounds(adjacency, nodes)
     return per_step(adjacency, nodes, lambda m: {"eigenvector": eigenvector_kernel(m)}, "eigenvector double")
 
 
-def pagerank_rounds(adjacency: DataFrame, nodes: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """`rounds` steps of the same iteration as joins and sums, for graphs too large for a task. Each round reads the one before from a checkpoint."""
+def _settled(values: DataFrame, tolerance: float | None) -> bool:
+    """Whether in every step the sum of changes from `before` to `r` is under the tolerance."""
+    if tolerance is None:
+        return False
+    moved = values.groupBy("step").agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("m")).agg(F.max("m")).first()[0]
+    return moved is None or moved < tolerance
+
+
+def pagerank_rounds(adjacency: DataFrame, nodes: DataFrame, rounds: int, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+    """`rounds` steps of the same iteration as joins and sums, for graphs too large for a task, or fewer once it has settled. Each round is a table that the next one reads."""
     sizes = nodes.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
-    base = nodes.join(F.broadcast(sizes), "step")
-    adjacency, base = cut_lineage(adjacency), cut_lineage(base)
+    base = cut_lineage(nodes.join(sizes, "step"))
+    adjacency = cut_lineage(adjacency)
     sums = adjacency.groupBy("step", "j").agg(F.sum("w").alias("out")).where(F.col("out") > 1e-15)
-    shares = adjacency.join(sums, ["step", "j"]).select("step", "i", "j", (F.col("w") / F.col("out")).alias("share"))
+    shares = cut_lineage(adjacency.join(sums, ["step", "j"]).select("step", "i", "j", (F.col("w") / F.col("out")).alias("share")))
     rank = base.select("step", "i", "n", (1.0 / F.col("n")).alias("r"))
     giving = sums.select("step", F.col("j").alias("i"), F.lit(1).alias("gives"))
     for _ in range(rounds):
         lost = rank.join(giving, ["step", "i"], "left").groupBy("step").agg(F.coalesce(F.sum(F.when(F.col("gives").isNull(), F.col("r"))), F.lit(0.0)).alias("lost"))
         flow = shares.join(rank.select("step", F.col("i").alias("j"), "r"), ["step", "j"]).groupBy("step", "i").agg(F.sum(F.col("share") * F.col("r")).alias("in"))
-        rank = base.join(flow, ["step", "i"], "left").join(F.broadcast(lost), "step").select("step", "i", "n", ((1 - damping) / F.col("n") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / F.col("n"))).alias("r"))
-        rank = cut_lineage(rank)
+        after = (1 - damping) / F.col("n") + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / F.col("n"))
+        old = rank.select("step", "i", F.col("r").alias("before"))
+        rank = cut_lineage(base.join(flow, ["step", "i"], "left").join(lost, "step").join(old, ["step", "i"]).select("step", "i", "n", after.alias("r"), "before"))
+        if _settled(rank, tolerance):
+            break
     return rank.select("step", "i", F.col("r").alias("pagerank"))
 
 
+def eigenvector_rounds(adjacency: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Power iteration as joins and sums; the largest entry of each step becomes 1."""
+    adjacency = cut_lineage(adjacency.select("step", "i", "j", "w"))
+    sizes = nodes.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    x = cut_lineage(nodes.join(sizes, "step").select("step", "i", (1 / F.sqrt("n")).alias("r")))
+    for _ in range(rounds):
+        grown = adjacency.join(x.select("step", F.col("i").alias("j"), "r"), ["step", "j"]).groupBy("step", "i").agg(F.sum(F.col("w") * F.col("r")).alias("y"))
+        every = cut_lineage(x.join(grown, ["step", "i"], "left").select("step", "i", F.col("r").alias("before"), F.coalesce("y", F.lit(0.0)).alias("y")))
+        norms = every.groupBy("step").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        held = F.when(F.col("norm") >= 1e-15, F.col("y") / F.when(F.col("norm") >= 1e-15, F.col("norm"))).otherwise(0.0)
+        x = cut_lineage(every.join(norms, "step").select("step", "i", "before", held.alias("r")))
+        if _settled(x, tolerance):
+            break
+    most = x.groupBy("step").agg(F.max("r").alias("most"))
+    scaled = F.when(F.col("most") > 1e-15, F.col("r") / F.when(F.col("most") > 1e-15, F.col("most"))).otherwise(F.col("r"))
+    return x.join(most, "step").select("step", "i", scaled.alias("eigenvector"))
+
+
 def centrality_report(adjacency: DataFrame, nodes: DataFrame, directed: bool = True, exact: bool = False) -> DataFrame:
     """All seven centralities, a row for each node. Betweenness is sampled in steps of more than EXACT_BETWEENNESS_NODES nodes unless it is to be `exact`."""
     edges = directed_edges(adjacency) if directed else both_ways(undirected_edges(adjacency))
