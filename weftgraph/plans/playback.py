@@ -116,14 +116,41 @@ def sorted_labels(spark, sf_dir):
     return D.sorted_labels(dataset(spark, sf_dir)[0])
 
 
-@query()
+def _demo_sql() -> tuple[str, str]:
+    """Nodes and edges of the built-in dataset from its fixed values; the hash works in whole numbers of 128 bits."""
+    split = lambda text, k: [x.strip().rsplit(" ", k) for x in text.replace("\n", " ").split(";")]
+    countries = ", ".join(f"({k}, '{x[0]}', {', '.join(x[1:])})" for k, x in enumerate(split(demo.COUNTRIES, 6)))
+    drifts = ", ".join(f"('{x[0]}', {', '.join(x[1:])})" for x in split(demo.DRIFT, 3))
+    pairs = ", ".join("({}, '{}', '{}', {}, {})".format(k, *x.strip().split(",")) for k, x in enumerate(demo.TRADE.replace("\n", " ").split(";")))
+    wrap = "18446744073709551616::HUGEINT"
+    held = f"list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(label, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (a * 31 + b) % {wrap})"
+    at = lambda c: f"{c} + coalesce(d{c}, 0) * year + {demo.NOISE} * (((h * {demo.NOISE_FACTORS[c][0]} + year * {demo.NOISE_FACTORS[c][1]}) % {wrap})::DOUBLE / 18446744073709551615::DOUBLE - 0.5) * 2 AS {c}"
+    pick = lambda values, column: "([" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in values) + f"])[{column} + 1]"
+    color = lambda k, name: f"{pick([x[k] for x in demo.REGION_COLORS], 'region')}::FLOAT AS {name}"
+    nodes = f"""WITH c(row_ord, label, region, tier, x, y, z, spin) AS (VALUES {countries}), d(label, dx, dy, dz) AS (VALUES {drifts}),
+n AS (SELECT row_ord, label, region, tier, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, spin::DOUBLE AS spin, dx::DOUBLE AS dx, dy::DOUBLE AS dy, dz::DOUBLE AS dz, {held} AS h, unnest(range(0, {demo.YEARS})) AS year FROM c LEFT JOIN d USING (label))
+SELECT year::INTEGER AS sheet_index, row_ord::INTEGER AS row_ord, label, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z, size, shape, color_r, color_g, color_b, note, velocity, cluster_value, spin_y
+FROM (SELECT year, row_ord, label, {at("x")}, {at("y")}, {at("z")}, {pick(demo.TIER_SIZES, "tier")} AS size, {pick(demo.REGION_SHAPES, "region")} AS shape, {color(0, "color_r")}, {color(1, "color_g")}, {color(2, "color_b")}, 60 AS note, 64 AS velocity, tier::DOUBLE AS cluster_value, spin AS spin_y FROM n)"""
+    edges = f"""WITH e(edge_ord, a, b, base, growth) AS (VALUES {pairs}), s AS (SELECT unnest(range(0, {demo.YEARS}))::INTEGER AS sheet_index, edge_ord::INTEGER AS edge_ord, a AS "from", b AS "to", base::DOUBLE AS base, growth::DOUBLE AS growth FROM e)
+SELECT sheet_index, edge_ord, "from", "to", round(least(greatest(base + growth * sheet_index, 0), 1), 9) AS strength FROM s WHERE least(greatest(base + growth * sheet_index, 0), 1) > 0.1"""
+    return nodes, edges
+
+
+DEMO_NODES, DEMO_EDGES = _demo_sql()
+
+
+def _demo_columns(nodes: DataFrame) -> DataFrame:
+    return nodes.select("sheet_index", "row_ord", "label", *(F.round(c, 9).alias(c) for c in "xyz"), "size", "shape", "color_r", "color_g", "color_b", "note", "velocity", "cluster_value", "spin_y")
+
+
+@query(DEMO_NODES)
 def demo_nodes(spark, sf_dir):
-    return demo.demo_dataset(spark)[0]
+    return _demo_columns(demo.demo_dataset(spark)[0])
 
 
-@query()
+@query(DEMO_EDGES)
 def demo_edges(spark, sf_dir):
-    return demo.demo_dataset(spark)[1]
+    return demo.demo_dataset(spark)[1].withColumn("strength", F.round("strength", 9))
 
 
 @query("""WITH t AS (SELECT role, string_split(text, chr(10)) AS l FROM conversations) SELECT role AS label, count(*) AS n_texts, sum(strlen(regexp_replace(array_to_string(l, ' '), '\\s+', ' ', 'g')))::BIGINT AS bytes FROM t GROUP BY role""")
@@ -168,10 +195,10 @@ def validate_series(spark, sf_dir):
     return results.series_failures(results.network_documents(*_networks(spark, sf_dir)))
 
 
-@query()
+@query(DEMO_NODES)
 def dataset_json_load(spark, sf_dir):
     """The built-in dataset written, loaded by its ending and validated."""
     nodes, edges, sheets = demo.demo_dataset(spark)
     path = scratch(spark, "demo") + ".json"
     lvjson.write_json(nodes, edges, sheets, D.canonical_labels(nodes), path)
-    return lvjson.load_dataset(spark, path)[0]
+    return _demo_columns(lvjson.load_dataset(spark, path)[0])

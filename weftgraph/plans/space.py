@@ -174,6 +174,22 @@ ALIGNED = {
 }
 
 
+def _consensus_tables(rounds: int) -> str:
+    """Tables m0, m1, ...: the mean of all years, each turned onto the mean before."""
+    sql = "m0 AS MATERIALIZED (SELECT i, avg(x) AS x, avg(y) AS y FROM xy GROUP BY i)"
+    for k in range(1, rounds + 1):
+        sql += f""", q{k} AS (SELECT avg(x) AS cx, avg(y) AS cy FROM m{k - 1}), g{k} AS (SELECT xy.step, sum((xy.x - mx) * (m.x - cx) + (xy.y - my) * (m.y - cy)) AS c, sum((xy.x - mx) * (m.y - cy) - (xy.y - my) * (m.x - cx)) AS s, any_value(cx) AS cx, any_value(cy) AS cy FROM xy JOIN mid USING (step) JOIN m{k - 1} m USING (i), q{k} GROUP BY xy.step),
+m{k} AS MATERIALIZED (SELECT i, avg(((x - mx) * c - (y - my) * s) / sqrt(c * c + s * s) + cx) AS x, avg(((x - mx) * s + (y - my) * c) / sqrt(c * c + s * s) + cy) AS y FROM xy JOIN mid USING (step) JOIN g{k} USING (step) GROUP BY i)"""
+    return sql
+
+
+CONSENSUS_ROUNDS = 40
+ALIGNED["gpa"] = f"""{_consensus_tables(CONSENSUS_ROUNDS)}, q AS (SELECT avg(x) AS cx, avg(y) AS cy, sum(x * x + y * y) - (pow(sum(x), 2) + pow(sum(y), 2)) / count(*) AS spread FROM m{CONSENSUS_ROUNDS}),
+turn AS (SELECT xy.step, atan2(sum((xy.x - mx) * (m.y - cy) - (xy.y - my) * (m.x - cx)), sum((xy.x - mx) * (m.x - cx) + (xy.y - my) * (m.y - cy))) AS phi,
+  greatest(any_value(mid.spread) + any_value(q.spread) - 2 * sqrt(pow(sum((xy.x - mx) * (m.y - cy) - (xy.y - my) * (m.x - cx)), 2) + pow(sum((xy.x - mx) * (m.x - cx) + (xy.y - my) * (m.y - cy)), 2)), 0) AS residual, any_value(cx) AS ox, any_value(cy) AS oy
+  FROM xy JOIN mid USING (step) JOIN m{CONSENSUS_ROUNDS} m USING (i), q GROUP BY xy.step)"""
+
+
 def _aligned(mode: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = A.align(_coords(spark, sf_dir), mode)
@@ -224,7 +240,7 @@ def procrustes_weighted(spark, sf_dir):
     return _neighbouring(spark, sf_dir, True)
 
 
-@query()
+@query(f"{PLANE}, {_consensus_tables(CONSENSUS_ROUNDS)} SELECT i, unnest([0, 1]) AS dim, round(unnest([x, y]), 6) AS x FROM m{CONSENSUS_ROUNDS}")
 def gpa(spark, sf_dir):
     """The consensus of all years: the mean of their aligned places."""
     return A.consensus(A.align(_coords(spark, sf_dir), "gpa")).withColumn("x", F.round("x", 6))
