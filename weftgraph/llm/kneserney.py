@@ -152,7 +152,7 @@ def sorted_rows(grams: np.ndarray) -> np.ndarray:
         for c in range(k, min(k + each, grams.shape[1])):
             key = (key << U64(bits)) | grams[:, c].astype(U64) if c > k else grams[:, c].astype(U64)
         keys.append(key)
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
 def parts_of(contexts: np.ndarray, model: Model) -> np.ndarray:
@@ -179,7 +179,7 @@ def _by(values: np.ndarray, along: np.ndarray | None = None) -> Iterator[tuple[i
     if along is None:
         order = np.argsort(small, kind="stable")
     else:
-        first = np.argsort(along, kind="stable")
+        first = np.argsort(along)
         order = first[np.argsort(small[first], kind="stable")]
     cuts = np.flatnonzero(np.diff(values[order])) + 1
     for at in np.split(order, cuts) if len(order) else ():
