@@ -38,8 +38,7 @@ def nfc(text: pd.Series) -> pd.Series:
 def normalize_text(text: Column, compose: bool = False) -> Column:
     """Lower case; all that is no letter, digit or white space becomes a space; runs of space become one."""
     lowered = F.lower(nfc(text) if compose else text)
-    spaced = F.regexp_replace(lowered, r"[^\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}\s]", " ")
-    return F.trim(F.regexp_replace(spaced, r"\s+", " "))
+    return F.trim(F.regexp_replace(lowered, r"[^\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}]+", " "))
 
 
 def words(normalized: Column) -> Column:
