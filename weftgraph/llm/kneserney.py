@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import new_path, stage, without
+from weftgraph.llm.common import bound_batches, new_path, stage, without
 from weftgraph.llm.wordhash import BLOCK_BYTES, GOLDEN, U64, first_bytes, mix, word_hashes
 
 #: Words of an n-gram unless another order is asked for.
@@ -609,10 +609,26 @@ def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarra
     return found
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their last columns hold about CHUNK tokens' bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def one() -> pa.RecordBatch:
+        return next(iter(pa.Table.from_batches(held).combine_chunks().to_batches()), held[0])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.column(x.num_columns - 1).nbytes for x in held) >= 4 * CHUNK:
+            yield one()
+            held = []
+    if held:
+        yield one()
+
+
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model)
-        for batch in batches:
+        for batch in _joined(batches):
             last = batch.num_columns - 1
             made: list[list[np.ndarray]] = [[] for _ in range(4)]
             for chunk in _chunks(iter([batch]), last):
@@ -643,6 +659,7 @@ def score_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     to learn from every token has the probability 1. No rows give no rows. Input columns named as an
     added one are replaced.
     """
+    bound_batches(docs.sparkSession)
     keep = without(docs, ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity", "_utf8"])
     marked = docs.select(*keep, held_out(F.col(id_col)).alias("held_out"), _utf8(text))
     model = train(marked.where(~F.col("held_out")).select("_utf8"), order)
