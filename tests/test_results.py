@@ -115,7 +115,7 @@ def test_sources_in_the_order_given(spark, tmp_path):
 def test_stop_words_of_languages():
     assert "und" in stop_words("de-CH") and "les" in stop_words("French") and "pero" in stop_words("es")
     with pytest.warns(UserWarning, match="no stop words"):
-        assert stop_words("xx") == ()
+        assert stop_words("qq-none") == ()
 
 
 def test_timer_is_the_loop_that_carries_fractions(spark):
