@@ -6,6 +6,8 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -473,6 +475,54 @@ def test_shards_and_their_tree_of_sums(spark, monkeypatch):
     assert {r.doc_id: r.score for r in kneserney.score_documents(rows).collect()} == pytest.approx(whole)
 
 
+@pytest.mark.parametrize("words", [60, 1 << 29, 1 << 33])
+def test_shards_tell_sums_and_counts(tmp_path, words):
+    """Counts and totals of all sizes, contexts over several shards, n-grams and contexts that are not there."""
+    rng, base = np.random.default_rng(words), words - 60
+    model = kneserney.Model(str(tmp_path), words=words, shards=3, often={base + 7: 3, base + 11: 2})
+    columns = [base + rng.integers(0, 40, 1500), base + rng.integers(0, 50, 1500)]
+    counts = rng.choice([1, 1, 1, 2, 2, 3, 4, 1022, 1023, 5000], 1500)
+    blocks = pd.DataFrame(list(kneserney.to_shards(model, columns, counts)), columns=["shard", "grams", "counts"])
+    for _, rows in blocks.groupby("shard"):
+        kneserney._store_shard(model, 2)(rows)
+    held = Counter()
+    for a, b, c in zip(*columns, counts, strict=True):
+        held[int(a), int(b)] += int(c)
+    ids, last = base + np.arange(0, 62, 2), base + np.arange(62)
+    context, last = np.repeat(np.arange(len(ids)), len(last)), np.tile(last, len(ids))
+    cut = np.array([0, 1, 1 << 16, 1 << 32])
+    total, freed, found = kneserney.Lookup(model).level(2, kneserney.fold(np.uint64(0), ids), kneserney.fill_of(ids, model), context, last, cut)
+    assert found.tolist() == [held[int(ids[c]), int(w)] for c, w in zip(context, last, strict=True)]
+    for at, a in enumerate(ids):
+        own = [c for (x, _), c in held.items() if x == a]
+        assert (total[at], freed[at]) == (sum(own), sum(cut[min(c, 3)] for c in own))
+
+
+def test_a_chunk_opens_each_shard_once(spark, monkeypatch):
+    rows = [(" ".join(f"t{x}" for x in np.random.default_rng(k).integers(0, 90, 50)),) for k in range(80)]
+    monkeypatch.setattr(kneserney, "SHARD_TOKENS", 100)  # no word fills one
+    model = kneserney.train(spark.createDataFrame(rows, "t string").select(F.encode("t", "UTF-8").alias("_utf8")))
+    opened, open_ = [], kneserney.Store.open
+    monkeypatch.setattr(kneserney.Store, "open", lambda self, name: (opened.append(name), open_(self, name))[1])
+    (scored,) = kneserney._score(model)(iter([pa.RecordBatch.from_arrays([pa.array([x.encode() for (x,) in rows])], names=["_utf8"])]))
+    assert scored.num_rows == 80 and model.shards > 30
+    assert len(opened) <= 2 * model.shards + 8  # eight more for the words
+
+
+def test_nearly_sorted_and_words_that_share_high_bits():
+    keys = np.random.default_rng(4).integers(0, 2**64, 1000, dtype=np.uint64)
+    order = kneserney.nearly_sorted(keys)
+    assert sorted(order.tolist()) == list(range(1000)) and (np.diff((keys[order] >> np.uint64(10)).astype(np.int64)) >= 0).all()
+    assert kneserney.nearly_sorted(keys[:0]).tolist() == [] and kneserney.nearly_sorted(keys[:1]).tolist() == [0]
+
+
+def test_chunks_of_hashes_that_differ_in_low_bits_alone(monkeypatch):
+    tokens = np.array([7, 3, 7, 5, 3, 1 << 60, 3], np.uint64)
+    monkeypatch.setattr(kneserney, "_token_runs", lambda batches, column: iter([(tokens, np.array([4, 3]))]))
+    (chunk,) = kneserney._chunks(iter([]), 0)
+    assert chunk.hashes.tolist() == [3, 5, 7, 1 << 60] and (chunk.hashes[chunk.at] == tokens).all()
+
+
 def test_model_of_nothing(spark):
     rows = spark.createDataFrame([], DOCS)
     assert kneserney.train(rows.select(F.encode("text", "UTF-8").alias("_utf8"))).words == 0

@@ -5,8 +5,10 @@ arrays of the words' 64-bit hashes tell the ids. Map tasks send blocks of distin
 counts, one block for each shard, so that counting costs Spark a few rows a task. A shard is a task's
 worth of tokens: n-grams are dealt to shards by the hash of their context, and those of a context
 whose words are all so frequent that it might exceed a shard are spread over several. Tasks merge
-a shard and write to the shared folder a sorted array of its contexts' hashes, for each context the
-sorted ids of the words that follow with their counts, and what smoothing needs of the counts.
+a shard and write to the shared folder, in one file, a sorted array of its contexts' hashes, for each
+context what smoothing needs of its counts, and the sorted ids of the words that follow, each in one
+number with its count. A shard holds a range of hashes, so that one sort of a chunk's contexts deals
+them to shards and puts them in a shard's order.
 They send on what the next lower order counts: how many different words stand before an n-gram.
 Workers that score map the arrays into memory; the driver holds sizes and frequent words only.
 """
@@ -34,9 +36,12 @@ ORDER = 3
 #: Tokens of a shard, words of a shard of the vocabulary, ids of a block of per-word counts.
 SHARD_TOKENS, SHARD_WORDS, BLOCK_IDS = 1_500_000, 1_000_000, 1_000_000
 #: Tokens that are looked up and sent together, and distinct words that a task holds.
-CHUNK, HELD_WORDS = 800_000, 1_000_000
+CHUNK, HELD_WORDS = 1_000_000, 1_000_000
 #: Shards whose sums one task adds up, arrays that a worker keeps mapped, and keeps in memory of a store that can't be mapped.
-FAN_IN, MAPPED, FETCHED = 16, 64, 32
+FAN_IN, MAPPED, FETCHED = 16, 8, 8
+#: Bits of a context's total, of its n-grams with the count 1 and with 2, and a total that does not fit into them.
+TOTAL_BITS = 10
+FULL = (1 << TOTAL_BITS) - 1
 #: Stands for the end of a text among the hashes of words.
 END = 0x656E64206F66
 
@@ -119,6 +124,15 @@ class Model:
     def unknown(self) -> int:
         return self.words + 1
 
+    @property
+    def id_bits(self) -> int:
+        return self.unknown.bit_length()
+
+    @property
+    def entry(self) -> tuple[type, int]:
+        """Type of the numbers that hold a word's id and a count, and the bits of the count."""
+        return (np.uint32, 32 - self.id_bits) if self.id_bits <= 30 else (np.uint64, 64 - self.id_bits)
+
 
 def discounts(found: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and more, from how many n-grams have counts 1 to 4."""
@@ -135,42 +149,38 @@ def fold(keys: np.ndarray | np.uint64, ids: np.ndarray) -> np.ndarray:
     return mix(keys * GOLDEN + ids.astype(U64) + U64(1))
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    keys = np.zeros(len(grams), U64)
-    for k in range(grams.shape[1]):
-        keys = fold(keys, grams[:, k])
+def nearly_sorted(keys: np.ndarray) -> np.ndarray:
+    """The order of 64-bit keys but for as many of their lowest bits as a place takes: keys and places are sorted in one number."""
+    bits = U64(max(1, len(keys)).bit_length())
+    return (np.sort((keys >> bits << bits) | np.arange(len(keys), dtype=U64)) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+
+
+def keys_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams from the ids of their first words, second words and so on."""
+    keys = np.zeros(len(columns[0]), U64)
+    for ids in columns:
+        keys = fold(keys, ids)
     return keys
 
 
-def sorted_rows(grams: np.ndarray) -> np.ndarray:
-    """The order of the rows by their first column, then the next, with as many columns to a sort as 64 bits hold."""
-    bits = max(1, int(grams.max(initial=0)).bit_length())
-    each = max(1, 64 // bits)
-    keys = []
-    for k in range(0, grams.shape[1], each):
-        key = np.zeros(len(grams), U64)
-        for c in range(k, min(k + each, grams.shape[1])):
-            key = (key << U64(bits)) | grams[:, c].astype(U64) if c > k else grams[:, c].astype(U64)
-        keys.append(key)
-    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+def fill_of(ids: np.ndarray, model: Model) -> np.ndarray:
+    """Shards that each word would fill. A context's n-grams are spread over as many as its rarest word would fill."""
+    if not model.often:
+        return np.ones(len(ids), np.int64)
+    known = np.array(sorted(model.often))
+    fill = np.array([model.often[x] for x in known])
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    return np.where(known[at] == ids, fill[at], 1)
 
 
-def parts_of(contexts: np.ndarray, model: Model) -> np.ndarray:
-    """Shards that the n-grams of a context are spread over: as many as its rarest word would fill."""
-    parts = np.ones(len(contexts), np.int64)
-    if model.often and len(contexts):
-        known = np.array(sorted(model.often))
-        fill = np.array([model.often[x] for x in known])
-        for k in range(contexts.shape[1]):
-            at = np.minimum(np.searchsorted(known, contexts[:, k]), len(known) - 1)
-            own = np.where(known[at] == contexts[:, k], fill[at], 1)
-            parts = own if k == 0 else np.minimum(parts, own)
-    return parts
+def first_shard(context_keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a context, or the first of several: the larger the key, the later."""
+    return (((context_keys >> U64(32)) * U64(shards)) >> U64(32)).astype(np.int64)
 
 
-def shard_of(context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of n-grams by context, and by the last word among the shards of a context that has several."""
-    return ((mix(context_keys + U64(1)) + mix(last.astype(U64) + GOLDEN) % parts.astype(U64)) % U64(shards)).astype(np.int64)
+def part_of(last: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of its context's shards, counted from the first, an n-gram is in, by its last word."""
+    return (mix(last.astype(U64) + GOLDEN) % parts.astype(U64)).astype(np.int64)
 
 
 def _by(values: np.ndarray, along: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -233,81 +243,148 @@ class Lookup:
             out[known[rows]] = self.small(f"follows-{block}", ids[known[rows]] - block * BLOCK_IDS)
         return out
 
-    def counts(self, n: int, context_keys: np.ndarray, last: np.ndarray, parts: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Counts of distinct n-grams from their contexts' keys and their last words. places: where the contexts stand, as `sums` has it."""
-        out = np.zeros(len(last), np.int64)
-        for k, rows in _by(shard_of(context_keys, last, parts, self.model.shards), context_keys):
-            contexts = self.array(f"{n}-contexts-{k}", np.uint64)
-            at, several = places[rows], np.flatnonzero(parts[rows] > 1)
-            if len(several):
-                found, there = find(contexts, context_keys[rows[several]])
-                at[several] = np.where(there, found, -1)
-            at, rows = at[at >= 0], rows[at >= 0]
-            if not len(rows):
+    def shard(self, n: int, k: int) -> tuple[np.ndarray, ...]:
+        """What `write_shard` wrote."""
+        data = self.bytes(f"{n}-{k}")
+        sizes = data[:32].view(np.int64).tolist()
+        cuts = 32 + 8 * np.cumsum([0, sizes[0], sizes[0] + 1, 4 * sizes[1], 2 * sizes[2]])
+        contexts, about, totals, counts = (data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        return contexts.view(U64), about.view(U64), totals.view(np.int64).reshape(4, -1), counts.view(np.int64).reshape(2, -1), data[cuts[-1] :].view(self.model.entry[0])
+
+    def level(self, n: int, keys: np.ndarray, parts: np.ndarray, context: np.ndarray, last: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct contexts of n-grams: sum of counts, and what the discounts `cut` take of them. Of distinct n-grams, by their contexts' places in rising order and their last words: counts."""
+        total, freed, counts = self._level(n, keys, context, last, cut, 0)
+        spread = np.flatnonzero(parts[context] > 1) if parts.max(initial=0) > 1 else np.zeros(0, np.int64)
+        part = part_of(last[spread], parts[context[spread]])
+        for k in range(1, int(parts.max(initial=0))):  # the other shards of the contexts that have several
+            of, grams = np.flatnonzero(parts > k), spread[part == k]
+            more = self._level(n, keys[of], np.searchsorted(of, context[grams]), last[grams], cut, k)
+            total[of] += more[0]
+            freed[of] += more[1]
+            counts[grams] = more[2]
+        return total, freed, counts
+
+    def _level(self, n: int, keys: np.ndarray, context: np.ndarray, last: np.ndarray, cut: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`level` in one shard of each context."""
+        begins = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=len(keys)))])
+        order = nearly_sorted(keys)
+        where = first_shard(keys[order], self.model.shards)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(order)]])
+        shards = ((where[cuts[:-1]] + part) % self.model.shards).tolist() if len(where) else []
+        del where
+        total, freed, found = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(last), np.int64)
+        for k, a, b in zip(shards, cuts[:-1].tolist(), cuts[1:].tolist(), strict=False):
+            contexts, about, totals, counts, entries = self.shard(n, k)
+            at, there = find(contexts, keys[order[a:b]])
+            at, to = at[there], order[a:b][there]
+            if not len(at):
                 continue
-            starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
-            low, end = starts[at].astype(np.int64), starts[at + 1].astype(np.int64)
-            words, sought, high = widened(self.bytes(f"{n}-words-{k}"), int(starts[-1])), last[rows], end
-            open_ = np.arange(len(rows))
-            low, high = low.copy(), high.copy()
-            while len(open_):
-                middle = (low[open_] + high[open_]) // 2
-                less = words[middle] < sought[open_]
-                low[open_[less]] = middle[less] + 1
-                high[open_[~less]] = middle[~less]
-                open_ = open_[low[open_] < high[open_]]
-            hit = np.flatnonzero(low < end)
-            hit = hit[words[low[hit]] == sought[hit]]
-            out[rows[hit]] = self.small(f"{n}-counts-{k}", low[hit])
+            first, end = ((about[x] >> U64(3 * TOTAL_BITS)).astype(np.int64) for x in (at, at + 1))
+            all_, ones, twos = ((about[at] >> U64(x * TOTAL_BITS) & U64(FULL)).astype(np.int64) for x in (2, 1, 0))
+            if totals.shape[1]:
+                full = np.flatnonzero(all_ == FULL)
+                all_[full], ones[full], twos[full] = totals[1:, np.searchsorted(totals[0], at[full])]
+            total[to] = all_
+            freed[to] = cut[1] * ones + cut[2] * twos + cut[3] * (end - first - ones - twos)
+            own = begins[to + 1] - begins[to]
+            rows = np.repeat(begins[to] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            found[rows] = self.among(entries, counts, np.repeat(first, own), np.repeat(end, own), last[rows])
+        return total, freed, found
+
+    def among(self, entries: np.ndarray, large: np.ndarray, low: np.ndarray, end: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Counts of words, 0 of those that are not there, each sought between two places in a shard's entries."""
+        kind, bits = self.model.entry
+        place = np.int32 if len(entries) < 1 << 31 else np.int64
+        at, sizes, least = low.astype(place), (end - low).astype(place), words.astype(kind) << kind(bits)
+        open_ = np.flatnonzero(sizes)
+        first, left, value = at[open_], sizes[open_], least[open_]
+        while (more := left > 1).any():  # as many steps as the longest stretch needs; who is done drops out when half are
+            if 2 * np.count_nonzero(more) < len(more):
+                at[open_[~more]] = first[~more] + (entries[first[~more]] < value[~more])
+                open_, first, left, value = open_[more], first[more], left[more], value[more]
+            half = left >> 1
+            left -= half
+            first += half * (entries[first + half - (half > 0)] < value)
+        at[open_] = first + (entries[first] < value)
+        inside = np.flatnonzero(at < end)
+        entry = entries[at[inside]]
+        hit = (entry >> kind(bits)) == words[inside].astype(kind)
+        out = np.zeros(len(words), np.int64)
+        out[inside] = np.where(hit, entry & kind((1 << bits) - 1), 0)
+        if large.shape[1]:
+            full = np.flatnonzero(out == (1 << bits) - 1)
+            out[full] = large[1, np.searchsorted(large[0], at[full])]
         return out
 
-    def sums(self, n: int, keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct contexts of n-grams: sum of counts, and how many n-grams have the count 1, 2, more, in rows; and each one's place in its first shard, -1 for none."""
-        out, places = np.zeros((4, len(keys))), np.full(len(keys), -1, np.int64)
-        for part in range(int(parts.max(initial=0))):
-            left = np.flatnonzero(parts > part)
-            where = (mix(keys[left] + U64(1)) + U64(part)) % U64(self.model.shards)
-            for k, rows in _by(where.astype(np.int64), keys[left]):
-                contexts = self.array(f"{n}-contexts-{k}", np.uint64)
-                at, there = find(contexts, keys[left[rows]])
-                if there.any():
-                    at, to = at[there], left[rows[there]]
-                    if part == 0:
-                        places[to] = at
-                    starts = widened(self.bytes(f"{n}-starts-{k}"), len(contexts) + 1)
-                    total, ones, twos = (self.small(f"{n}-{name}-{k}", at) for name in ("total", "ones", "twos"))
-                    out[:, to] += [total, ones, twos, starts[at + 1].astype(np.int64) - starts[at].astype(np.int64) - ones - twos]
-        return out, places
+
+def write_shard(store: Store, model: Model, n: int, k: int, contexts: np.ndarray, starts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> None:
+    """One file of a shard: sizes; sorted keys of contexts; for each its first n-gram, total, and n-grams with the counts 1 and 2, in one number;
+    places, totals and so on of the contexts whose totals do not fit; places and counts of the n-grams whose counts do not fit; words and counts.
+    """
+    kind, bits = model.entry
+    totals = np.zeros((3, len(contexts)), np.int64)
+    if len(contexts):
+        for row, values in enumerate((counts, counts == 1, counts == 2)):
+            totals[row] = np.add.reduceat(values.astype(np.int64), starts[:-1])
+    full, large = np.flatnonzero(totals[0] >= FULL), np.flatnonzero(counts >= (1 << bits) - 1)
+    about = starts.astype(U64) << U64(3 * TOTAL_BITS)
+    for row, place in enumerate((2, 1, 0)):
+        about[:-1] |= np.minimum(totals[row], FULL).astype(U64) << U64(place * TOTAL_BITS)
+    entries = (words.astype(kind) << kind(bits)) | np.minimum(counts, (1 << bits) - 1).astype(kind)
+    whole = (np.array([len(contexts), len(full), len(large), 0]), contexts.astype(U64), about, full, totals[:, full], large, counts[large], entries)
+    store.write(f"{n}-{k}", np.concatenate([np.ascontiguousarray(x).ravel().view(np.uint8) for x in whole]))
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers, compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Whole numbers, compressed byte plane by byte plane; the first byte tells how many planes."""
+    values = narrow(values)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return bytes([values.itemsize]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
-
-
-def merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams in order, and their summed counts."""
-    if not len(grams):
-        return grams, counts
-    order = sorted_rows(grams)
-    grams = grams[order]
-    starts = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]).any(axis=1)]))
-    return grams[starts], np.add.reduceat(counts[order], starts)
+    planes = np.frombuffer(zstandard.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"u{data[0]}").ravel().astype(np.int64)
+
+
+def merged(columns: list[np.ndarray], counts: np.ndarray, model: Model, by_key: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams and their summed counts, in the order of their contexts' keys and then of words; or in any order, of ids where these fit into 64 bits."""
+    if not len(counts):
+        return columns, counts
+    bits = model.id_bits
+    if not by_key and len(columns) * bits <= 64:
+        key = columns[0].astype(U64)
+        for ids in columns[1:]:
+            key = (key << U64(bits)) | ids.astype(U64)
+        order = np.argsort(key)
+    else:
+        keys = keys_of(columns[:-1])
+        first = np.argsort(keys)
+        context = np.concatenate([[0], np.cumsum(np.diff(keys[first]) != 0)])
+        key = (context.astype(U64) << U64(bits)) | columns[-1][first].astype(U64)
+        again = np.argsort(key)
+        order, key = first[again], key[again]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return [x[order[starts]] for x in columns], np.add.reduceat(counts[order], starts)
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [x[order[starts]] for x in columns], np.add.reduceat(counts[order], starts)
 
 
 BLOCKS = "kind int, shard int, grams binary, counts binary, t1 long, t2 long, t3 long, t4 long, types long"
 
 
-def to_shards(model: Model, grams: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+def to_shards(model: Model, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     """A block for each shard of distinct n-grams with counts, in the order they come in."""
-    contexts = grams[:, :-1]
-    for k, rows in _by(shard_of(keys_of(contexts), grams[:, -1], parts_of(contexts, model), model.shards)):
-        yield k, pack(grams[rows].ravel(order="F")), pack(counts[rows])
+    where = first_shard(keys_of(columns[:-1]), model.shards)
+    if model.often:
+        parts = fill_of(columns[0], model)
+        for ids in columns[1:-1]:
+            parts = np.minimum(parts, fill_of(ids, model))
+        spread = np.flatnonzero(parts > 1)
+        where[spread] = (where[spread] + part_of(columns[-1][spread], parts[spread])) % model.shards
+    for k, rows in _by(where):
+        yield k, pack(np.concatenate([x[rows] for x in columns])), pack(counts[rows])
 
 
 def texts_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +436,9 @@ def _token_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
     size = held = 0
 
     def run() -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        out = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()  # not held while the run is worked on
+        return out
 
     for batch in batches:
         for text in batch.column(column):
@@ -370,7 +449,7 @@ def _token_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
                 held, waiting, size = held + len(parts[-1][0]), [], 0
                 if held >= CHUNK:
                     yield run()
-                    parts, held = [], 0
+                    held = 0
     if waiting:
         parts.append(texts_hashes(waiting))
     if parts:
@@ -388,13 +467,14 @@ class Chunk:
 
 @dataclass
 class Grams:
-    """The distinct n-grams of a chunk, n-gram k ending at tokens where index is k.
+    """The distinct n-grams of a chunk, n-gram k ending at tokens where index is k (kept of the longest alone).
 
-    context: the place of the words before the last among the chunk's (n-1)-grams, or one past them
-    at the beginning of a text; suffix: that of all words but the first.
+    word: the place of the last word among the chunk's; context: the place of the words before it among
+    the chunk's (n-1)-grams, in rising order, or one past them at the beginning of a text; suffix: that of
+    all words but the first.
     """
 
-    ids: np.ndarray
+    word: np.ndarray
     index: np.ndarray
     context: np.ndarray
     suffix: np.ndarray
@@ -402,37 +482,65 @@ class Grams:
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[Chunk]:
     for tokens, sizes in _token_runs(batches, column):
-        distinct, back = np.unique(tokens, return_inverse=True)
-        yield Chunk(distinct, back, sizes)
-
-
-def grams_of(chunk: Chunk, ids: np.ndarray, model: Model) -> list[Grams]:
+        order = nearly_sorted(tokens)
+        if (tokens[order[1:]] < tokens[order[:-1]]).any():
+            order = np.argsort(tokens)
+        tokens = tokens[order]
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        back = np.empty(len(order), np.int32)
+        back[order] = np.cumsum(new, dtype=np.int32) - 1
+        chunk = Chunk(tokens[new], back, sizes)
+        del tokens, order, new, back
+        yield chunk
+
+
+def grams_of(chunk: Chunk, model: Model) -> list[Grams]:
     """The chunk's words, pairs of words and so on up to the model's order; before a text its beginning stands as often as needed.
 
-    With ids in order the n-grams are in the order of their ids too.
+    With words in the order of their ids the n-grams are in the order of their ids too.
     """
-    nothing = np.zeros(0, np.int64)
-    out = [Grams(ids[:, None], chunk.at, nothing, nothing)]
+    nothing, size = np.zeros(0, np.int32), len(chunk.hashes)
+    out = [Grams(np.arange(size, dtype=np.int32), chunk.at, nothing, nothing)]
     starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
-    for n in range(2, model.order + 1):
+    for _ in range(2, model.order + 1):
         lower = out[-1]
-        before = np.empty_like(lower.index)
-        before[1:] = lower.index[:-1]
-        before[starts] = len(lower.ids)
-        distinct, index = np.unique(before * len(ids) + chunk.at, return_inverse=True)
-        context, word = distinct // len(ids), distinct % len(ids)
-        suffix = np.empty(len(distinct), np.int64)
-        suffix[index] = lower.index
-        wider = np.vstack([lower.ids, np.full((1, n - 1), model.begin)])
-        out.append(Grams(np.hstack([wider[context], ids[word][:, None]]), index, context, suffix))
+        key = np.empty(len(chunk.at), np.int64)
+        key[1:] = lower.index[:-1]
+        key[starts] = len(lower.word)
+        key *= size
+        key += chunk.at
+        bits = len(key).bit_length()
+        if (len(lower.word) + 1) * size <= 1 << (63 - bits):
+            key <<= bits
+            order = nearly_sorted(key.view(U64))
+            key >>= bits
+        else:
+            order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        index = np.empty(len(order), np.int32)
+        index[order] = np.cumsum(new, dtype=np.int32) - 1
+        distinct = key[new]
+        context = distinct // size
+        out.append(Grams((distinct - context * size).astype(np.int32), index, context.astype(np.int32), lower.index[order[new]]))
+        lower.index = nothing
     return out
 
 
+def columns_of(grams: list[Grams], ids: np.ndarray, model: Model) -> list[np.ndarray]:
+    """Ids of the first words of the longest n-grams, of the second words and so on."""
+    columns = [ids]
+    for own in grams[1:]:
+        before = [np.append(x, model.begin)[own.context] for x in columns]
+        columns = [*before, ids[own.word]]
+    return columns
+
+
 def by_id(chunk: Chunk, lookup: Lookup) -> tuple[Chunk, np.ndarray, np.ndarray]:
     """The chunk with its words in the order of their ids, their ids and how often they were seen."""
     ids, seen = lookup.words(chunk.hashes)
     order = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
+    place = np.empty(len(ids), np.int32)
     place[order] = np.arange(len(ids))
     return Chunk(chunk.hashes[order], place[chunk.at], chunk.sizes), ids[order], seen[order]
 
@@ -441,8 +549,9 @@ def _send_grams(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model)
         for chunk in _chunks(batches, 0):
-            top = grams_of(*by_id(chunk, lookup)[:2], model)[-1]
-            for shard, grams, counts in to_shards(model, top.ids, np.bincount(top.index, minlength=len(top.ids))):
+            chunk, ids, _ = by_id(chunk, lookup)
+            found = grams_of(chunk, model)
+            for shard, grams, counts in to_shards(model, columns_of(found, ids, model), np.bincount(found[-1].index)):
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([grams], pa.binary()), pa.array([counts], pa.binary())], names=["shard", "grams", "counts"])
 
     return run
@@ -453,29 +562,20 @@ def _store_shard(model: Model, n: int) -> Callable[[pd.DataFrame], pd.DataFrame]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, store = int(rows["shard"].iloc[0]), Store(model.uri)
-        parts = [unpack(x).reshape(n, -1).T for x in rows["grams"]]
-        grams, counts = merged(np.concatenate(parts), np.concatenate([unpack(x) for x in rows["counts"]]))
+        parts = [unpack(x).reshape(n, -1) for x in rows["grams"]]
+        columns = [np.concatenate([x[c] for x in parts]) for c in range(n)]
         del parts
-        first = np.flatnonzero(np.concatenate([[True], (grams[1:, :-1] != grams[:-1, :-1]).any(axis=1)]))
-        keys = keys_of(grams[first, :-1])
-        order = np.argsort(keys, kind="stable")
-        sizes = np.diff(first, append=len(grams))[order]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(first[order] - starts[:-1], sizes) + np.arange(len(grams))  # contexts in the order of their keys, words within
-        own = counts[at]
-        store.write(f"{n}-contexts-{shard}", keys[order])
-        store.write(f"{n}-starts-{shard}", narrow(starts))
-        store.write(f"{n}-words-{shard}", narrow(grams[at, -1]))
-        write_counts(store, f"{n}-counts-{shard}", own)
-        for name, values in (("total", own), ("ones", own == 1), ("twos", own == 2)):
-            write_counts(store, f"{n}-{name}-{shard}", np.add.reduceat(values.astype(np.int64), starts[:-1]))
+        columns, counts = merged(columns, np.concatenate([unpack(x) for x in rows["counts"]]), model, True)
+        keys = keys_of(columns[:-1])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        write_shard(store, model, n, shard, keys[first], np.append(first, len(keys)), columns[-1], counts)
         out = [(0, shard, b"", b"", *(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(counts))]
         if n > 2:
             # behind the beginning of a text there is nothing else to count than how often
-            lower, sums = merged(grams[:, 1:], np.where(grams[:, 1] == model.begin, counts, 1))
+            lower, sums = merged(columns[1:], np.where(columns[1] == model.begin, counts, 1), model, False)
             out += [(1, *block, 0, 0, 0, 0, 0) for block in to_shards(model, lower, sums)]
         else:
-            words, sums = np.unique(grams[:, 1], return_counts=True)
+            words, sums = np.unique(columns[1], return_counts=True)
             out += [(2, block, pack(words[at] - block * BLOCK_IDS), pack(sums[at]), 0, 0, 0, 0, 0) for block, at in _by(words // BLOCK_IDS)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
@@ -567,7 +667,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         told = sent.where("kind = 0").agg(*(F.sum(x) for x in ("t1", "t2", "t3", "t4")), F.collect_set("shard")).first()
         model.discounts[n] = discounts(list(told[:4]))
         for k in set(range(model.shards)) - set(told[4]):
-            Store(model.uri).write(f"{n}-contexts-{k}", np.zeros(0, np.uint64))
+            write_shard(Store(model.uri), model, n, k, np.zeros(0, U64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         blocks = sent.where("kind = 1").select("shard", "grams", "counts")
     stored = sent.where("kind = 2").select(F.col("shard").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("grams").alias("ids"), F.col("counts").alias("sums"))
     left = model.shards
@@ -586,24 +686,25 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     return model
 
 
-def probabilities(model: Model, lookup: Lookup, grams: list[Grams]) -> np.ndarray:
-    """Of each distinct n-gram of the highest order, the probability of its last word behind the others."""
-    ids = grams[0].ids[:, 0]
+def probabilities(model: Model, lookup: Lookup, grams: list[Grams], ids: np.ndarray) -> np.ndarray:
+    """Of each distinct n-gram of the highest order, the probability of its last word behind the others. ids: of the chunk's words."""
     even = 1.0 / (model.words + 1)  # one part for each word and one for all unknown
     if not model.types:
-        return np.full(len(grams[-1].ids), even)
+        return np.full(len(grams[-1].word), even)
     follows, cut = lookup.follows(ids), np.array(model.discounts[1])
     found = (follows - cut[np.minimum(follows, 3)]) / model.types + model.freed / model.types * even
+    fill, parts = fill_of(ids, model), np.zeros(0, np.int64)
     keys, begin = fold(U64(0), ids), fold(np.zeros(1, U64), np.array([model.begin]))
+    of_begin = fill_of(np.array([model.begin]), model)
     for n in range(2, model.order + 1):
-        own, lower, cut = grams[n - 1], grams[n - 2], np.array(model.discounts[n])
+        own, cut = grams[n - 1], np.array(model.discounts[n])
         before = np.concatenate([keys, begin])  # of all contexts, the beginning last
-        parts = parts_of(np.vstack([lower.ids, np.full((1, n - 1), model.begin)]), model)
-        sums, places = lookup.sums(n, before, parts)
-        total = np.maximum(sums[0], 1)
-        passed = np.where(sums[0] > 0, (cut[1] * sums[1] + cut[2] * sums[2] + cut[3] * sums[3]) / total, 1.0)
-        keys = fold(before[own.context], own.ids[:, -1])
-        counts = lookup.counts(n, before[own.context], own.ids[:, -1], parts[own.context], places[own.context])
+        parts = np.concatenate([fill if n == 2 else np.minimum(parts[grams[n - 2].context], fill[grams[n - 2].word]), of_begin])
+        last = ids[own.word]
+        total, freed, counts = lookup.level(n, before, parts, own.context, last, cut)
+        passed = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
+        total = np.maximum(total, 1)
+        keys = fold(before[own.context], last) if n < model.order else None
         found = (counts - cut[np.minimum(counts, 3)]) / total[own.context] + passed[own.context] * found[own.suffix]
         begin = fold(begin, np.array([model.begin]))
     return found
@@ -618,7 +719,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(x.column(x.num_columns - 1).nbytes for x in held) >= 4 * CHUNK:
+        if sum(x.column(x.num_columns - 1).nbytes for x in held) >= 6 * CHUNK:
             yield one()
             held = []
     if held:
@@ -634,9 +735,9 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             for chunk in _chunks(iter([batch]), last):
                 starts = np.concatenate([[0], np.cumsum(chunk.sizes)[:-1]])
                 chunk, ids, seen = by_id(chunk, lookup)
-                grams = grams_of(chunk, ids, model)
+                grams = grams_of(chunk, model)
                 add_one = np.log10((seen + 1) / (model.tokens + model.words + 1))
-                score = np.log10(probabilities(model, lookup, grams))
+                score = np.log10(probabilities(model, lookup, grams, ids))
                 for to, values in zip(made, (chunk.sizes, np.add.reduceat((seen > 0).astype(np.int64)[chunk.at], starts), np.add.reduceat(add_one[chunk.at], starts), np.add.reduceat(score[grams[-1].index], starts)), strict=True):
                     to.append(values)
             n, known, base, own = (np.concatenate(x) if x else np.zeros(0) for x in made)
